@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import crc32_text, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +20,47 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc32_text(F.col("doc_id")) % 3 == 1
+    model = quality.fit(quality.with_labels(docs, labels.where(~held_out), "quality"))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, dropped (line numbers, joined by commas)."""
+    from . import line_dedup
+
+    docs = _table(spark, sf_dir, "documents")
+    gone = line_dedup.dropped_lines(docs).withColumnRenamed("doc_id", "gone_id")
+    counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    found = round_trip(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -25,7 +29,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     which RDD checkpoints don't. Column order and nullability are those of df.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
