@@ -27,6 +27,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_hidden_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm_lm import score
+
+    return score(_table(spark, sf_dir, "documents"), crc32_text(F.col("doc_id")) % 7 == 2)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
