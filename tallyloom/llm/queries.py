@@ -71,6 +71,12 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kmeans_tree import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
