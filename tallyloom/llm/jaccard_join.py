@@ -30,13 +30,15 @@ from .words import mix, pieces, shingle_sets, split
 @dataclass(frozen=True)
 class JaccardJoin:
     """percent: least similarity in hundredths; words: shingle length; most_matches: largest l that is weighed;
-    check_cost: cost of checking a candidate in units of reading one posting; sketch_bits: counters of the sketch."""
+    check_cost: cost of checking a candidate in units of reading one posting; sketch_bits: counters of the sketch;
+    frequent: estimated texts from which a shingle's postings are dealt over all buckets."""
 
     percent: int = 75
     words: int = 5
-    most_matches: int = 6
-    check_cost: float = 40.0
-    sketch_bits: int = 20
+    most_matches: int = 48
+    check_cost: float = 500.0
+    sketch_bits: int = 22
+    frequent: int = 50_000
 
     def least_overlap(self, n: np.ndarray | int):
         """Shingles that a set of n shares at least with any set that it links to."""
@@ -76,7 +78,7 @@ def _profile(docs: DataFrame, p: JaccardJoin) -> DataFrame:
 def choose_matches(df_in_order: np.ndarray, n: int, p: JaccardJoin) -> int:
     """l with the least estimated cost. df_in_order: for each shingle of the set in global order, the other texts that hold it.
 
-    Reading the prefix costs its postings; at most postings / l candidates share l of them (each is met l times).
+    The prefix costs its shingles and their postings; at most postings / l candidates share l of them (each is met l times).
     """
     base = n - int(p.least_overlap(n))
     most = min(p.most_matches, n - base)
@@ -84,72 +86,67 @@ def choose_matches(df_in_order: np.ndarray, n: int, p: JaccardJoin) -> int:
         return 1
     met = np.cumsum(df_in_order[: base + most])[base : base + most]
     ls = np.arange(1, most + 1)
-    return int(ls[np.argmin(met + p.check_cost * met / ls)])
+    return int(ls[np.argmin(ls + met + p.check_cost * met / ls)])
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, p: JaccardJoin) -> DataFrame:
-    """(node, n, need, tokens): each text's adaptive prefix."""
-    shift = np.uint64(64 - p.sketch_bits)
-    noise = float(np.median(counts))
-    level = np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
-    spread = docs.sparkSession.sparkContext.broadcast(level)  # 2**sketch_bits bytes
+def _prefix(s: np.ndarray, level: np.ndarray, expected: np.ndarray, p: JaccardJoin) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, which of them many texts have, l) of a set's adaptive prefix."""
+    own = level[(s >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
+    base = len(s) - int(p.least_overlap(len(s)))
+    order = np.lexsort((s, own))[: base + p.most_matches]
+    others = expected[own[order]]
+    need = choose_matches(others, len(s), p)
+    return s[order[: base + need]], others[: base + need] > p.frequent, need
 
-    def run(batches):
-        level = spread.value
-        expected = np.maximum(np.exp2(np.arange(256) / 8) - noise, 0.02)
-        for batch in batches:
-            for _, sets in _sets(batch, p.words):
-                nodes, ns, needs, tokens = [], [], [], []
-                for s in sets:
-                    if len(s):
-                        own = level[(s >> shift).astype(np.int64)]
-                        keep = len(s) - int(p.least_overlap(len(s))) + p.most_matches
-                        order = np.lexsort((s, own))[: min(keep, len(s))]
-                        need = choose_matches(expected[own[order]], len(s), p)
-                        size = len(s) - int(p.least_overlap(len(s))) + need
-                        nodes.append(_fingerprint(s))
-                        ns.append(len(s))
-                        needs.append(need)
-                        tokens.append(s[order[:size]])
-                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ns, pa.int32()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], ["node", "n", "need", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, n int, need int, tokens array<long>")
-
-
-def _shared_postings(prefixes: DataFrame, buckets: int) -> DataFrame:
+
+def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin) -> DataFrame:
     """(token, node, n, need) of the tokens that at least two nodes have in their prefixes.
 
-    Arrays travel by token bucket, one row per batch and bucket, since nearly all tokens have one node only.
+    Arrays travel by token bucket, one row per piece of a batch and bucket, since nearly all tokens have one
+    node only; within a bucket 32 bits tell tokens apart (a rare clash only adds a candidate). A frequent
+    token's nodes are dealt over all buckets and pass through, so no bucket grows with the largest group.
     """
+    noise = float(np.median(counts))
+    spread = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8))  # 2**sketch_bits bytes
+    names = ["token", "home", "node", "n", "need"]
 
-    def deal(batches):
-        for b in batches:
-            token = b.column("tokens").flatten().to_numpy().view(np.uint64)
-            size = np.diff(b.column("tokens").offsets.to_numpy())
-            row = np.repeat(np.arange(b.num_rows), size)
-            bucket = (mix(token) >> np.uint64(16)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            row, token = row[order], token[order]
-            there, first = np.unique(bucket[order], return_index=True)
-            offsets = np.append(first, len(row)).astype(np.int32)
-            cols = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token.view(np.int64), *(b.column(c).to_numpy()[row] for c in ("node", "n", "need")))]
-            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64).astype(np.int32)), *cols], ["bucket", "token", "node", "n", "need"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expected = np.maximum(np.exp2(np.arange(256) / 8) - noise - 2 * noise**0.5, 0.001)
+        for batch in batches:
+            for _, sets in _sets(batch, p.words):
+                own = {_fingerprint(s): s for s in sets if len(s)}
+                if not own:
+                    continue
+                found = [_prefix(s, spread.value, expected, p) for s in own.values()]
+                token, frequent = np.concatenate([t for t, _, _ in found]), np.concatenate([f for _, f, _ in found])
+                row = np.repeat(np.arange(len(found)), [len(t) for t, _, _ in found])
+                node = np.array(list(own), dtype=np.int64)
+                n, need = np.array([len(s) for s in own.values()], dtype=np.int32), np.array([x for _, _, x in found], dtype=np.int32)
+                home = (mix(token) % np.uint64(buckets)).astype(np.int32)
+                bucket = np.where(frequent, (mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[row], home)
+                order = np.argsort(bucket, kind="stable")
+                there, first = np.unique(bucket[order], return_index=True)
+                offsets = np.append(first, len(order)).astype(np.int32)
+                row, frequent = row[order], frequent[order]
+                short = (token[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                cols = [short, np.where(frequent, home[order], -1).astype(np.int32), node[row], n[row], need[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in cols)], ["bucket", *names])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        token, node, n, need = (np.concatenate([b.column(c).flatten().to_numpy() for b in got]) for c in ("token", "node", "n", "need"))
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        same = token[1:] == token[:-1]
-        both = np.append(False, same) | np.append(same, False)
-        order = order[both]
-        for a in range(0, max(1, len(order)), 1 << 16):
+        token, home, node, n, need = (np.concatenate([b.column(c).flatten().to_numpy() for b in got]) for c in names)
+        own = np.where(home < 0, got[0].column("bucket")[0].as_py(), home).astype(np.int64)
+        token = own << 32 | token.view(np.uint32)
+        order = np.lexsort((node, token))
+        repeated = np.append(False, (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1]))
+        order = order[~repeated]
+        same = token[order][1:] == token[order][:-1]
+        order = order[np.append(False, same) | np.append(same, False) | (home[order] >= 0)]
+        for a in range(0, len(order), 1 << 16):
             o = order[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(token[both][a : a + (1 << 16)]), pa.array(node[o]), pa.array(n[o]), pa.array(need[o])], ["token", "node", "n", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (token, node, n, need)], ["token", "node", "n", "need"])
 
-    dealt = prefixes.mapInArrow(deal, "bucket int, token array<long>, node array<long>, n array<int>, need array<int>")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<int>, home array<int>, node array<long>, n array<int>, need array<int>")
     return dealt.groupBy("bucket").applyInArrow(shared, "token long, node long, n int, need int")
 
 
@@ -158,23 +155,24 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame
 
     A filter of fixed size drops most other sets before the shuffle; the join after it is exact.
     """
-    bits = 24
+    bits = 22
     there = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch.counting(nodes.select(F.col("node")), "node", bits) > 0))
 
     def run(batches):
-        table = np.unpackbits(there.value).view(bool)
+        table = there.value
         for batch in batches:
             for _, sets in _sets(batch, p.words):
                 own = {_fingerprint(s): s for s in sets if len(s)}
                 names = np.array(list(own), dtype=np.int64)
-                names = names[table[(names.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)]]
+                place = (names.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                names = names[(table[place >> 3] << (place & 7) & 128) > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([own[x].tobytes() for x in names.tolist()], pa.binary())], ["node", "members"])
 
     found = docs.select("text").mapInArrow(run, "node long, members binary")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, p: JaccardJoin) -> DataFrame:
     """Those pairs (a, b) whose sets reach the similarity."""
 
     def run(batches):
@@ -187,12 +185,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
                 both = int((t[at] == s).sum())
                 keep.append(100 * both >= p.percent * (len(s) + len(t) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(mask)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = _needed_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), p)
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -232,21 +230,16 @@ def similarity_classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataF
     profile = save(_profile(docs, p), "profile")
     rows = profile.where("chunk is null").select("doc_id", "n_shingles", "node")
     counts = sketch.collect(profile.where("chunk is not null").select("chunk", "counts"), p.sketch_bits)
-    tokens = int(counts.sum()) * (100 - p.percent) // 100
-    buckets = max(16, tokens // 400_000)
-    prefixes = _prefixes(docs, counts, p).dropDuplicates(["node"])
-    postings = save(_shared_postings(prefixes, buckets), "postings")
-    first = save(_enough(_star_pairs(postings, p, "min")).distinct(), "candidates")
-    nodes = postings.select("node").distinct()
-    sets = save(_needed_sets(docs, nodes, p), "sets")
-    links = save(_verified(first, sets, p), "verified")
+    buckets = max(16, int(counts.sum()) * (100 - p.percent) // 100 // 1_000_000)
+    postings = save(_postings(docs, counts, buckets, p), "postings")
+    stars = save(_enough(_star_pairs(postings, p, "min")), "stars")
+    links = _verified(docs, stars, p)
     parts = save(connected_components(links), "parts")
-    crossing = save(_enough(_cross_pairs(postings, parts, p)), "crossing")
-    more = save(_verified(crossing, sets, p), "more")
-    for done in (first, sets, crossing, postings):
+    crossing = save(_enough(_cross_pairs(postings, parts, p)).join(stars, ["a", "b"], "left_anti"), "crossing")
+    if not crossing.isEmpty():
+        parts = save(connected_components(links.unionByName(_verified(docs, crossing, p))), "parts")
+    for done in (postings, stars, crossing, links):
         drop(done)
-    if not more.isEmpty():
-        parts = save(connected_components(links.unionByName(more)), "parts")
     own = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = own.where("node is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
     out = own.join(least, "part", "left")

@@ -167,8 +167,8 @@ def fit(labelled: DataFrame, p: Subwords = Subwords()) -> Model:
     return pickle.loads(made[0].model) if made else Model(np.zeros((p.buckets, p.width), np.float32), np.zeros((2, p.width), np.float32), np.zeros(2, np.float32))
 
 
-def score(docs: DataFrame, model: Model, p: Subwords = Subwords(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(text, ...): the columns keep, then score double (the chance of label 1) and predicted int, for every row.
+def score(docs: DataFrame, model: Model, p: Subwords = Subwords(), keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs(text, ...): the columns keep, then two with the given names: score double (the chance of label 1) and predicted int, for every row.
 
     Null and empty texts get the score of the bias alone. Repeated rows stay; other columns are ignored.
     """
@@ -180,10 +180,10 @@ def score(docs: DataFrame, model: Model, p: Subwords = Subwords(), keep: tuple[s
                 m = spread.value
                 z = averages(part.column("text"), m.vectors, p) @ m.output.T + m.bias
                 chance = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -60, 60)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], [*keep, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", "predicted int"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{names[0]} double", f"{names[1]} int"])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 

@@ -77,6 +77,16 @@ def op8_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files named <source>/<lang>/<doc_id>: doc_id, path, license, score, origin, source_path."""
+    from .license_scan import scan
+
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), "text")
+    found = scan(files)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "path", "license", "score", "origin", F.col("source").alias("source_path"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -88,5 +98,15 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+g as (select d, max(page_id) as holder from p where n >= 1000 group by d)
+select page_id, n as payload_bytes, p.d as payload_digest,
+       case when holder is null or holder = page_id then 'response' else 'revisit' end as record_type,
+       case when holder <> page_id then holder end as refers_to
+from p left join g on p.d = g.d and n >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_round_trip": _WARC_SQL}

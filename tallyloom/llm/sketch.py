@@ -17,13 +17,14 @@ class Counters:
     """2**bits counters; a hash counts in the counter that its top bits name."""
 
     def __init__(self, bits: int):
-        self.bits, self.counts = bits, np.zeros(1 << bits, dtype=np.int64)
+        self.bits, self.counts = bits, np.zeros(1 << bits, dtype=np.int32)
 
     def add(self, hashes: np.ndarray) -> None:
-        self.counts += np.bincount((hashes >> np.uint64(64 - self.bits)).astype(np.int64), minlength=len(self.counts))
+        place, times = np.unique((hashes >> np.uint64(64 - self.bits)).astype(np.int32), return_counts=True)
+        self.counts[place] += times.astype(np.int32)
 
     def rows(self) -> tuple[pa.Array, pa.Array]:
-        table = np.minimum(self.counts, 2**31 - 1).astype(np.int32).reshape(-1, 1 << CHUNK_BITS)
+        table = self.counts.reshape(-1, 1 << CHUNK_BITS)
         full = np.flatnonzero(table.any(axis=1))
         offsets = np.arange(len(full) + 1, dtype=np.int32) * (1 << CHUNK_BITS)
         return pa.array(full, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(table[full].ravel(), pa.int32()))

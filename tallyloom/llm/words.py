@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Batches are cut into pieces of about this many bytes, which bounds the memory of the arrays below.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
