@@ -436,3 +436,43 @@ def annual_vols(prices):
 @query(_RETURNS + " SELECT x.symbol AS a, y.symbol AS b, round(corr(x.r, y.r), 6) AS rho FROM lrn x JOIN lrn y ON x.date = y.date AND x.symbol < y.symbol GROUP BY ALL", "prices")
 def correlation_matrix(prices):
     return _rounded(correlation.correlation_matrix(correlation.log_returns(prices)), rho=6)
+
+
+@query(
+    _DAYS + ", b AS (SELECT portfolio_id, greatest(0, least(21, CAST(floor((round(r, 9) + 0.05) / 0.005) AS BIGINT) + 1)) AS bucket FROM wr), c AS (SELECT portfolio_id, bucket, count(*) AS n FROM b GROUP BY ALL) SELECT p.portfolio_id, CAST(k.bucket AS INTEGER) AS bucket, coalesce(n, 0) AS n FROM (SELECT DISTINCT portfolio_id FROM g) p CROSS JOIN (SELECT unnest(range(22)) AS bucket) k LEFT JOIN c ON c.portfolio_id = p.portfolio_id AND c.bucket = k.bucket",
+    "ledger",
+    "prices",
+    "fx",
+)
+def return_histogram(ledger, prices, fx):
+    return returns.return_histogram(_growth(ledger, prices, fx))
+
+
+@query(_BOOK + " SELECT DISTINCT np.portfolio_id, np.symbol FROM np ANTI JOIN (SELECT DISTINCT symbol FROM quotes WHERE symbol NOT LIKE '%7') q USING (symbol)", "ledger", "quotes", "fx")
+def missing_quotes(ledger, quotes, fx):
+    return exposure.missing_quotes(ledger, quotes.where("symbol not like '%7'"))
+
+
+@query(
+    _BOOK
+    + """, tg AS (SELECT DISTINCT portfolio_id, 'BRAND#' || CAST(4 + portfolio_id % 22 AS VARCHAR) AS symbol, 0.1 AS target FROM ledger), tot AS (SELECT portfolio_id, sum(value_gbp) AS total FROM pv GROUP BY 1),
+    j AS (SELECT coalesce(wt.portfolio_id, tg.portfolio_id) AS portfolio_id, coalesce(wt.symbol, tg.symbol) AS symbol, coalesce(weight, 0) AS weight, target FROM wt FULL JOIN tg ON tg.portfolio_id = wt.portfolio_id AND tg.symbol = wt.symbol)
+    SELECT j.portfolio_id, symbol, weight, CAST(target AS DOUBLE) AS target, round(weight - target, 6) AS drift, round((weight - target) * total + 0.000037, 2) AS gap_gbp,
+    CASE WHEN target IS NULL THEN 'untargeted' WHEN NOT (abs((weight - target) * total) >= 500 AND abs(weight - target) >= 0.05) THEN 'hold' WHEN weight > target THEN 'trim' ELSE 'add' END AS action FROM j LEFT JOIN tot USING (portfolio_id)""",
+    "ledger",
+    "quotes",
+    "fx",
+)
+def target_drift(ledger, quotes, fx):
+    targets = ledger.select("portfolio_id").distinct().select("portfolio_id", F.concat(F.lit("BRAND#"), (4 + F.col("portfolio_id") % 22).cast("string")).alias("symbol"), F.lit(0.1).alias("target"))
+    return _money(_rounded(exposure.target_drift(exposure.position_values(ledger, quotes, fx), targets), drift=6), "gap_gbp")
+
+
+@query(
+    _RETURNS
+    + """, m AS (SELECT x.symbol AS a, y.symbol AS b, corr(x.r, y.r) AS rho FROM lrn x JOIN lrn y ON x.date = y.date AND x.symbol < y.symbol GROUP BY ALL), h AS (SELECT 'high' AS side, row_number() OVER (ORDER BY rho DESC, a, b) AS place, * FROM m), l AS (SELECT 'low' AS side, row_number() OVER (ORDER BY rho, a, b) AS place, * FROM m)
+    SELECT side, CAST(place AS INTEGER) AS place, a, b, round(rho, 6) AS rho FROM (FROM h UNION ALL FROM l) WHERE place <= 5""",
+    "prices",
+)
+def top_pairs(prices):
+    return _rounded(correlation.top_pairs(correlation.correlation_matrix(correlation.log_returns(prices))), rho=6)
