@@ -31,14 +31,16 @@ from .words import mix, pieces, shingle_sets, split
 class JaccardJoin:
     """percent: least similarity in hundredths; words: shingle length; most_matches: largest l that is weighed;
     check_cost: cost of checking a candidate in units of reading one posting; sketch_bits: counters of the sketch;
-    frequent: estimated texts from which a shingle's postings are dealt over all buckets."""
+    frequent: estimated texts from which a shingle's postings are dealt over all buckets; star_leaders: texts of a
+    posting that the others are checked against first, by round."""
 
     percent: int = 75
     words: int = 5
-    most_matches: int = 48
+    most_matches: int = 12
     check_cost: float = 500.0
     sketch_bits: int = 22
     frequent: int = 50_000
+    star_leaders: tuple[int, ...] = (1, 128)
 
     def least_overlap(self, n: np.ndarray | int):
         """Shingles that a set of n shares at least with any set that it links to."""
@@ -100,7 +102,7 @@ def _prefix(s: np.ndarray, level: np.ndarray, expected: np.ndarray, p: JaccardJo
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin) -> DataFrame:
-    """(token, node, n, need) of the tokens that at least two nodes have in their prefixes.
+    """(token, node, n, need, place) of the tokens that at least two nodes have in their prefixes, place counting from 0.
 
     Arrays travel by token bucket, one row per piece of a batch and bucket, since nearly all tokens have one
     node only; within a bucket 32 bits tell tokens apart (a rare clash only adds a candidate). A frequent
@@ -108,7 +110,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
     """
     noise = float(np.median(counts))
     spread = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8))  # 2**sketch_bits bytes
-    names = ["token", "home", "node", "n", "need"]
+    names = ["token", "home", "node", "n", "need", "place"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected = np.maximum(np.exp2(np.arange(256) / 8) - noise - 2 * noise**0.5, 0.001)
@@ -119,7 +121,9 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
                     continue
                 found = [_prefix(s, spread.value, expected, p) for s in own.values()]
                 token, frequent = np.concatenate([t for t, _, _ in found]), np.concatenate([f for _, f, _ in found])
-                row = np.repeat(np.arange(len(found)), [len(t) for t, _, _ in found])
+                size = np.array([len(t) for t, _, _ in found])
+                row = np.repeat(np.arange(len(found)), size)
+                place = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
                 node = np.array(list(own), dtype=np.int64)
                 n, need = np.array([len(s) for s in own.values()], dtype=np.int32), np.array([x for _, _, x in found], dtype=np.int32)
                 home = (mix(token) % np.uint64(buckets)).astype(np.int32)
@@ -129,12 +133,12 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
                 offsets = np.append(first, len(order)).astype(np.int32)
                 row, frequent = row[order], frequent[order]
                 short = (token[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                cols = [short, np.where(frequent, home[order], -1).astype(np.int32), node[row], n[row], need[row]]
+                cols = [short, np.where(frequent, home[order], -1).astype(np.int32), node[row], n[row], need[row], place[order]]
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in cols)], ["bucket", *names])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        token, home, node, n, need = (np.concatenate([b.column(c).flatten().to_numpy() for b in got]) for c in names)
+        token, home, node, n, need, place = (np.concatenate([b.column(c).flatten().to_numpy() for b in got]) for c in names)
         own = np.where(home < 0, got[0].column("bucket")[0].as_py(), home).astype(np.int64)
         token = own << 32 | token.view(np.uint32)
         order = np.lexsort((node, token))
@@ -144,10 +148,10 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
         order = order[np.append(False, same) | np.append(same, False) | (home[order] >= 0)]
         for a in range(0, len(order), 1 << 16):
             o = order[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (token, node, n, need)], ["token", "node", "n", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (token, node, n, need, place)], ["token", "node", "n", "need", "place"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<int>, home array<int>, node array<long>, n array<int>, need array<int>")
-    return dealt.groupBy("bucket").applyInArrow(shared, "token long, node long, n int, need int")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<int>, home array<int>, node array<long>, n array<int>, need array<int>, place array<int>")
+    return dealt.groupBy("bucket").applyInArrow(shared, "token long, node long, n int, need int, place int")
 
 
 def _needed_sets(docs: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame:
@@ -172,7 +176,7 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, p: JaccardJoin) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
     """Those pairs (a, b) whose sets reach the similarity."""
 
     def run(batches):
@@ -187,35 +191,57 @@ def _verified(docs: DataFrame, pairs: DataFrame, p: JaccardJoin) -> DataFrame:
                 keep.append(100 * both >= p.percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = _needed_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), p)
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     return save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, need), a row per shared prefix token, that share as many tokens as they need."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+def _enough(pairs: DataFrame, both_lead: bool = False) -> DataFrame:
+    """Pairs (a, b) of rows (token, a, b, need), a row per shared prefix token, that share as many tokens as they need.
 
+    Where both texts of a pair may lead, a token may come twice: with both_lead, half of the rows count.
+    """
+    shared = F.count("*") if not both_lead else F.ceil(F.count("*") / 2)
+    return pairs.groupBy("a", "b").agg(shared.alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
-def _close(p: JaccardJoin, n: str, m: str) -> str:
-    return f"100 * least({n}, {m}) >= {p.percent} * greatest({n}, {m})"
 
+def _may_reach(p: JaccardJoin, o: str, matches: str) -> str:
+    """Whether a shared token lies in the prefixes that a pair of just these two sizes needs.
 
-def _star_pairs(postings: DataFrame, p: JaccardJoin, leader: str) -> DataFrame:
-    lead = postings.groupBy("token").agg(F.expr(f"{leader}(struct(n, node, need))").alias("l"))
-    pairs = postings.join(lead, "token").where("node <> l.node").where(_close(p, "n", "l.n"))
-    return pairs.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.least("need", "l.need").alias("need"))
+    Such sets share at least t = percent / (100 + percent) of their summed sizes, so their first n - t + l
+    tokens share at least l: for sets of nearly equal size that is far less than each one's whole prefix.
+    """
+    t = f"ceil({p.percent} * (n + {o}n) / {100 + p.percent})"
+    return f"100 * least(n, {o}n) >= {p.percent} * greatest(n, {o}n) and place < n - {t} + {matches} and {o}place < {o}n - {t} + {matches}"
 
 
-def _cross_pairs(postings: DataFrame, parts: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Pairs of the same posting that no path links yet."""
-    own = postings.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+def _with_parts(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Postings with each node's component so far; tokens whose nodes are all in one are left out."""
+    if parts is None:
+        return postings.withColumn("part", F.col("node"))
+    own = postings.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = own.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    own = own.join(mixed, "token")
-    other = own.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "part")))
-    pairs = own.join(other, "token").where("part < o_part").where(_close(p, "n", "o_n"))
-    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.least("need", "o_need").alias("need"))
+    return own.join(mixed, "token")
+
+
+def _star_pairs(own: DataFrame, p: JaccardJoin, leaders: int) -> DataFrame:
+    """Pairs of each text with about so many texts of its posting, drawn by hash, that no path links to it yet.
+
+    A row per shared prefix token. A node's draw is the same in all postings, so it leads in most of its own.
+    """
+    sizes = own.groupBy("token").agg(F.count("*").alias("size"), F.min(F.xxhash64("node")).alias("least"))
+    draw = F.xxhash64("node", F.lit(leaders)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    drawn = own.join(sizes, "token").where((F.xxhash64("node") == F.col("least")) | (F.lit(leaders > 1) & (draw * F.col("size") < leaders)))
+    drawn = drawn.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
+    pairs = own.join(drawn, "token").where("part <> o_part").where(_may_reach(p, "o_", "least(need, o_need)"))
+    return pairs.select("token", F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"), F.least("need", "o_need").alias("need"))
+
+
+def _cross_pairs(own: DataFrame, p: JaccardJoin) -> DataFrame:
+    """All pairs of a posting that no path links yet, a row per shared prefix token."""
+    other = own.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
+    pairs = own.join(other, "token").where("part < o_part").where(_may_reach(p, "o_", "least(need, o_need)"))
+    return pairs.select("token", F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.least("need", "o_need").alias("need"))
 
 
 def similarity_classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -232,13 +258,16 @@ def similarity_classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataF
     counts = sketch.collect(profile.where("chunk is not null").select("chunk", "counts"), p.sketch_bits)
     buckets = max(16, int(counts.sum()) * (100 - p.percent) // 100 // 1_000_000)
     postings = save(_postings(docs, counts, buckets, p), "postings")
-    stars = save(_enough(_star_pairs(postings, p, "min")), "stars")
-    links = _verified(docs, stars, p)
-    parts = save(connected_components(links), "parts")
-    crossing = save(_enough(_cross_pairs(postings, parts, p)).join(stars, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        parts = save(connected_components(links.unionByName(_verified(docs, crossing, p))), "parts")
-    for done in (postings, stars, crossing, links):
+    sets = save(_needed_sets(docs, postings.select("node").distinct(), p), "sets")
+    links = parts = None
+    for leaders in p.star_leaders:
+        found = _verified(_enough(_star_pairs(_with_parts(postings, parts), p, leaders), both_lead=True), sets, p)
+        links = found if links is None else save(links.unionByName(found), "links")
+        parts = save(connected_components(links), "parts")
+    found = _verified(_enough(_cross_pairs(_with_parts(postings, parts), p)), sets, p)
+    if not found.isEmpty():
+        parts = save(connected_components(links.unionByName(found)), "parts")
+    for done in (postings, sets, links, found):
         drop(done)
     own = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = own.where("node is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
