@@ -9,7 +9,10 @@ from ..functions.scalars import pence_currency, pence_price, position_value, to_
 from .positions import net_positions
 from .tables import latest_quote
 
-BOOK = Window.partitionBy("portfolio_id")
+
+def book():
+    return Window.partitionBy("portfolio_id")
+
 
 
 def live_rates(fx: DataFrame) -> DataFrame:
@@ -29,12 +32,12 @@ def position_values(ledger: DataFrame, quotes: DataFrame, fx: DataFrame, *by: st
 def weight_by_symbol(values: DataFrame) -> DataFrame:
     """(portfolio_id, symbol, value_gbp, weight): shares of the invested total, rounded to six places."""
     rows = values.groupBy("portfolio_id", "symbol").agg(F.sum("value_gbp").alias("value_gbp"))
-    return rows.withColumn("weight", F.round(F.try_divide(F.col("value_gbp"), F.sum("value_gbp").over(BOOK)), 6))
+    return rows.withColumn("weight", F.round(F.try_divide(F.col("value_gbp"), F.sum("value_gbp").over(book())), 6))
 
 
 def concentration(values: DataFrame) -> DataFrame:
     """(portfolio_id, positions, hhi, effective_n, top1, top3, top5, top10) of rounded weights."""
-    rows = weight_by_symbol(values).withColumn("n", F.row_number().over(BOOK.orderBy(F.desc("weight"), "symbol")))
+    rows = weight_by_symbol(values).withColumn("n", F.row_number().over(book().orderBy(F.desc("weight"), "symbol")))
     tops = [F.sum(F.when(F.col("n") <= k, F.col("weight"))).alias(f"top{k}") for k in (1, 3, 5, 10)]
     out = rows.groupBy("portfolio_id").agg(F.count("*").alias("positions"), F.sum(F.col("weight") * F.col("weight")).alias("hhi"), *tops)
     return out.withColumn("effective_n", F.try_divide(F.lit(1.0), F.col("hhi")))
@@ -43,7 +46,7 @@ def concentration(values: DataFrame) -> DataFrame:
 def currency_exposure(values: DataFrame) -> DataFrame:
     """(portfolio_id, currency, invested_gbp, positions, weight) of positions by listing currency."""
     rows = values.groupBy("portfolio_id", "currency").agg(F.sum("value_gbp").alias("invested_gbp"), F.countDistinct("symbol").alias("positions"))
-    return rows.withColumn("weight", F.try_divide(F.col("invested_gbp"), F.sum("invested_gbp").over(BOOK)))
+    return rows.withColumn("weight", F.try_divide(F.col("invested_gbp"), F.sum("invested_gbp").over(book())))
 
 
 def missing_quotes(ledger: DataFrame, quotes: DataFrame) -> DataFrame:

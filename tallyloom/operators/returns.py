@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAYS = Window.partitionBy("portfolio_id").orderBy("date")
-SO_FAR = DAYS.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_day():
+    return Window.partitionBy("portfolio_id").orderBy("date")
+
+
+def so_far():
+    return by_day().rowsBetween(Window.unboundedPreceding, 0)
+
 
 
 def external_flows(ledger: DataFrame) -> DataFrame:
@@ -25,15 +31,15 @@ def twr_growth(values: DataFrame, flows: DataFrame) -> DataFrame:
     A day's return is its change less its flow over the day before; days after a value of 0 or less have none.
     """
     days = values.join(flows, ["portfolio_id", "date"], "left").withColumn("flow", F.coalesce("flow_gbp", F.lit(0.0)))
-    days = days.withColumn("before", F.lag("value_gbp").over(DAYS)).withColumn("started", F.max(F.col("value_gbp") > 0).over(SO_FAR))
+    days = days.withColumn("before", F.lag("value_gbp").over(by_day())).withColumn("started", F.max(F.col("value_gbp") > 0).over(so_far()))
     days = days.withColumn("r", F.when(F.col("before") > 0, (F.col("value_gbp") - F.col("before") - F.col("flow")) / F.col("before")).otherwise(0.0))
-    days = days.withColumn("growth", F.product(1 + F.col("r")).over(SO_FAR)).withColumn("cum_contrib_gbp", F.sum("flow").over(SO_FAR))
+    days = days.withColumn("growth", F.product(1 + F.col("r")).over(so_far())).withColumn("cum_contrib_gbp", F.sum("flow").over(so_far()))
     return days.where("started").select("portfolio_id", "date", "growth", "cum_contrib_gbp")
 
 
 def drawdown(growth: DataFrame) -> DataFrame:
     """(portfolio_id, date, drawdown) from the running peak."""
-    peak = F.max("growth").over(SO_FAR)
+    peak = F.max("growth").over(so_far())
     return growth.select("portfolio_id", "date", ((F.col("growth") - peak) / peak).alias("drawdown"))
 
 
@@ -53,7 +59,7 @@ def annual_returns(growth: DataFrame) -> DataFrame:
 
 def weekday_returns(growth: DataFrame) -> DataFrame:
     """(portfolio_id, date, r): change on the calendar day before, for Monday to Friday."""
-    before = F.lag("growth").over(DAYS)
+    before = F.lag("growth").over(by_day())
     rows = growth.withColumn("r", F.when(before > 0, F.col("growth") / before - 1))
     return rows.where(F.col("r").isNotNull() & (F.weekday("date") < 5)).select("portfolio_id", "date", "r")
 
@@ -70,8 +76,8 @@ def risk_summary(growth: DataFrame, rf: float = 0.04) -> DataFrame:
 
 def rolling_vol(growth: DataFrame, window: int = 63, step: int = 5) -> DataFrame:
     """(portfolio_id, date, vol): yearly volatility of the last window weekday returns, every step rows."""
-    rows = weekday_returns(growth).withColumn("n", F.row_number().over(DAYS))
-    vol = F.stddev_samp("r").over(DAYS.rowsBetween(1 - window, 0)) * 252**0.5
+    rows = weekday_returns(growth).withColumn("n", F.row_number().over(by_day()))
+    vol = F.stddev_samp("r").over(by_day().rowsBetween(1 - window, 0)) * 252**0.5
     return rows.withColumn("vol", vol).where(f"n >= {window} and (n - {window}) % {step} = 0").select("portfolio_id", "date", "vol")
 
 

@@ -39,7 +39,16 @@ def _rounded(df: DataFrame, **places: int) -> DataFrame:
 
 
 _END = f"DATE '{AS_OF}'"
-_AS_OF, _FIRST = F.lit(AS_OF).cast("date"), F.lit("1995-01-01").cast("date")
+
+
+def _day(text: str = AS_OF):
+    return F.lit(text).cast("date")
+
+
+def _first():
+    return _day("1995-01-01")
+
+
 _DELTA = "CASE WHEN amount < 0 THEN abs(quantity) WHEN amount > 0 THEN -abs(quantity) ELSE quantity END"
 
 
@@ -243,12 +252,12 @@ held AS (SELECT portfolio_id, symbol, from_date, coalesce(lead(from_date) OVER w
 
 @query(_HELD + " SELECT portfolio_id, symbol, from_date, to_date, quantity FROM held WHERE quantity > 0.000001", "ledger")
 def position_intervals(ledger):
-    return timeline.position_intervals(ledger, _AS_OF)
+    return timeline.position_intervals(ledger, _day())
 
 
 @query(f", s AS (SELECT portfolio_id, min(txn_date) AS a FROM ledger GROUP BY 1) SELECT portfolio_id, CAST(unnest(generate_series(a, {_END}, INTERVAL 1 DAY)) AS DATE) AS date FROM s", "ledger")
 def day_spine(ledger):
-    return timeline.day_spine(ledger, _AS_OF)
+    return timeline.day_spine(ledger, _day())
 
 
 _VALUES = (
@@ -264,7 +273,7 @@ invested AS (SELECT portfolio_id, date, sum(coalesce(quantity * unit_gbp, 0)) AS
 
 @query(_VALUES + " SELECT portfolio_id, date, round(invested_gbp + 0.000037, 2) AS invested_gbp FROM invested", "ledger", "prices", "fx")
 def daily_invested(ledger, prices, fx):
-    return _money(timeline.daily_invested(ledger, prices, fx, _FIRST, _AS_OF), "invested_gbp")
+    return _money(timeline.daily_invested(ledger, prices, fx, _first(), _day()), "invested_gbp")
 
 
 _CASH = (
@@ -279,11 +288,11 @@ daily AS (SELECT portfolio_id, date, coalesce(invested_gbp, 0) AS invested_gbp,
 
 @query(_CASH + " SELECT portfolio_id, date, round(cash_gbp + 0.000037, 2) AS cash_gbp FROM cash", "ledger", "prices", "fx")
 def daily_cash(ledger, prices, fx):
-    return _money(timeline.daily_cash(ledger, fx, _FIRST, _AS_OF), "cash_gbp")
+    return _money(timeline.daily_cash(ledger, fx, _first(), _day()), "cash_gbp")
 
 
 def _values(ledger, prices, fx):
-    return timeline.daily_values(ledger, prices, fx, _FIRST, _AS_OF)
+    return timeline.daily_values(ledger, prices, fx, _first(), _day())
 
 
 @query(_CASH + " SELECT portfolio_id, date, round(value_gbp + 0.000037, 2) AS value_gbp, round(invested_gbp + 0.000037, 2) AS invested_gbp, round(cash_gbp + 0.000037, 2) AS cash_gbp FROM daily", "ledger", "prices", "fx")
