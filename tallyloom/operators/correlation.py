@@ -21,7 +21,7 @@ def correlation_matrix(returns: DataFrame) -> DataFrame:
     """(a, b, rho) for a < b over their common days; 0 where a series doesn't move. Joined by day, one row per pair and day."""
     other = returns.select("date", F.col("symbol").alias("b"), F.col("r").alias("s"))
     pairs = returns.select("date", F.col("symbol").alias("a"), "r").join(other, "date").where("a < b").groupBy("a", "b")
-    sums = pairs.agg(F.corr("r", "s").alias("rho"))
+    sums = pairs.agg(F.try_divide(F.covar_samp("r", "s"), F.stddev_samp("r") * F.stddev_samp("s")).alias("rho"))
     return sums.select("a", "b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0)))).alias("rho"))
 
 
