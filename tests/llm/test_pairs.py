@@ -110,6 +110,28 @@ def test_lines(spark):
     assert line_dedup.dropped_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_lines_by_all_shingles_with_production_parameters(spark):
+    random.seed(8)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(5000)]
+    pairs, want = [], []
+    while len(pairs) < 600:
+        x = " ".join(random.choices(words, k=random.choice((4, 6, 9, 12, 16, 18, 22, 40))))
+        y = list(x)
+        for _ in range(random.randint(1, 1 + len(x) // 60)):
+            at = random.randrange(len(y))
+            y[at : at + 1] = random.choice((["#"], ["#", "#"], []))
+        y = "".join(y).strip()
+        a, b = ({t[i : i + 10] for i in range(len(t) - 9)} for t in (x, y))
+        if min(len(x), len(y)) >= 20 and x != y and 0.6 < len(a & b) / len(a | b) < 0.88:
+            pairs.append((x, y))
+            want.append(100 * len(a & b) >= 75 * len(a | b))
+    texts = [t for pair in pairs for t in pair]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(spark.createDataFrame(rows(*texts), DOCS)).collect()}
+    got = [2 * i + 1 in gone for i in range(len(pairs))]
+    assert not [i for i in range(len(pairs)) if got[i] and not want[i]] and not [d for d in gone if d % 2 == 0]
+    assert sum(got) >= 0.98 * sum(want) > 100
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
