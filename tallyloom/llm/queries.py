@@ -53,7 +53,7 @@ def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
     docs = _table(spark, sf_dir, "documents")
-    gone = line_dedup.dropped_lines(docs).withColumnRenamed("doc_id", "gone_id")
+    gone = line_dedup.dropped_lines(docs, line_dedup.LineDedup(short_copies=True)).withColumnRenamed("doc_id", "gone_id")
     counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyloom.llm import components, decontam, jaccard_join, line_dedup
+from tallyloom.llm import components, decontam, jaccard_join, line_dedup, queries
 
 DOCS = "doc_id long, text string, node string, part string, token long"  # the last columns clash with inner names
 
@@ -132,6 +132,13 @@ def test_lines_by_all_shingles_with_production_parameters(spark):
     assert sum(got) >= 0.98 * sum(want) > 100
 
 
+def test_short_lines_are_dropped_where_equal(spark, tmp_path):
+    texts = ["Short one\n\nshort two\n", " short ONE \n\nshort twos", None, "short one\nshort one"]
+    spark.createDataFrame(rows(*texts), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.dropped for r in queries.op4_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: "", 1: "0", 2: "", 3: "0,1"}
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
