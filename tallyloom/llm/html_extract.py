@@ -1,10 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Containers that name their purpose decide first: blocks of
-menus, headers, footers, sidebars, forms, notices, adverts and comments are out, blocks of an article or main
-element are in. The first pass labels the rest by link density, stop-word density and length; the second lets
-short and middling blocks take the label of the nearest decided blocks. Where a page has an article element
-with text, blocks outside it are out.
+menus, headers, footers, sidebars, forms, notices, adverts and comments are out. The first pass labels all others,
+on every page, by link density, stop-word density and length, and blocks of an article or main element lean in; the
+second lets short and middling blocks take the label of the nearest decided blocks, and those of an article or main
+element the label of the blocks in the same element.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ class Block:
     text: str
     linked: int
     out: bool
-    inside: bool
+    inside: tuple[int, ...]
     heading: bool
 
 
@@ -100,8 +100,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, out, inside, link
-    state = (False, False, False)
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, out, numbers of the articles around, link
+    state = (False, (), False)
+    articles = 0
     heading = False
     at = 0
 
@@ -146,10 +147,14 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
                         break
-            was = stack[-1][1:] if stack else (False, False, False)
-            says = _purpose(tag, m[3], was[1]) if block or m[3] else None
-            stack.append((tag, was[0] or says == "out", was[1] or says == "in" and not was[0], was[2] or tag == "a"))
-        state = stack[-1][1:] if stack else (False, False, False)
+            was = stack[-1][1:] if stack else (False, (), False)
+            says = _purpose(tag, m[3], bool(was[1])) if block or m[3] else None
+            around = was[1]
+            if says == "in" and not was[0] and (not around or tag == "article"):
+                articles += 1
+                around = (*around, articles)
+            stack.append((tag, was[0] or says == "out", around, was[2] or tag == "a"))
+        state = stack[-1][1:] if stack else (False, (), False)
     text.append(page[at:])
     flush()
     return out
@@ -159,14 +164,14 @@ def first_pass(b: Block, r: BlockRules) -> str:
     """in, out, near (leans in) or short."""
     if b.out:
         return "out"
-    if b.inside:
-        return "in"
     if b.linked > r.most_links * len(b.text):
         return "out"
     if b.heading:
-        return "short"
+        return "near" if b.inside else "short"
     words = b.text.lower().split()
     density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if b.inside:
+        return "in" if len(b.text) >= r.short and density >= r.some_stop_words else "near"
     if len(b.text) < r.short:
         return "out" if b.linked else "short"
     if density >= r.good_stop_words:
@@ -174,8 +179,11 @@ def first_pass(b: Block, r: BlockRules) -> str:
     return "near" if density >= r.some_stop_words else "out"
 
 
-def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
-    """Short blocks are in between two blocks that are in, or beside a leaning one; leaning ones unless both sides are out."""
+def second_pass(labels: list[str], headings: list[bool], inside: list[tuple[int, ...]]) -> list[bool]:
+    """Short blocks are in between two blocks that are in, or beside a leaning one; leaning ones unless both sides are out.
+
+    Blocks of an article are in where any block of it is, where none of it is out, or where no block of the page is in.
+    """
     decided = [x if x in ("in", "out") else None for x in labels]
 
     def side(i: int, step: int) -> tuple[str, bool]:
@@ -188,11 +196,16 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
             i += step
         return "out", leaning
 
+    good = {a for x, articles in zip(labels, inside, strict=True) if x == "in" for a in articles}
+    poor = {articles[-1] for x, articles in zip(labels, inside, strict=True) if x == "out" and articles}
     kept = []
     for i, label in enumerate(labels):
         if decided[i]:
             kept.append(label == "in")
             continue
+        if inside[i]:
+            kept.append(inside[i][-1] in good or inside[i][-1] not in poor or "in" not in decided)
+            continue
         (before, near_before), (after, near_after) = side(i, -1), side(i, 1)
         if label == "near":
             kept.append("in" in (before, after) or before == after == "out" and not any(d == "in" for d in decided))
@@ -206,10 +219,8 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
 def main_text(page: str | None, r: BlockRules = BlockRules()) -> str:
     """The kept blocks of a page, joined by line feeds; empty for a null or empty page."""
     found = blocks(page or "")
-    if any(b.inside and not b.out for b in found):
-        return "\n".join(b.text for b in found if b.inside and not b.out)
     labels = [first_pass(b, r) for b in found]
-    kept = second_pass(labels, [b.heading for b in found])
+    kept = second_pass(labels, [b.heading for b in found], [() if b.out else b.inside for b in found])
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

@@ -35,6 +35,13 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_both_passes_run_with_containers():
+    links = "<ul><li><a href=x>One of the other stories</a></li><li><a href=y>And one more of them</a></li></ul>"
+    assert html_extract.main_text(f"<article><h1>Head</h1><p>{LONG}</p>{links}<p>Last.</p></article>") == f"Head\n{LONG.strip()}\nLast."
+    cards = "".join(f"<article><h2><a href={i}>Card number {i}</a></h2><p>Teaser {i}</p></article>" for i in range(3))
+    assert html_extract.main_text(f"<body><div>{LONG}</div><div>{LONG}</div>{cards}</body>") == f"{LONG.strip()}\n{LONG.strip()}"
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>é</article>", "t"), (None, None, None, None), (1, "u", "<article>é</article>", "t")]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
