@@ -43,10 +43,13 @@ OUT_TAGS = frozenset("nav footer aside form menu dialog head".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 OUT_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
-    consent cookie cookies disqus discussion footer gdpr login masthead menu modal nav navbar navigation newsletter notice
+    consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice
     notices notification outbrain pagination pager popup promo promotion related replies reply respond share sharing sidebar
     signup site-header skip social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar widget""".split()
 )
+# What a name may add to those; and elements whose names say nothing on all they hold.
+NEUTRAL_NAMES = frozenset("area bar block bottom box container content inner item left links list nr outer panel right section top wrap wrapper".split())
+UNNAMED_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
 _SKIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>")
@@ -59,13 +62,15 @@ _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 @dataclass(frozen=True)
 class BlockRules:
     """Bounds of the first pass: link density above which a block is out; lengths of short and long blocks in
-    characters; stop-word densities of good and middling blocks."""
+    characters; stop-word densities of good and middling blocks; the least share of stop words on a page whose
+    language they are taken to know (elsewhere blocks are judged by links and length alone)."""
 
     most_links: float = 0.4
     short: int = 70
     long: int = 200
     good_stop_words: float = 0.3
     some_stop_words: float = 0.15
+    known_stop_words: float = 0.05
 
 
 @dataclass
@@ -86,8 +91,9 @@ def _purpose(tag: str, attributes: str, inside: bool) -> str | None:
         role = found.get("role", "").lower()
         if role in OUT_ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")) or _BARE_HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)):
             return "out"
-        for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
-            if name in OUT_NAMES or not OUT_NAMES.isdisjoint(_NAME.split(name)):
+        for name in () if tag in UNNAMED_TAGS else f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+            parts = {x for x in _NAME.split(name) if x and not x.isdigit()}
+            if parts & OUT_NAMES and parts <= OUT_NAMES | NEUTRAL_NAMES:
                 return "out"
         if role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower():
             return "in"
@@ -160,16 +166,20 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block, r: BlockRules) -> str:
-    """in, out, near (leans in) or short."""
+def _density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(b: Block, r: BlockRules, known: bool) -> str:
+    """in, out, near (leans in) or short; known: whether the stop words are those of the page's language."""
     if b.out:
         return "out"
     if b.linked > r.most_links * len(b.text):
         return "out"
     if b.heading:
         return "near" if b.inside else "short"
-    words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    density = _density(b.text) if known else r.good_stop_words
     if b.inside:
         return "in" if len(b.text) >= r.short and density >= r.some_stop_words else "near"
     if len(b.text) < r.short:
@@ -219,7 +229,9 @@ def second_pass(labels: list[str], headings: list[bool], inside: list[tuple[int,
 def main_text(page: str | None, r: BlockRules = BlockRules()) -> str:
     """The kept blocks of a page, joined by line feeds; empty for a null or empty page."""
     found = blocks(page or "")
-    labels = [first_pass(b, r) for b in found]
+    judged = " ".join(b.text for b in found if not b.out and not b.linked)
+    known = not judged or _density(judged) >= r.known_stop_words
+    labels = [first_pass(b, r, known) for b in found]
     kept = second_pass(labels, [b.heading for b in found], [() if b.out else b.inside for b in found])
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 

@@ -42,6 +42,17 @@ def test_both_passes_run_with_containers():
     assert html_extract.main_text(f"<body><div>{LONG}</div><div>{LONG}</div>{cards}</body>") == f"{LONG.strip()}\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize("start", ["<body class='single has-sidebar'>", "<body class=sidebar>", "<div class='content comments-open'>", "<section id=discussion>", "<article class='post social-history'>", "<div class=share-price>"])
+def test_names_that_only_hold_a_part_name(start):
+    assert html_extract.main_text(f"{start}<h2 id=related>On it</h2><p>{LONG}</p>") == f"On it\n{LONG.strip()}"
+    assert html_extract.main_text(f"<div class='sidebar-left comment-12'>{LONG}</div>") == ""
+
+
+def test_language_without_known_stop_words():
+    text = "Joki virtaa mereen eikä kukaan tiedä mitä siellä oli ennen kaupunkia. " * 4
+    assert html_extract.main_text(f"<div><a href=x>Etusivu</a></div><p>{text}</p>") == text.strip()
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>é</article>", "t"), (None, None, None, None), (1, "u", "<article>é</article>", "t")]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
