@@ -1,11 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the average of its words' vectors; a word's vector is the sum of the learned vectors of its own
-hash bucket and of the buckets of its byte n-grams (of the word between two markers, case kept). One more
-learned vector stands for every word that ends a three-word sequence already seen in the same text. A
-softmax over the average gives the classes. Training is stochastic gradient descent in numpy, inside one
-task, over a bounded sample of labelled texts; scoring runs over all partitions with the broadcast model,
-whose size is fixed by its parameters.
+A text is the average of its words' vectors plus the average of its word pairs' vectors. A word's vector is the sum
+of the learned vectors of its own hash bucket and of the buckets of its character n-grams (of the word between two
+markers, case kept); two words in a row have the learned vector of their pair's bucket
+(few buckets, which unseen pairs share). Pairs have binary weights: in
+the sum each different pair of a text stands once, while the divisor counts all. A softmax over the average gives the
+classes. Training is stochastic gradient descent in numpy, inside one task, over a bounded sample of labelled texts;
+scoring runs over all partitions with the broadcast model, whose size is fixed by its parameters.
 """
 
 from __future__ import annotations
@@ -19,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, pieces, split
+from .words import Words, mix, pieces, split
 
 
 @dataclass(frozen=True)
 class Subwords:
-    """buckets, width: hashed vectors and their length; grams: n-gram lengths in bytes; max_training_texts: bound
-    of the labelled sample (the texts of least id hash; all labelled texts if fewer); repeat_weight: features that a
-    repeat counts as; rate, vector_rate: first learning rates of the softmax and of the vectors."""
+    """buckets, pair_buckets, width: hashed vectors of words and n-grams, those of word pairs, and their length; grams: n-gram lengths in characters; max_training_texts: bound
+    of the labelled sample (the texts of least id hash; all labelled texts if fewer); rate, vector_rate: first
+    learning rates of the softmax and of the vectors."""
 
     buckets: int = 1 << 17
+    pair_buckets: int = 1 << 12
     width: int = 8
     grams: tuple[int, ...] = (3, 4, 5)
     max_training_texts: int = 3000
-    repeat_weight: float = 10.0
     epochs: int = 8
     rate: float = 0.5
     vector_rate: float = 20.0
@@ -46,50 +47,67 @@ class Model:
     bias: np.ndarray
 
 
-_RAW = mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_OPEN, _CLOSE = 256, 0
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MARK = 0x20  # never inside a word
 
 
-def _word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, p: Subwords) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word) pairs of the given words: the word itself and its n-grams. Bucket 0 is the repeat vector."""
-    size = end - start + 2
-    first = np.concatenate([[0], np.cumsum(size)])
-    word = np.repeat(np.arange(len(start)), size)
-    at = np.arange(first[-1]) - first[word]
-    codes = np.full(first[-1], _OPEN, dtype=np.int64)
-    inner = (at > 0) & (at < size[word] - 1)
-    codes[inner] = data[(start[word] + at - 1)[inner]]
-    codes[at == size[word] - 1] = _CLOSE
-    value = _RAW[codes]
-    whole = mix(np.add.reduceat(value * mix(at.astype(np.uint64) + np.uint64(77)), first[:-1])) if len(start) else np.zeros(0, np.uint64)
-    found, owner = [whole], [np.arange(len(start))]
+def _word_features(words: list[bytes], p: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word) pairs of the given words, for each word itself and its n-grams, and a hash of each word."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text = b" ".join([b"", *words, b""]).decode("utf-8", "replace")
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    mark = codes == _MARK
+    marks = np.cumsum(mark)
+    value = mix((codes.astype(np.uint64) + np.uint64(1)) * _ODD)
+    first = np.flatnonzero(mark)[:-1]
+    place = (np.arange(len(codes)) - np.append(first, len(codes))[marks - 1]).astype(np.uint64)
+    whole = mix(np.add.reduceat((value * mix(place + np.uint64(77)))[:-1], first))
+    found, owner = [whole], [np.arange(len(words))]
     for n in p.grams:
-        inside = np.flatnonzero(at + n <= size[word])
-        h = np.zeros(len(inside), dtype=np.uint64)
+        if len(codes) < n:
+            continue
+        start = np.arange(len(codes) - n + 1)
+        start = start[marks[start + n - 2] == marks[start]]  # no mark but at either end
+        h = np.zeros(len(start), dtype=np.uint64)
         for i in range(n):
-            h = h * np.uint64(0xD6E8FEB86659FD93) + value[inside + i]
+            h = h * np.uint64(0xD6E8FEB86659FD93) + value[start + i]
         found.append(mix(h + np.uint64(n)))
-        owner.append(word[inside])
-    return (np.concatenate(found) % np.uint64(p.buckets - 1)).astype(np.int64) + 1, np.concatenate(owner)
+        owner.append(marks[start] - 1)
+    return (np.concatenate(found) % np.uint64(p.buckets)).astype(np.int64), np.concatenate(owner), whole
 
 
-def _words(texts: pa.Array):
-    """Of some texts: data, bounds of distinct words, each word's distinct number, word bounds of the texts, repeats per text."""
+@dataclass
+class _Texts:
+    """Words of some texts: w as split; number: each word's place among the distinct ones, whose features are bucket, owner;
+    pair_text, pair_bucket: the different pairs of each text; pairs: how many each text has in all."""
+
+    w: Words
+    number: np.ndarray
+    distinct: int
+    bucket: np.ndarray
+    owner: np.ndarray
+    pair_text: np.ndarray
+    pair_bucket: np.ndarray
+    pairs: np.ndarray
+
+
+def _read(texts: pa.Array, p: Subwords) -> _Texts:
     w = split(texts)
-    value = _RAW[w.data]
-    # the same polynomial idea as for lower-cased words, with the case kept
-    hashes = w.hashes + _case(w, value)
-    _, where, number = np.unique(hashes, return_index=True, return_inverse=True)
-    repeats = np.zeros(len(w.first) - 1)
-    if len(hashes) >= 3:
-        triple = mix(hashes[:-2] * np.uint64(3) + hashes[1:-1] * np.uint64(5) + hashes[2:] * np.uint64(7))
-        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-            if b - a >= 3:
-                repeats[i] = (b - a - 2) - len(np.unique(triple[a : b - 2]))
-    return w, where, number, repeats
-
-
-def _case(w, value: np.ndarray) -> np.ndarray:
+    _, where, number = np.unique(w.hashes + _case(w), return_index=True, return_inverse=True)
+    raw = w.data.tobytes()
+    bucket, owner, whole = _word_features([raw[a:b] for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)], p)
+    words = np.diff(w.first)
+    text = np.repeat(np.arange(len(words)), words)
+    h = whole[number] if len(number) else np.zeros(0, np.uint64)
+    joined = (text[1:] == text[:-1]) if len(text) else np.zeros(0, bool)
+    pair = mix(h[:-1] * np.uint64(3) + h[1:] * np.uint64(5))[joined]
+    pair_text = text[1:][joined]
+    _, once = np.unique(mix(pair + pair_text.astype(np.uint64) * _ODD), return_index=True)
+    return _Texts(w, number, len(where), bucket, owner, pair_text[once], (pair[once] % np.uint64(p.pair_buckets)).astype(np.int64) + p.buckets, np.maximum(words - 1, 0))
+
+
+def _case(w: Words) -> np.ndarray:
     """Differs for words that differ in the case of letters only."""
     upper = ((w.data >= 65) & (w.data <= 90)).astype(np.uint64) * (np.arange(len(w.data), dtype=np.uint64) + np.uint64(1))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(upper)])
@@ -100,30 +118,29 @@ def _case(w, value: np.ndarray) -> np.ndarray:
 
 def averages(texts: pa.Array, vectors: np.ndarray, p: Subwords) -> np.ndarray:
     """The averaged vector of each text (zero for a text without words)."""
-    w, where, number, repeats = _words(texts)
-    bucket, owner = _word_features(w.data, w.start[where], w.end[where], p)
-    own = np.stack([np.bincount(owner, vectors[bucket, k], minlength=len(where)) for k in range(p.width)], axis=1) if len(where) else np.zeros((0, p.width))
-    own = np.column_stack([own, np.bincount(owner, minlength=len(where))])  # the last column counts features
-    total = np.concatenate([np.zeros((1, p.width + 1)), np.cumsum(own[number], axis=0)])
-    total = total[w.first[1:]] - total[w.first[:-1]] + p.repeat_weight * repeats[:, None] * np.append(vectors[0], 1)
-    return total[:, :-1] / np.maximum(total[:, -1:], 1)
+    t = _read(texts, p)
+    n = len(t.w.first) - 1
+    own = np.stack([np.bincount(t.owner, vectors[t.bucket, k], minlength=t.distinct) for k in range(p.width)] + [np.bincount(t.owner, minlength=t.distinct)], axis=1)
+    total = np.concatenate([np.zeros((1, p.width + 1)), np.cumsum(own[t.number], axis=0)])
+    total = total[t.w.first[1:]] - total[t.w.first[:-1]]
+    pairs = np.stack([np.bincount(t.pair_text, vectors[t.pair_bucket, k], minlength=n) for k in range(p.width)], axis=1)
+    return total[:, :-1] / np.maximum(total[:, -1:], 1) + pairs / np.maximum(t.pairs, 1)[:, None]
 
 
 def _text_features(text: str, p: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text with their weights in its average."""
-    w, where, number, repeats = _words(pa.array([text], pa.string()))
-    times = np.bincount(number, minlength=len(where))
-    bucket, owner = _word_features(w.data, w.start[where], w.end[where], p)
-    bucket, weight = np.append(bucket, 0), np.append(times[owner], p.repeat_weight * repeats[0])
+    t = _read(pa.array([text], pa.string()), p)
+    times = np.bincount(t.number, minlength=t.distinct)[t.owner]
+    bucket = np.concatenate([t.bucket, t.pair_bucket])
+    weight = np.concatenate([times / max(1, times.sum()), np.full(len(t.pair_bucket), 1 / max(1, t.pairs[0]))])
     there, at = np.unique(bucket, return_inverse=True)
-    return there.astype(np.int32), (np.bincount(at, weight) / max(1, weight.sum())).astype(np.float32)
+    return there.astype(np.int32), np.bincount(at, weight, minlength=len(there)).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, p: Subwords) -> Model:
     """Stochastic gradient descent, a text at a time, with a linearly falling rate; classes weigh alike."""
     rng = np.random.default_rng(p.seed)
-    vectors = rng.uniform(-1, 1, (p.buckets, p.width)).astype(np.float32) / p.width
-    vectors[0] = 0
+    vectors = rng.uniform(-1, 1, (p.buckets + p.pair_buckets, p.width)).astype(np.float32) / p.width
     output, bias = np.zeros((2, p.width), np.float32), np.zeros(2, np.float32)
     features = [_text_features(t, p) for t in texts]
     weight = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
@@ -164,7 +181,7 @@ def fit(labelled: DataFrame, p: Subwords = Subwords()) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     made = sample.select("text", "label").repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(made[0].model) if made else Model(np.zeros((p.buckets, p.width), np.float32), np.zeros((2, p.width), np.float32), np.zeros(2, np.float32))
+    return pickle.loads(made[0].model) if made else Model(np.zeros((p.buckets + p.pair_buckets, p.width), np.float32), np.zeros((2, p.width), np.float32), np.zeros(2, np.float32))
 
 
 def score(docs: DataFrame, model: Model, p: Subwords = Subwords(), keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
