@@ -1,7 +1,8 @@
 """Packing by lexical retrieval: a sharded BM25 index hands each seed document its unused neighbours.
 
+Texts are encoded once into a table of ids. Document frequencies and the mean length are those of all documents.
 Documents are dealt to shards of a bounded number of tokens by their content: by a minimum of their words'
-hashes, so documents that share words tend to meet, and within one such key by their id, so that no group of
+hashes, so documents that share words tend to meet, and within one such key by row, so that no group of
 copies overfills a shard. In a shard, an inverted index of words weighs them by BM25. A seed opens a sequence;
 its best unused neighbours fill the window, and the last of them is cut to fit and seeds the next sequence.
 Only the last sequence of a shard can be shorter than the window.
@@ -9,7 +10,7 @@ Only the last sequence of a shard can be shorter than the window.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,64 +18,95 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
+from .tables import save
 from .words import mix, pieces, split
 
 
 @dataclass(frozen=True)
 class Packing:
     """window: tokens of a sequence; end_id closes each document; shard_tokens: about the tokens of a shard;
-    query_terms: words of the seed of greatest weight that are looked up; neighbours: the best found that are
-    tried before the next lookup; k1, b: of BM25; keys: number of content keys, a fixed bound on what is
-    gathered; cache_words: encoded words that a task keeps."""
+    neighbours: the best found that are tried before the seed asks again; k1, b: of BM25; keys: number of content
+    keys, a fixed bound on what is gathered; sketch_bits: counters of document frequencies; cache_words: encoded
+    words that a Python worker keeps."""
 
     window: int = 2048
     end_id: int = 1
     shard_tokens: int = 2_000_000
-    query_terms: int = 24
     neighbours: int = 32
     k1: float = 1.2
     b: float = 0.75
     keys: int = 1 << 14
+    sketch_bits: int = 22
     cache_words: int = 400_000
 
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Encoder:
-    """Ids of the byte-level BPE vocabulary of a ranks file, by a cache of space-separated words.
+    """Ids of a byte-level BPE vocabulary, by a cache of encoded words.
 
-    The vocabulary's pattern never lets a token cross from a word into the space before the next one, so a
-    text's ids are those of its words, each with its space, except around runs of spaces: such texts are
-    encoded whole.
+    No token reaches over a single space between two characters that aren't white space: the one before ends there
+    and the next begins with the space. Texts are cut at such spaces only, and words with their space are encoded
+    apart. Python's white space includes all that the vocabulary's pattern knows. Texts that hold one of
+    the vocabulary's special tokens are encoded whole.
     """
 
-    def __init__(self, ranks: bytes, pattern: str, cache_words: int):
-        import tiktoken
+    def __init__(self, vocabulary: str, cache_words: int):
+        import tokenizers
 
-        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self._encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self._tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._cache: dict[str, bytes] = {}
         self._most = cache_words
 
-    def _fresh(self, text: str) -> bytes:
-        return np.array(self._encode(text), dtype="<u2").tobytes()
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit numbers (the vocabulary has fewer than 2**16)."""
-        if "  " in text:
-            return self._fresh(text)
-        head, *rest = text.split(" ")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit numbers (the vocabulary has fewer than 2**16)."""
+        cache = self._cache
+        if len(cache) > self._most:
+            cache.clear()
+        cut = [self._words(text) for text in texts]
+        new = list({word for words in cut for word in words[1:] if word not in cache})
+        cache.update(zip(new, self._fresh([" " + word for word in new]), strict=True))
+        heads = self._fresh([words[0] for words in cut])
+        return [b"".join([head, *map(cache.__getitem__, words[1:])]) for head, words in zip(heads, cut, strict=True)]
+
+    def _words(self, text: str) -> list[str]:
+        if any(s in text for s in self._special):
+            return [text]
+        words = text.split(" ")
         cache = self._cache
-        out = [self._fresh(head)] if head else []
-        for word in rest:
-            ids = cache.get(word)
-            if ids is None:
-                if len(cache) >= self._most:
-                    cache.clear()
-                ids = cache[word] = self._fresh(" " + word)
-            out.append(ids)
-        return b"".join(out)
+        if all(w in cache or (w and not w[0].isspace() and not w[-1].isspace()) for w in words):
+            return words
+        return _CUT.split(text)
+
+    @property
+    def begins(self) -> np.ndarray:
+        """Which ids begin a word: those of tokens that start with a space or a line feed."""
+        out = np.zeros(1 << 16, dtype=bool)
+        for token, number in self._tokenizer.get_vocab().items():
+            out[number] = token[:1] in ("Ġ", "Ċ")  # how byte-level vocabularies write the two bytes
+        return out
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(given, p: Packing) -> Encoder:
+    """The worker's own encoder of a broadcast vocabulary: its cache outlives the task."""
+    key = hash(given.value)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(given.value, p.cache_words)
+    return _encoders[key]
 
 
 def _content_keys(texts: pa.Array, p: Packing) -> np.ndarray:
@@ -88,93 +120,121 @@ def _content_keys(texts: pa.Array, p: Packing) -> np.ndarray:
     return out
 
 
-def _key_counts(docs: DataFrame, p: Packing) -> np.ndarray:
-    """Text bytes per content key: p.keys numbers whatever the input."""
+def _encoded(docs: DataFrame, vocabulary, p: Packing) -> DataFrame:
+    """(key, spread, doc_id, ids, n) of each row; spread, from 0 to 1, differs from row to row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(p.keys, dtype=np.int64)
+        encoder = _encoder(vocabulary, p)
+        end = np.array([p.end_id], dtype="<u2").tobytes()
+        part_no, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                size = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                total += np.bincount(_content_keys(part.column("text"), p), size + 8, minlength=p.keys).astype(np.int64)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["key", "size"])
-
-    out = np.zeros(p.keys, dtype=np.int64)
-    for row in docs.select("text").mapInArrow(run, "key long, size long").groupBy("key").agg(F.sum("size").alias("size")).toLocalIterator():
-        out[row.key] = row["size"]
-    return out
+                ids = [x + end for x in encoder.encode(pc.fill_null(part.column("text"), "").to_pylist())]
+                row = np.arange(done, done + len(ids), dtype=np.uint64) + np.uint64(part_no << 40)
+                done += len(ids)
+                spread = (mix(row) >> np.uint64(11)) / float(1 << 53)
+                n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_content_keys(part.column("text"), p)), pa.array(spread), part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n)], ["key", "spread", "doc_id", "ids", "n"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, spread double, doc_id long, ids binary, n long")
 
-_PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
+def _bags(ids: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, times): the different words of each document. A word is a run of ids from one that begins a word to the next, as a hash."""
+    flat = np.concatenate(ids).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    opens = begins[flat]
+    opens[first[:-1]] = True
+    at = np.flatnonzero(opens)
+    place = (np.arange(len(flat)) - at[np.cumsum(opens) - 1]).astype(np.uint64)
+    word = mix(np.add.reduceat(mix(flat.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (place + np.uint64(1))), at))
+    owner = np.searchsorted(first, at, side="right") - 1
+    order = np.lexsort((word, owner))
+    owner, word = owner[order], word[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]))
+    start = np.flatnonzero(new)
+    return owner[start], word[start], np.diff(np.append(start, len(word)))
 
-class Shard:
-    """A BM25 index of documents' words, of which each document is taken once.
 
-    A word is a run of ids from one that begins with a space to the next; begins tells these ids.
-    """
+@dataclass
+class Corpus:
+    """Statistics of all documents: levels are logarithms of the frequencies of words by sketch counter."""
+
+    documents: int
+    mean_words: float
+    noise: float
+    levels: np.ndarray
+
+    def frequency(self, word: np.ndarray, bits: int) -> np.ndarray:
+        return np.clip(np.exp2(self.levels[(word >> np.uint64(64 - bits)).astype(np.int64)] / 8.0) - self.noise, 1, self.documents)
 
-    def __init__(self, ids: list[np.ndarray], begins: np.ndarray, p: Packing):
+
+def _statistics(encoded: DataFrame, begins, p: Packing) -> Corpus:
+    """Counts over every row: two sums and a sketch of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, words, documents = sketch.Counters(p.sketch_bits), 0, 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                ids = [np.frombuffer(x.as_buffer(), dtype="<u2") for x in batch.column("ids")[a : a + 500]]
+                _, word, times = _bags(ids, begins.value)
+                counts.add(word)
+                words += int(times.sum())
+                documents += len(ids)
+        chunk, tables = counts.rows()
+        n = len(chunk)
+        yield pa.RecordBatch.from_arrays([chunk, tables, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["chunk", "counts", "words", "documents"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([words]), pa.array([documents])], ["chunk", "counts", "words", "documents"])
+
+    found = save(encoded.select("ids").mapInArrow(run, sketch.SCHEMA + ", words long, documents long"), "word-counts")
+    total = found.agg(F.sum("words").alias("words"), F.sum("documents").alias("documents")).first()
+    counts = sketch.collect(found.where("chunk is not null").select("chunk", "counts"), p.sketch_bits)
+    levels = np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
+    return Corpus(total.documents or 0, (total.words or 0) / max(1, total.documents or 0), float(np.median(counts)), levels)
+
+
+class Shard:
+    """A BM25 index of documents' words, of which each document is taken once."""
+
+    def __init__(self, ids: list[np.ndarray], begins: np.ndarray, corpus: Corpus, p: Packing):
         self.p = p
-        flat = np.concatenate(ids).astype(np.int64)
-        length = np.array([len(x) for x in ids])
-        first = np.concatenate([[0], np.cumsum(length)])
-        opens = begins[flat]
-        opens[first[:-1]] = True
-        at = np.flatnonzero(opens)
-        power = np.uint64(0x9E3779B97F4A7C15)
-        place = (np.arange(len(flat)) - at[np.cumsum(opens) - 1]).astype(np.uint64)
-        word = mix(np.add.reduceat(mix(flat.astype(np.uint64) + power * (place + np.uint64(1))), at))
-        owner = np.searchsorted(first, at, side="right") - 1
-        _, word = np.unique(word, return_inverse=True)
-        pair, times = np.unique(owner.astype(np.int64) << 32 | word, return_counts=True)
-        owner, word = pair >> 32, pair & 0xFFFFFFFF
-        df = np.bincount(word)
-        keep = df[word] > 1  # a word of one document has no neighbours
-        owner, word, times = owner[keep], word[keep], times[keep]
-        n = len(ids)
-        words_of = np.bincount(owner, times, minlength=n)
-        norm = p.k1 * (1 - p.b + p.b * words_of / max(1.0, words_of.mean()))
-        idf = np.log(1 + (n - df[word] + 0.5) / (df[word] + 0.5))
-        weight = (idf * times * (p.k1 + 1) / (times + norm[owner])).astype(np.float32)
-        # each document's heaviest words
-        order = np.lexsort((word, -weight, owner))
-        rank = np.arange(len(order)) - np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])[owner[order]]
-        asked = order[rank < p.query_terms]
-        self.query_first = np.searchsorted(owner[asked], np.arange(n + 1))
-        self.query = word[asked]
+        owner, word, times = _bags(ids, begins)
+        frequency = corpus.frequency(word, p.sketch_bits)
+        words_of = np.bincount(owner, times, minlength=len(ids))
+        _, word, here = np.unique(word, return_inverse=True, return_counts=True)
+        keep = here[word] > 1  # a word of one document has no neighbours in the shard
+        owner, word, times, frequency = owner[keep], word[keep], times[keep], frequency[keep]
+        norm = p.k1 * (1 - p.b + p.b * words_of / max(1.0, corpus.mean_words))
+        idf = np.log(1 + (corpus.documents - frequency + 0.5) / (frequency + 0.5))
+        weight = idf * times * (p.k1 + 1) / (times + norm[owner])
+        self.words, self.words_first = word, np.searchsorted(owner, np.arange(len(ids) + 1))
         by_word = np.argsort(word, kind="stable")
-        self.posting_doc, self.posting_weight = owner[by_word].astype(np.int32), weight[by_word]
-        self.posting_first = np.searchsorted(word[by_word], np.arange(len(df) + 1))
-        self.score = np.zeros(n, dtype=np.float32)
-        self.free = np.ones(n, dtype=bool)
+        self.posting_doc, self.posting_weight = owner[by_word], weight[by_word]
+        self.posting_first = np.searchsorted(word[by_word], np.arange(len(here) + 1))
+        self.free = np.ones(len(ids), dtype=bool)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document of the shard for the seed's words, each once."""
+        asked = self.words[self.words_first[seed] : self.words_first[seed + 1]]
+        a, n = self.posting_first[asked], self.posting_first[asked + 1] - self.posting_first[asked]
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        return np.bincount(self.posting_doc[at], self.posting_weight[at], minlength=len(self.free))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """The seed's best unused neighbours, best first, ties by place."""
-        met = []
-        for t in self.query[self.query_first[seed] : self.query_first[seed + 1]]:
-            a, b = self.posting_first[t], self.posting_first[t + 1]
-            docs = self.posting_doc[a:b]
-            self.score[docs] += self.posting_weight[a:b]
-            met.append(docs)
-        if not met:
-            return np.zeros(0, dtype=np.int64)
-        docs = np.concatenate(met)
-        docs = docs[self.free[docs]]
-        score = self.score[docs]
-        if len(docs) > 4 * self.p.neighbours:
-            kept = np.argpartition(-score, 4 * self.p.neighbours)[: 4 * self.p.neighbours]
-            docs, score = docs[kept], score[kept]
-        docs, where = np.unique(docs, return_index=True)
-        found = docs[np.lexsort((docs, -score[where]))][: self.p.neighbours]
-        for x in met:
-            self.score[x] = 0
-        return found
-
-
-def pack_shard(ids: list[np.ndarray], begins: np.ndarray, p: Packing) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece. Full windows of long documents go alone."""
+        score = np.where(self.free, self.scores(seed), 0)
+        found = np.flatnonzero(score > 0)
+        if len(found) > self.p.neighbours:
+            edge = np.partition(score[found], len(found) - self.p.neighbours)[len(found) - self.p.neighbours]
+            found = found[score[found] >= edge]
+        return found[np.lexsort((found, -score[found]))]
+
+
+def pack_shard(ids: list[np.ndarray], begins: np.ndarray, corpus: Corpus, p: Packing) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece. Full windows of long documents go alone.
+
+    Where a seed has no unused neighbour left, the longest unused document joins and is asked instead.
+    """
     sequence = 0
     rest = np.zeros(len(ids), dtype=np.int64)  # where the unpacked part begins
     size = np.array([len(x) for x in ids])
@@ -183,86 +243,76 @@ def pack_shard(ids: list[np.ndarray], begins: np.ndarray, p: Packing) -> Iterato
             yield int(d), a, p.window, sequence, 0
             sequence += 1
             rest[d] = a + p.window
-    index = Shard(ids, begins, p)
+    index = Shard(ids, begins, corpus, p)
     index.free[rest == size] = False
     todo = np.flatnonzero(index.free)
     todo = todo[np.lexsort((todo, -(size - rest)[todo]))].tolist()[::-1]  # longest first
-    seed = None
-    while True:
-        while seed is None and todo:
+
+    def longest() -> list[int]:
+        while todo:
             d = todo.pop()
             if index.free[d]:
-                seed = d
-        if seed is None:
-            return
-        index.free[seed] = False
-        filled, ready, cut = 0, [seed], None
-        tail = seed
+                return [d]
+        return []
+
+    ready: list[int] = longest()
+    while ready:
+        filled, seed = 0, ready[0]
+        ready = [seed]
         while filled < p.window:
             if not ready:
-                ready = index.neighbours(tail)[::-1].tolist()
+                ready = index.neighbours(seed)[::-1].tolist()
+            if not ready:
+                ready = longest()
                 if not ready:
-                    while todo and not index.free[todo[-1]]:
-                        todo.pop()
-                    if not todo:
-                        break
-                    ready = [todo.pop()]
+                    break
+                seed = ready[0]
             d = ready.pop()
             index.free[d] = False
             take = int(min(size[d] - rest[d], p.window - filled))
             yield d, int(rest[d]), take, sequence, filled
             filled += take
             rest[d] += take
-            tail = d
-            cut = d if rest[d] < size[d] else None
         sequence += 1
-        seed = cut
+        ready = [d] if rest[d] < size[d] else longest()
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, p: Packing = Packing()) -> DataFrame:
+_PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+
+
+def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing()) -> DataFrame:
     """docs(doc_id, text, ...): (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row per piece.
 
-    tokenizer is the ranks file's path and pattern its word pattern. Every row is packed, repeated rows too;
-    a null text is empty (its only id is the end), a null doc_id stays null. Equal words and lengths are taken
-    by place. Other columns are ignored; an empty table gives an empty result. The ranks travel with the job.
+    tokenizer is the path of the vocabulary's JSON file, which travels with the job. Every row is packed, repeated
+    rows too; a null text is empty (its only id is the end), a null doc_id stays null. Rows of one content key are
+    dealt by their place in the input, so equal and null ids need no shard of their own. Equal scores and lengths
+    are taken by place. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    with open(tokenizer, "rb") as f:
-        given = spark.sparkContext.broadcast((f.read(), pattern))
-    sizes = _key_counts(docs, p)
-    per_shard = p.shard_tokens * 2.5  # bytes: about 0.4 tokens a byte
-    before = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes))
-    shards = int(sizes.sum() // per_shard) + 1
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*given.value, p.cache_words)
-        start, size = before.value
-        end = np.array([p.end_id], dtype="<u2").tobytes()
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                key = _content_keys(part.column("text"), p)
-                doc = part.column("doc_id").cast(pa.int64())
-                spread = (mix(pc.fill_null(doc, -1).to_numpy().view(np.uint64)) >> np.uint64(11)) / float(1 << 53)
-                shard = np.minimum((start[key] + spread * size[key]) // per_shard, shards - 1).astype(np.int64)
-                ids = [encoder.encode(x or "") + end for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+    with open(tokenizer, encoding="utf-8") as f:
+        vocabulary = f.read()
+    given = spark.sparkContext.broadcast(vocabulary)
+    begins = spark.sparkContext.broadcast(Encoder(vocabulary, p.cache_words).begins)
+    encoded = save(_encoded(docs, given, p), "ids")
+    corpus = spark.sparkContext.broadcast(_statistics(encoded, begins, p))
+    sizes = np.zeros(p.keys, dtype=np.int64)
+    for row in encoded.groupBy("key").agg(F.sum("n").alias("n")).collect():  # p.keys rows at most
+        sizes[row.key] = row.n
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    places = spark.createDataFrame([(int(k), int(before[k]), int(sizes[k])) for k in np.flatnonzero(sizes)], "key long, before long, size long")
+    shard = F.floor((F.col("before") + F.col("spread") * F.col("size")) / p.shard_tokens).cast("long")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
-        shard = rows["shard"][0].as_py()
-        ranks = given.value[0]
-        begins = np.zeros(1 << 16, dtype=bool)
-        for line in ranks.splitlines():
-            token, number = line.split()
-            begins[int(number)] = base64.b64decode(token)[:1] in (b" ", b"\n")
-        order = np.argsort(pc.fill_null(rows["doc_id"], -(2**62)).to_numpy(), kind="stable")
+        number = rows["shard"][0].as_py()
+        order = np.lexsort((rows["spread"].to_numpy(), pc.fill_null(rows["doc_id"], -(2**62)).to_numpy()))
         doc = [rows["doc_id"][int(i)].as_py() for i in order]
         ids = [np.frombuffer(rows["ids"][int(i)].as_buffer(), dtype="<u2") for i in order]
         out = []
-        for d, a, n, sequence, offset in pack_shard(ids, begins, p):
+        for d, a, n, sequence, offset in pack_shard(ids, begins.value, corpus.value, p):
             crc = zlib.crc32(ids[d][a : a + n].astype("<u4").tobytes())
-            out.append((doc[d], a, n, crc, len(ids[d]), (shard << 32) + sequence, offset))
+            out.append((doc[d], a, n, crc, len(ids[d]), (number << 32) + sequence, offset))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _PIECE, strict=True)], [n for n, _ in _PIECE])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(encode, "shard long, doc_id long, ids binary")
+    dealt = encoded.join(F.broadcast(places), "key").select(shard.alias("shard"), "spread", "doc_id", "ids")  # p.keys rows at most
     return dealt.groupBy("shard").applyInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

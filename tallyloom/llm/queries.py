@@ -20,11 +20,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
-def tokenizer() -> tuple[str, str]:
-    """Path and word pattern of the 50k byte-level BPE vocabulary."""
+def tokenizer() -> str:
+    """Path of the 50k byte-level BPE vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_hidden_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), *tokenizer())
+    return pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -95,25 +95,50 @@ def test_quality(spark):
 
 def test_averages_match_the_training_features():
     p = quality.Subwords(buckets=1 << 10)
-    vectors = np.random.default_rng(0).normal(size=(p.buckets, p.width)).astype(np.float32)
-    given = ["One two TWO two two three", "", "a b c a b c a b c", "x"]
+    vectors = np.random.default_rng(0).normal(size=(p.buckets + p.pair_buckets, p.width)).astype(np.float32)
+    given = ["One two TWO two two three", "", "a b c a b c a b c", "x", "été Été 中文 été"]
     want = [share @ vectors[bucket] for bucket, share in (quality._text_features(t, p) for t in given)]
     assert quality.averages(pa.array(given), vectors, p) == pytest.approx(np.array(want), abs=1e-5)
 
 
+def test_averages_against_plain_text():
+    """The mean over a text's words and n-grams of their vectors, found by strings, plus the different pairs over all pairs."""
+    p = quality.Subwords(buckets=1 << 16, width=1)
+    text = "été Zoo été Zoo naïve"
+    names: dict[str, int] = {}
+    t = quality._read(pa.array([text], pa.string()), p)
+    raw = text.split()
+    grams = [["whole " + w, *(f" {w} "[i : i + n] for n in p.grams for i in range(len(w) + 3 - n))] for w in raw]
+    bucket, owner, _ = quality._word_features([w.encode() for w in raw], p)
+    for i, g in enumerate(grams):
+        assert len(g) == (owner == i).sum()
+        for name, b in zip(g, bucket[owner == i], strict=True):
+            assert names.setdefault(name, int(b)) == b
+    assert t.pairs.tolist() == [4] and len(t.pair_bucket) == 3  # "Zoo été" and "été Zoo" twice, "Zoo naïve"
+    vectors = np.random.default_rng(1).normal(size=(p.buckets + p.pair_buckets, 1))
+    every = [vectors[names[x], 0] for g in grams for x in g]
+    want = sum(every) / len(every) + vectors[t.pair_bucket, 0].sum() / 4
+    assert quality.averages(pa.array([text]), vectors, p)[0, 0] == pytest.approx(want)
+
+
 def test_encoder_equals_the_tokenizer():
-    path, pattern = tokenizer()
-    encoder = packing.Encoder(open(path, "rb").read(), pattern, 100)
-    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in [*filter(None, texts(8)), "a  b", " lead", "trail ", "x\n\n y\t z", "don't it's", "é çà ñ 中文 ok", "a \n b", " x   y", "3.14, (x)!! ***"]:
-        assert np.frombuffer(encoder.encode(t), "<u2").tolist() == reference.encode(t, add_special_tokens=False).ids, t
+    encoder = packing.Encoder(open(tokenizer(), encoding="utf-8").read(), 100)
+    reference = Tokenizer.from_file(tokenizer())
+    given = [*filter(None, texts(8)), "", "a  b", " lead", "trail ", "x\n\n y\t z", "don't it's", "é çà ñ 中文 ok", "a \n b", " x   y", "3.14, (x)!! ***", "a <|endoftext|> b", "x<|endoftext|>", "\xe9\n\xe9\u2003 \xa0 \xa0"]
+    spaces = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2003\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+    random.seed(9)
+    for _ in range(3000):
+        given.append("".join(random.choices([" ", *spaces, "a", "B", "é", "7", "'s", "!", "中", "<|endoftext|>"], weights=[8, *[0.3] * len(spaces), 4, 2, 2, 2, 1, 2, 1, 0.1], k=random.randint(1, 14))))
+    for _ in range(2):  # the second time from the cache
+        for t, ids in zip(given, encoder.encode(given), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_packing(spark):
     given = [*texts(150), "long " * 5000]
     docs = spark.createDataFrame([(i, t, "c", 0) for i, t in enumerate(given)] + [(None, "no id", "c", 0), (3, given[3], "c", 0)], DOCS)
-    out = packing.pack(docs, *tokenizer(), packing.Packing(shard_tokens=6000)).collect()
-    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(docs, tokenizer(), packing.Packing(shard_tokens=6000)).collect()
+    reference = Tokenizer.from_file(tokenizer())
     ids = {i: np.array([*reference.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, t in enumerate(given)}
     seen = {i: np.zeros(len(x), int) for i, x in ids.items()}
     for r in out:
@@ -128,18 +153,53 @@ def test_packing(spark):
         sequences[r.sequence_id] += r.length
     short = [s for s, n in sequences.items() if n < 2048]
     assert max(sequences.values()) == 2048 and len({s >> 32 for s in short}) == len(short)
-    assert packing.pack(docs.limit(0), *tokenizer()).count() == 0
-
-
-def test_neighbours_share_words():
-    path, pattern = tokenizer()
-    encoder = packing.Encoder(open(path, "rb").read(), pattern, 100)
-    ids = [np.frombuffer(encoder.encode(t), "<u2") for t in (" red fox den", " blue sea ship", " red fox hole", " ship sea port", " lone")]
-    begins = np.zeros(1 << 16, bool)
-    begins[np.unique(np.concatenate([x[:1] for x in ids] + [np.frombuffer(encoder.encode(" " + w), "<u2")[:1] for w in "fox den sea ship hole port".split()]))] = True
-    index = packing.Shard(ids, begins, packing.Packing())
-    index.free[0] = False
-    assert index.neighbours(0).tolist() == [2]
+    assert packing.pack(docs.limit(0), tokenizer()).count() == 0
+
+
+def plain_bm25(bags, seed, p):
+    """Of every document, by definition: the sum over the seed's different words."""
+    n, mean = len(bags), sum(sum(x.values()) for x in bags) / len(bags)
+    df = Counter(w for x in bags for w in x)
+    out = []
+    for x in bags:
+        norm = p.k1 * (1 - p.b + p.b * sum(x.values()) / mean)
+        out.append(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * x[w] * (p.k1 + 1) / (x[w] + norm) for w in bags[seed] if w in x and df[w] > 1))
+    return out
+
+
+def test_neighbours_by_bm25():
+    p = packing.Packing(neighbours=3)
+    encoder = packing.Encoder(open(tokenizer(), encoding="utf-8").read(), 100)
+    random.seed(11)
+    given = [" " + " ".join(random.choices("fox den sea ship hole port river stone night crow".split(), k=random.randint(1, 9))) for _ in range(25)]
+    ids = [np.frombuffer(x, "<u2") for x in encoder.encode(given)]
+    bags = [Counter(t.split()) for t in given]
+    df = Counter(w for x in bags for w in x)
+    _, word, _ = packing._bags(ids, encoder.begins)
+    levels = np.zeros(1 << p.sketch_bits)
+    for w, n in zip(*np.unique(word, return_counts=True), strict=True):
+        levels[int(w) >> (64 - p.sketch_bits)] = math.log2(n) * 8
+    assert sorted(df.values()) == sorted(np.unique(word, return_counts=True)[1].tolist())
+    corpus = packing.Corpus(len(ids), sum(sum(x.values()) for x in bags) / len(ids), 0.0, levels)
+    index = packing.Shard(ids, encoder.begins, corpus, p)
+    for seed in range(len(ids)):
+        want = plain_bm25(bags, seed, p)
+        assert index.scores(seed) == pytest.approx(want)
+        index.free[:] = True
+        index.free[[seed, (seed + 1) % 25]] = False
+        best = sorted((d for d in range(25) if index.free[d] and want[d] > 0), key=lambda d: (-round(want[d], 9), d))
+        assert [round(want[d], 9) for d in index.neighbours(seed)[:3]] == [round(want[d], 9) for d in best[:3]]
+
+
+def test_packing_follows_the_seed():
+    p = packing.Packing(window=10)
+    encoder = packing.Encoder(open(tokenizer(), encoding="utf-8").read(), 100)
+    ids = [np.frombuffer(x, "<u2") for x in encoder.encode([" red fox red fox red fox", " blue sea ship sea", " red fox den", " ship sea port", " lone"])]
+    corpus = packing.Corpus(5, 4.0, 0.0, np.zeros(1 << p.sketch_bits))
+    got = list(packing.pack_shard(ids, encoder.begins, corpus, p))
+    assert [d for d, *_ in got][:2] == [0, 2]
+    for d, x in enumerate(ids):
+        assert sorted(i for e, a, n, *_ in got if e == d for i in range(a, a + n)) == list(range(len(x)))
 
 
 def test_search(spark):
