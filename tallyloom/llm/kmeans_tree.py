@@ -2,8 +2,10 @@
 
 The tree is fitted on a bounded sample; every vector lies in the leaf that greedy descent finds. A query keeps
 a priority queue of the branches it passed by, the one whose centre has the largest inner product first, and
-so visits leaves one after another. How many it visits is calibrated: some sampled queries are answered by
-brute force over all vectors, and the visits grow until the target share of those answers lies in them.
+so visits leaves one after another, until the best branch left falls behind the first leaf by more than a width.
+The width is calibrated on probes that the tree wasn't fitted on: they are answered by brute force over all vectors,
+and the width grows until the target share of those answers lies in the leaves that they visit. How many leaves a
+query visits so depends on the query. Leaves lie together in cells, which are compared with queries chunk by chunk.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from .tables import drop, save
 class KMeansTree:
     """k: neighbours; sample: bound of the vectors that the tree is fitted on; branches: of an inner node;
     leaf_rows: about the vectors of a leaf, as far as the sample can tell leaves apart; probes: bound of the
-    calibration queries; recall: share of their true neighbours to reach; block_rows: about the vectors that
-    one task compares at once; rounds: of k-means."""
+    calibration queries; recall: share of their true neighbours to reach; cell_rows, chunk_queries: about the vectors
+    and the most queries that one task compares; rounds: of k-means."""
 
     k: int = 20
     sample: int = 20_000
     branches: int = 8
-    leaf_rows: int = 400
+    leaf_rows: int = 500
     probes: int = 100
-    recall: float = 0.94
-    block_rows: int = 4_000
+    recall: float = 0.96
+    cell_rows: int = 8_000
+    chunk_queries: int = 4_096
     rounds: int = 8
     seed: int = 5
 
@@ -92,19 +95,34 @@ class Tree:
                 todo += [(c, rows[part == j]) for j, c in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
-            while self.below[node] is not None:
-                s = self.below[node] @ q
-                best = int(np.argmax(s))
-                for j, c in enumerate(self.children[node]):
-                    if j != best:
-                        heapq.heappush(queue, (-float(s[j]), c))
-                node = self.children[node][best]
-            out.append(self.leaf[node])
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of the queries with the centres of all nodes, over the queries' lengths."""
+        return q @ np.array(self.centres).T / np.sqrt((q * q).sum(axis=1))[:, None]
+
+    def walk(self, scores: list[float]) -> Iterator[tuple[int, float]]:
+        """Leaves in best-bin-first order, each with the width at which a query with these scores reaches it."""
+        queue, first, width = [(-np.inf, 0)], None, 0.0
+        while queue:
+            passed, node = heapq.heappop(queue)
+            if first is not None:
+                width = max(width, first + passed)
+            while self.children[node]:
+                best, *others = sorted(self.children[node], key=lambda c: -scores[c])
+                for c in others:
+                    heapq.heappush(queue, (-scores[c], c))
+                node = best
+            if first is None:
+                first = scores[node]
+            yield self.leaf[node], width
+
+    def visits(self, scores: list[float], width: float, ids: list[int], least: int) -> list[int]:
+        """The leaves that a query visits: those within the width, and more while they hold fewer than least ids."""
+        out, held = [], 0
+        for leaf, needed in self.walk(scores):
+            if needed > width and held >= least:
+                break
+            out.append(leaf)
+            held += ids[leaf]
         return out
 
 
@@ -131,16 +149,6 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller id."""
-    if len(score) > k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        there = np.flatnonzero(score >= edge)
-    else:
-        there = np.arange(len(score))
-    return there[np.lexsort((ids[there], -score[there]))][:k]
-
-
 def _indexed(rows: DataFrame, tree, p: KMeansTree) -> DataFrame:
     """(leaf, embedding, vec_ids): a row per different vector with its k + 1 smallest ids, which are all that a result can hold."""
 
@@ -172,27 +180,38 @@ def _merged(hits: DataFrame, k: int) -> DataFrame:
 _HITS = "query_id long, hits array<struct<far:double,vec_id:long>>"
 
 
-def _answers(ids: np.ndarray, q: np.ndarray, x: np.ndarray, lists: list[np.ndarray], k: int) -> pa.RecordBatch:
-    """Each query's k best among the given vectors, of which each stands for a list of ids."""
-    size = np.array([len(v) for v in lists])
-    owner, all_ids = np.repeat(np.arange(len(lists)), size), np.concatenate(lists)
-    approximate = q @ x.T
-    hits = []
-    for i, own in enumerate(ids):
-        near = approximate[i]
-        if len(near) > k + 1:
-            edge = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
-            kept = np.flatnonzero(near >= edge - 1e-9 * (1 + abs(edge)))
-        else:
-            kept = np.arange(len(near))
-        score = np.zeros(len(x))
-        score[kept] = exact_scores(x[kept], q[i])
-        mask = np.zeros(len(x), dtype=bool)
-        mask[kept] = True
-        there = np.flatnonzero(mask[owner] & (all_ids != own))
-        best = there[_best(all_ids[there], score[owner[there]], k)]
-        hits.append([{"far": -float(score[owner[j]]), "vec_id": int(all_ids[j])} for j in best])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], ["query_id", "hits"])
+_HIT = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+
+
+def _answers(query_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, first: np.ndarray, visited: np.ndarray, bounds: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each query's k best ids.
+
+    x: vectors, ids[first[i]:first[i + 1]] the ids of vector i; visited: for each query and leaf whether it is
+    visited; bounds: where each leaf's vectors begin and end.
+    """
+    near = np.full((len(q), len(x)), -np.inf)
+    for leaf, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        there = np.flatnonzero(visited[:, leaf])
+        near[there, a:b] = q[there] @ x[a:b].T
+    if len(x) > k + 1:
+        edge = np.partition(near, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+        edge = np.where(np.isinf(edge), edge, edge - 1e-9 * (1 + np.abs(edge)))  # rounding of the product, before the exact score
+        row, at = np.nonzero((near >= edge[:, None]) & (near > -np.inf))
+    else:
+        row, at = np.nonzero(near > -np.inf)
+    score = np.concatenate([exact_scores(x[at[a : a + 20_000]], q[row[a : a + 20_000]]) for a in range(0, len(at), 20_000)] or [np.zeros(0)])
+    times = first[at + 1] - first[at]
+    place = np.repeat(first[at] - np.append(0, np.cumsum(times)[:-1]) if len(at) else at, times) + np.arange(times.sum())
+    row, score, hit = np.repeat(row, times), np.repeat(score, times), ids[place]
+    other = hit != query_ids[row]
+    row, score, hit = row[other], score[other], hit[other]
+    order = np.lexsort((hit, -score, row))
+    row, score, hit = row[order], score[order], hit[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, score, hit = row[rank < k], score[rank < k], hit[rank < k]
+    offsets = np.searchsorted(row, np.arange(len(q) + 1)).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(-score), pa.array(hit)], ["far", "vec_id"])
+    return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.ListArray.from_arrays(pa.array(offsets), values)], ["query_id", "hits"])
 
 
 def brute_force(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -202,22 +221,36 @@ def brute_force(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield _answers(*given.value, _matrix(b.column("embedding")), list(b.column("vec_id").to_numpy()[:, None]), k)
+                n = b.num_rows
+                yield _answers(*given.value, _matrix(b.column("embedding")), b.column("vec_id").to_numpy(), np.arange(n + 1), np.ones((len(ids), 1), bool), np.array([0, n]), k)
 
     return _merged(rows.mapInArrow(run, _HITS), k)
 
 
-def _calibrated(rows: DataFrame, tree: Tree, sample_ids: np.ndarray, sample: np.ndarray, p: KMeansTree) -> int:
-    """The leaves to visit: the fewest whose rows hold p.recall of the probes' true neighbours."""
-    ids, q = sample_ids[: p.probes], sample[: p.probes]
+def _calibrated(rows: DataFrame, tree: Tree, ids: np.ndarray, q: np.ndarray, p: KMeansTree) -> float:
+    """The width at which the probes' visited leaves hold p.recall of their true neighbours."""
     true = brute_force(rows, ids, q, p.k).select("query_id", F.explode("hits.vec_id").alias("vec_id"))
     found = true.join(rows, "vec_id").select("query_id", "embedding").collect()  # probes * k rows at most
     if not found:
-        return 1
+        return 0.0
     leaves = tree.assign(np.array([r.embedding for r in found]))
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.visits(v, tree.leaves))} for i, v in zip(ids, q, strict=True)}
-    ranks = np.sort([order[r.query_id][int(leaf)] for r, leaf in zip(found, leaves, strict=True)])
-    return int(ranks[int(np.ceil(p.recall * len(ranks))) - 1]) + 1
+    width = {int(i): dict(tree.walk(s)) for i, s in zip(ids, tree.scores(q).tolist(), strict=True)}
+    needed = np.sort([width[r.query_id][int(leaf)] for r, leaf in zip(found, leaves, strict=True)])
+    return float(needed[int(np.ceil(p.recall * len(needed))) - 1])
+
+
+def _cells(counts: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, number of cells) of each leaf: neighbouring leaves share a cell of about the given rows, a larger leaf has several."""
+    first, number, cell, filled = np.zeros(leaves, np.int32), np.ones(leaves, np.int32), 0, 0
+    for leaf in range(leaves):
+        n = counts.get(leaf, 0)
+        if filled and filled + n > most:
+            cell, filled = cell + 1, 0
+        first[leaf], number[leaf] = cell, max(1, -(-n // most))
+        filled += n
+        if filled >= most:
+            cell, filled = cell + number[leaf], 0
+    return first, number
 
 
 def search(vectors: DataFrame, is_query: Column, p: KMeansTree = KMeansTree()) -> DataFrame:
@@ -225,48 +258,76 @@ def search(vectors: DataFrame, is_query: Column, p: KMeansTree = KMeansTree()) -
 
     A query's candidates are all other rows. Score is the inner product of the given vectors in double
     precision; ties go to the smaller vec_id. Null ids, null, zero and non-finite vectors, and vectors of
-    another length than most, take no part. Rows that share a vec_id are one query each and are all candidates
-    of the others. Fewer candidates give fewer ranks; an empty table gives an empty result. Equal vectors are
-    indexed once, with the ids that a result can hold, so copies crowd no leaf; a leaf's vectors are dealt
-    into blocks by their number, so a task compares a bounded number at once.
+    another length than most (their product with most isn't defined), take no part. Rows that share a vec_id are
+    one query each and are all candidates of the others. Fewer candidates give fewer ranks; an empty table gives an
+    empty result. Equal vectors are indexed once, with the ids that a result can hold, so copies crowd no leaf;
+    cells and chunks bound what a task compares at once.
     """
     spark = vectors.sparkSession
     rows = save(usable(vectors), "vectors")
-    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).collect()
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.probes + p.sample).collect()
     if not sampled:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    sample_ids, sample = np.array([r.vec_id for r in sampled]), np.array([r.embedding for r in sampled])
+    ids, sample = np.array([r.vec_id for r in sampled]), np.array([r.embedding for r in sampled])
+    held_out = min(p.probes, max(1, len(ids) // 4))
     total = rows.count()
-    tree = Tree(np.unique(sample, axis=0), max(4, p.leaf_rows * len(sample) // total), p)
-    most = _calibrated(rows, tree, sample_ids, sample, p)
+    fitted = sample[held_out:] if len(ids) > held_out else sample
+    tree = Tree(np.unique(fitted, axis=0), max(4, p.leaf_rows * len(fitted) // total), p)
+    different = np.unique(sample[:held_out], axis=0, return_index=True)[1]  # probes among copies find each other at once
+    width = _calibrated(rows, tree, ids[different], sample[different], p)
     spread = spark.sparkContext.broadcast(tree)
     indexed = save(_indexed(rows, spread, p), "indexed")
-    blocks = {r.leaf: -(-r["count"] // p.block_rows) for r in indexed.groupBy("leaf").count().collect()}  # a row per leaf of the tree
-    sizes = spark.sparkContext.broadcast(blocks)
+    counts = {r.leaf: r for r in indexed.groupBy("leaf").agg(F.count("*").alias("vectors"), F.sum(F.size("vec_ids")).alias("ids")).collect()}  # a row per leaf
+    first, number = _cells({leaf: r.vectors for leaf, r in counts.items()}, tree.leaves, p.cell_rows)
+    held = [counts[leaf].ids if leaf in counts else 0 for leaf in range(tree.leaves)]
+    cells = spark.sparkContext.broadcast((first, number, held))
+    queries = rows.where(is_query)
+    chunks = max(1, -(-queries.count() // p.chunk_queries))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number, held = cells.value
         for b in batches:
-            rows_out = []
-            for i, q in enumerate(_matrix(b.column("embedding"))):
-                rows_out += [(i, leaf, block) for leaf in spread.value.visits(q, most) for block in range(sizes.value.get(leaf, 0))]
-            at, leaf, block = zip(*rows_out, strict=True) if rows_out else ((), (), ())
+            if not b.num_rows:
+                continue
+            at, cell, leaves = [], [], []
+            for i, s in enumerate(spread.value.scores(_matrix(b.column("embedding"))).tolist()):
+                met: dict[int, list[int]] = {}
+                for leaf in spread.value.visits(s, width, held, p.k + 1):
+                    for c in range(first[leaf], first[leaf] + number[leaf]):
+                        met.setdefault(c, []).append(leaf)
+                at += [i] * len(met)
+                cell += met
+                leaves += met.values()
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), b.column("vec_id").take(take), b.column("embedding").take(take)], ["leaf", "block", "query_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column("vec_id").take(take), b.column("embedding").take(take), pa.array(leaves, pa.list_(pa.int32()))], ["cell", "query_id", "embedding", "leaves"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            x = _matrix(left["embedding"].combine_chunks())
-            lists = [v.values.to_numpy() for v in left["vec_ids"]]
+            left = left.sort_by("leaf")
+            x, leaf = _matrix(left["embedding"].combine_chunks()), left["leaf"].to_numpy()
+            own, begins = np.unique(leaf, return_index=True)
+            lists = left["vec_ids"].combine_chunks()
+            listed, at = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
             for part in right.to_batches(max_chunksize=512):
-                out.append(_answers(part.column("query_id").to_numpy(), _matrix(part.column("embedding")), x, lists, p.k))
-        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("hits", pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))]))
+                visited = np.zeros((part.num_rows, len(own)), bool)
+                asked = part.column("leaves")
+                row, wanted = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()
+                here = np.isin(wanted, own)
+                visited[row[here], np.searchsorted(own, wanted[here])] = True
+                out.append(_answers(part.column("query_id").to_numpy(), _matrix(part.column("embedding")), x, listed, at, visited, np.append(begins, len(x)), p.k))
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("hits", _HIT)]))
 
-    dealt = indexed.join(F.broadcast(spark.createDataFrame(list(blocks.items()), "leaf int, blocks int")), "leaf")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")).cast("int")).select("leaf", "block", "vec_ids", "embedding")
-    queries = rows.where(is_query).mapInArrow(route, f"leaf int, block int, query_id long, embedding {rows.schema['embedding'].dataType.simpleString()}")
-    hits = dealt.groupBy("leaf", "block").cogroup(queries.groupBy("leaf", "block")).applyInArrow(compare, _HITS)
+    kind = rows.schema["embedding"].dataType.simpleString()
+    places = spark.createDataFrame([(i, int(first[i]), int(number[i])) for i in range(tree.leaves)], "leaf int, first int, number int")
+    dealt = indexed.join(F.broadcast(places), "leaf")  # a row per leaf of the tree
+    dealt = dealt.withColumn("cell", (F.col("first") + F.pmod(F.xxhash64("embedding"), F.col("number"))).cast("int"))
+    dealt = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "leaf", "vec_ids", "embedding")
+    routed = queries.mapInArrow(route, f"cell int, query_id long, embedding {kind}, leaves array<int>")
+    routed = routed.select("cell", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "embedding", "leaves")
+    hits = dealt.groupBy("cell", "chunk").cogroup(routed.groupBy("cell", "chunk")).applyInArrow(compare, _HITS)
     found = _merged(hits, p.k).select("query_id", F.posexplode("hits").alias("n", "hit"))
     out = save(found.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score")), "neighbours")
     drop(indexed)
+    drop(rows)
     return out
