@@ -32,7 +32,8 @@ class JaccardJoin:
     """percent: least similarity in hundredths; words: shingle length; most_matches: largest l that is weighed;
     check_cost: cost of checking a candidate in units of reading one posting; sketch_bits: counters of the sketch;
     frequent: estimated texts from which a shingle's postings are dealt over all buckets; star_leaders: texts of a
-    posting that the others are checked against first, by round."""
+    posting that the others meet first, by round; partners: of these, how many of the most shared each is checked against
+    in a round (the last round checks all pairs that are left)."""
 
     percent: int = 75
     words: int = 5
@@ -40,7 +41,8 @@ class JaccardJoin:
     check_cost: float = 500.0
     sketch_bits: int = 22
     frequent: int = 50_000
-    star_leaders: tuple[int, ...] = (1, 128)
+    star_leaders: tuple[int, ...] = (1, 128, 160)
+    partners: tuple[int, ...] = (1, 4, 16)
 
     def least_overlap(self, n: np.ndarray | int):
         """Shingles that a set of n shares at least with any set that it links to."""
@@ -105,12 +107,12 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
     """(token, node, n, need, place) of the tokens that at least two nodes have in their prefixes, place counting from 0.
 
     Arrays travel by token bucket, one row per piece of a batch and bucket, since nearly all tokens have one
-    node only; within a bucket 32 bits tell tokens apart (a rare clash only adds a candidate). A frequent
-    token's nodes are dealt over all buckets and pass through, so no bucket grows with the largest group.
+    node only. A frequent token's nodes are dealt over all buckets and pass through, so no bucket grows with the
+    largest group.
     """
     noise = float(np.median(counts))
     spread = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8))  # 2**sketch_bits bytes
-    names = ["token", "home", "node", "n", "need", "place"]
+    names = ["token", "frequent", "node", "n", "need", "place"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected = np.maximum(np.exp2(np.arange(256) / 8) - noise - 2 * noise**0.5, 0.001)
@@ -132,52 +134,63 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
                 there, first = np.unique(bucket[order], return_index=True)
                 offsets = np.append(first, len(order)).astype(np.int32)
                 row, frequent = row[order], frequent[order]
-                short = (token[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                cols = [short, np.where(frequent, home[order], -1).astype(np.int32), node[row], n[row], need[row], place[order]]
+                cols = [token[order].view(np.int64), frequent, node[row], n[row], need[row], place[order]]
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in cols)], ["bucket", *names])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        token, home, node, n, need, place = (np.concatenate([b.column(c).flatten().to_numpy() for b in got]) for c in names)
-        own = np.where(home < 0, got[0].column("bucket")[0].as_py(), home).astype(np.int64)
-        token = own << 32 | token.view(np.uint32)
+        token, frequent, node, n, need, place = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in got]) for c in names)
         order = np.lexsort((node, token))
         repeated = np.append(False, (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1]))
         order = order[~repeated]
         same = token[order][1:] == token[order][:-1]
-        order = order[np.append(False, same) | np.append(same, False) | (home[order] >= 0)]
+        order = order[np.append(False, same) | np.append(same, False) | frequent[order]]
         for a in range(0, len(order), 1 << 16):
             o = order[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (token, node, n, need, place)], ["token", "node", "n", "need", "place"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<int>, home array<int>, node array<long>, n array<int>, need array<int>, place array<int>")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<long>, frequent array<boolean>, node array<long>, n array<int>, need array<int>, place array<int>")
     return dealt.groupBy("bucket").applyInArrow(shared, "token long, node long, n int, need int, place int")
 
 
-def _needed_sets(docs: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame:
-    """(node, members): the sets of the given nodes, one row per node.
+def _filter(nodes: DataFrame, bits: int = 22):
+    """A broadcast table of 2**bits flags that tells most other nodes from the given ones; what passes it still has to be joined."""
+    return nodes.sparkSession.sparkContext.broadcast(np.packbits(sketch.counting(nodes.select("node"), "node", bits) > 0)), bits
 
-    A filter of fixed size drops most other sets before the shuffle; the join after it is exact.
-    """
-    bits = 22
-    there = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch.counting(nodes.select(F.col("node")), "node", bits) > 0))
+
+def _passes(there, names: np.ndarray) -> np.ndarray:
+    table, bits = there
+    place = (names.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (table.value[place >> 3] << (place & 7) & 128) > 0
+
+
+def _needed_sets(docs: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame:
+    """(node, members): the sets of the given nodes, one row per node. Each task sends a set once, however many texts have it."""
+    there = _filter(nodes)
 
     def run(batches):
-        table = there.value
+        sent: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch, p.words):
                 own = {_fingerprint(s): s for s in sets if len(s)}
                 names = np.array(list(own), dtype=np.int64)
-                place = (names.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                names = names[(table[place >> 3] << (place & 7) & 128) > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([own[x].tobytes() for x in names.tolist()], pa.binary())], ["node", "members"])
+                names = [x for x in names[_passes(there, names)].tolist() if x not in sent]
+                sent.update(names)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([own[x].tobytes() for x in names], pa.binary())], ["node", "members"])
 
     found = docs.select("text").mapInArrow(run, "node long, members binary")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the similarity."""
+    """Those pairs (a, b) whose sets reach the similarity. Only the sets of these pairs are shuffled."""
+    pairs = save(pairs, "pairs")
+    there = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
+    def wanted(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(_passes(there, b.column("node").to_numpy())))
 
     def run(batches):
         for b in batches:
@@ -191,18 +204,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
                 keep.append(100 * both >= p.percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    own = sets.mapInArrow(wanted, "node long, members binary")
+    with_b = pairs.join(own.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+    both = with_b.join(own.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+    out = save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    drop(pairs)
+    return out
 
 
-def _enough(pairs: DataFrame, both_lead: bool = False) -> DataFrame:
-    """Pairs (a, b) of rows (token, a, b, need), a row per shared prefix token, that share as many tokens as they need.
-
-    Where both texts of a pair may lead, a token may come twice: with both_lead, half of the rows count.
-    """
-    shared = F.count("*") if not both_lead else F.ceil(F.count("*") / 2)
-    return pairs.groupBy("a", "b").agg(shared.alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, shared) of rows (a, b, need), a row per shared prefix token, that share as many tokens as they need."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b", "shared")
 
 
 def _may_reach(p: JaccardJoin, o: str, matches: str) -> str:
@@ -224,24 +236,45 @@ def _with_parts(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
     return own.join(mixed, "token")
 
 
-def _star_pairs(own: DataFrame, p: JaccardJoin, leaders: int) -> DataFrame:
-    """Pairs of each text with about so many texts of its posting, drawn by hash, that no path links to it yet.
+def _star_pairs(own: DataFrame, p: JaccardJoin, leaders: int, partners: int) -> DataFrame:
+    """Pairs (a, b) of each text with those of about so many texts of its postings, drawn by hash, that share most with it.
 
-    A row per shared prefix token. A node's draw is the same in all postings, so it leads in most of its own.
+    Only texts that no path links yet are paired. A node's draw is the same in all postings, so it leads in most of
+    its own. Where both texts of a pair lead, the one with the smaller node does, so a token counts once for a pair.
     """
     sizes = own.groupBy("token").agg(F.count("*").alias("size"), F.min(F.xxhash64("node")).alias("least"))
     draw = F.xxhash64("node", F.lit(leaders)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    drawn = own.join(sizes, "token").where((F.xxhash64("node") == F.col("least")) | (F.lit(leaders > 1) & (draw * F.col("size") < leaders)))
-    drawn = drawn.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
-    pairs = own.join(drawn, "token").where("part <> o_part").where(_may_reach(p, "o_", "least(need, o_need)"))
-    return pairs.select("token", F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"), F.least("need", "o_need").alias("need"))
+    marked = own.join(sizes, "token").withColumn("leads", (F.xxhash64("node") == F.col("least")) | (F.lit(leaders > 1) & (draw * F.col("size") < leaders)))
+    drawn = marked.where("leads").select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
+    met = marked.join(drawn, "token").where("part <> o_part and (not leads or o_node < node)").where(_may_reach(p, "o_", "least(need, o_need)"))
+    met = _enough(met.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.least("need", "o_need").alias("need")))
+    best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, partners).alias("best"))  # few leaders a text
+    best = best.select("a", F.explode("best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _cross_pairs(own: DataFrame, p: JaccardJoin) -> DataFrame:
-    """All pairs of a posting that no path links yet, a row per shared prefix token."""
+    """All pairs (a, b) of a posting that no path links yet and that share enough tokens."""
     other = own.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
     pairs = own.join(other, "token").where("part < o_part").where(_may_reach(p, "o_", "least(need, o_need)"))
-    return pairs.select("token", F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.least("need", "o_need").alias("need"))
+    pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.least("need", "o_need").alias("need"))
+    return _enough(pairs).select("a", "b")
+
+
+def _joined(links: DataFrame | None, found: DataFrame, parts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All links so far and their components; the tables that they replace are dropped."""
+    if links is None:
+        return found, save(connected_components(found), "parts")
+    if found.isEmpty():
+        drop(found)
+        return links, parts
+    # a component's links are a star of its nodes and their least one, which is all that later rounds need
+    stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    both = save(stars.unionByName(found), "links")
+    grown = save(connected_components(both), "parts")
+    for old in (links, found, parts):
+        drop(old)
+    return both, grown
 
 
 def similarity_classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -260,15 +293,14 @@ def similarity_classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataF
     postings = save(_postings(docs, counts, buckets, p), "postings")
     sets = save(_needed_sets(docs, postings.select("node").distinct(), p), "sets")
     links = parts = None
-    for leaders in p.star_leaders:
-        found = _verified(_enough(_star_pairs(_with_parts(postings, parts), p, leaders), both_lead=True), sets, p)
-        links = found if links is None else save(links.unionByName(found), "links")
-        parts = save(connected_components(links), "parts")
-    found = _verified(_enough(_cross_pairs(_with_parts(postings, parts), p)), sets, p)
-    if not found.isEmpty():
-        parts = save(connected_components(links.unionByName(found)), "parts")
-    for done in (postings, sets, links, found):
-        drop(done)
+    for leaders, partners in zip(p.star_leaders, p.partners, strict=True):
+        found = _verified(_star_pairs(_with_parts(postings, parts), p, leaders, partners), sets, p)
+        links, parts = _joined(links, found, parts)
+    found = _verified(_cross_pairs(_with_parts(postings, parts), p), sets, p)
+    drop(postings)
+    drop(sets)
+    links, parts = _joined(links, found, parts)
+    drop(links)
     own = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = own.where("node is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
     out = own.join(least, "part", "left")

@@ -26,11 +26,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs no more than a re-read) and keeps columnar statistics,
-    which RDD checkpoints don't. Column order and nullability are those of df.
+    which RDD checkpoints don't. Column order and nullability are those of df. The shuffle files of the
+    write go when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

@@ -55,11 +55,21 @@ def test_jaccard_classes(spark):
     sets = {i: shingles(t) for i, t in enumerate(texts)}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = unions(sets, links)
-    for p in (jaccard_join.JaccardJoin(), jaccard_join.JaccardJoin(frequent=3, star_leaders=(1,), most_matches=3)):
+    for p in (jaccard_join.JaccardJoin(), jaccard_join.JaccardJoin(frequent=3, star_leaders=(1,), partners=(1,), most_matches=3)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows(*texts), DOCS), p).collect()}
         assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_prefix_tokens_keep_all_their_bits(spark):
+    """Two tokens that differ in their last bits only count as two."""
+    p = jaccard_join.JaccardJoin()
+    docs = spark.createDataFrame(rows(*corpus()), DOCS)
+    counts = np.zeros(1 << p.sketch_bits, dtype=np.int64)
+    tokens = {r.token for r in jaccard_join._postings(docs, counts, 16, p).collect()}
+    made = {int(t) for s in jaccard_join.shingle_sets(jaccard_join.split(jaccard_join.pa.array(corpus()))) for t in s.view(np.int64)}
+    assert tokens and tokens <= made
+
+
 def test_jaccard_of_nothing_and_of_null_ids(spark):
     assert jaccard_join.similarity_classes(spark.createDataFrame([], DOCS)).count() == 0
     out = jaccard_join.similarity_classes(spark.createDataFrame([(None, "a b", "", "", 1), (7, "a b", "", "", 1), (7, "a b", "", "", 1)], DOCS)).collect()
