@@ -1,9 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame and SQL functions only. A file's segments are its lines, its paragraphs of several lines, and its
-whole text. A notice has to speak of a licence, permission or the like. Equal segments are scored once. A line or paragraph that is close enough to a template is a
-header and licenses its file; a whole text that is close enough makes the file a licence file, which also
-licenses the other files of its directory and of those below that have no nearer licence file.
+DataFrame and SQL functions only. A file's segments are its sentences, lines, paragraphs of several lines, and its
+whole text. Inverse document frequencies are those of all files. A segment that reaches the threshold has to hold one
+of its template's key words: the other words' part of the template's vector is shorter than the threshold. So only
+segments with a key word are scored, each different one once. A sentence, line or paragraph that is close enough to a
+template is a header and licenses its file; a whole text that is close enough, or one of a licence file's name, makes
+the file a licence file, which also licenses the other files of its directory and of those below that have no nearer
+licence file.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import drop, save
@@ -44,12 +47,16 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("MIT", "MIT License"),
+    ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-# A segment without any of these says nothing on permission, so it is no notice, whatever words it shares with one.
-STEMS = ("licen", "permi", "redistribut", "software", "public", "spdx", "cc0")
-
 _WORD = "[a-z0-9]+"
 
 
@@ -62,51 +69,66 @@ class LicenseScan:
     names: str = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 
-def template_vectors() -> tuple[dict[str, float], float, list[dict[str, float]]]:
-    """(idf of each template word, idf of any other word, unit vectors of the templates)."""
-    bags = [Counter(re.findall(_WORD, t.lower())) for _, t in TEMPLATES]
-    df = Counter(w for bag in bags for w in bag)
-    idf = {w: math.log(1 + len(bags) / n) for w, n in df.items()}
+def _words(column: Column | str) -> Column:
+    return F.regexp_extract_all(column, F.lit(_WORD), F.lit(0))
+
+
+def template_bags() -> list[Counter]:
+    return [Counter(re.findall(_WORD, t.lower())) for _, t in TEMPLATES]
+
+
+def template_vectors(idf: dict[str, float]) -> list[dict[str, float]]:
+    """Unit vectors of the templates."""
     unit = []
-    for bag in bags:
+    for bag in template_bags():
         v = {w: n * idf[w] for w, n in bag.items()}
         length = math.sqrt(sum(x * x for x in v.values()))
         unit.append({w: x / length for w, x in v.items()})
-    return idf, math.log(1 + 2 * len(bags)), unit
+    return unit
+
+
+def key_words(unit: list[dict[str, float]], threshold: float) -> set[str]:
+    """Words of which any segment that reaches the threshold holds one: of each template, all but the lightest words
+    whose part of the vector is shorter than the threshold."""
+    out = set()
+    for v in unit:
+        rest = 0.0
+        for word, x in sorted(v.items(), key=lambda wx: (wx[1], wx[0])):
+            rest += x * x
+            if math.sqrt(rest) >= threshold - 1e-6:
+                out.add(word)
+    return out
 
 
-def _may_match(text: Column) -> Column:
-    out = F.lit(False)
-    for stem in STEMS:
-        out = out | F.contains(text, F.lit(stem))
-    return out
+def _idf(n: Column, files: int) -> Column:
+    return F.log(1 + files / n)
 
 
-def _segments(files: DataFrame) -> DataFrame:
-    """(path, whole, segment): lower-case segments that may match, whole being true for a file's whole text."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    rows = files.select("path", text.alias("text")).where(_may_match(F.col("text")))
+def _segments(files: DataFrame, keys: set[str]) -> DataFrame:
+    """(path, whole, segment): lower-case segments with a key word, whole being true for a file's whole text."""
+    pattern = F.lit("(?<![a-z0-9])(?:" + "|".join(sorted(keys)) + ")(?![a-z0-9])")
+    rows = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text")).where(F.rlike("text", pattern))
     lines = F.split("text", "\n")
+    sentences = F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.;!?])\s+(?=\S)"))), lambda x: x != "")
     paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n")))
-    parts = rows.select("path", F.lit(False).alias("whole"), F.explode(F.concat(lines, paragraphs)).alias("segment"))
-    return parts.unionByName(rows.select("path", F.lit(True).alias("whole"), F.col("text").alias("segment"))).where(_may_match(F.col("segment")))
+    parts = rows.select("path", F.lit(False).alias("whole"), F.explode(F.array_distinct(F.concat(lines, sentences, paragraphs))).alias("segment"))
+    return parts.unionByName(rows.select("path", F.lit(True).alias("whole"), F.col("text").alias("segment"))).where(F.rlike("segment", pattern))
 
 
-def _scored(keys: DataFrame, p: LicenseScan) -> DataFrame:
+def _scored(keys: DataFrame, frequency: DataFrame, total: int, idf: dict[str, float], p: LicenseScan) -> DataFrame:
     """keys(key, segment), a row per different segment: (key, license, score) of its best template, where close enough.
 
-    Ties go to the template named first. The template tables are constants of this module.
+    frequency(word, n): files that hold a word. Ties go to the template named first.
     """
     spark = keys.sparkSession
-    idf, other, unit = template_vectors()
-    weights = spark.createDataFrame(list(idf.items()), "word string, idf double")
+    unit = template_vectors(idf)
     templates = spark.createDataFrame([(w, i, x) for i, v in enumerate(unit) for w, x in v.items()], "word string, template int, unit double")
-    words = keys.select("key", F.explode(F.regexp_extract_all("segment", F.lit(_WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy("key", "word").count().join(F.broadcast(weights), "word", "left")
-    counted = counted.select("key", "word", (F.col("count") * F.coalesce("idf", F.lit(other))).alias("x"))
-    length = counted.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = counted.join(F.broadcast(templates), "word").groupBy("key", "template").agg(F.sum(F.col("x") * F.col("unit")).alias("dot"))
-    cosine = dots.join(length, "key").withColumn("score", F.round(F.col("dot") / F.col("length"), 9)).where(F.col("score") >= p.threshold)
+    words = keys.select("key", F.explode(_words("segment")).alias("word")).groupBy("key", "word").count()
+    counted = words.join(frequency, "word").select("key", "word", (F.col("count") * _idf(F.col("n"), total)).alias("x"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("key")))
+    dots = counted.withColumn("length", length).join(F.broadcast(templates), "word")  # a row per word of a template
+    dots = dots.groupBy("key", "template").agg((F.sum(F.col("x") * F.col("unit")) / F.max("length")).alias("cosine"))
+    cosine = dots.withColumn("score", F.round("cosine", 9)).where(F.col("score") >= p.threshold)
     best = cosine.groupBy("key").agg(F.max(F.struct("score", -F.col("template"))).alias("best"))
     names = F.array(*(F.lit(name) for name, _ in TEMPLATES))
     return best.select("key", F.element_at(names, 1 - F.col("best.col2")).alias("license"), F.col("best.score").alias("score"))
@@ -133,13 +155,20 @@ def scan(files: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame:
     columns are ignored. The root directory licenses all paths.
     """
     named = files.where("path is not null")
-    segments = save(_segments(named).withColumn("key", F.xxhash64("segment")), "segments")
-    scored = _scored(segments.groupBy("key").agg(F.first("segment").alias("segment")), p)
+    found = named.select(F.explode(F.array_distinct(_words(F.lower("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    frequency = save(found, "word-files")
+    known = {w for bag in template_bags() for w in bag}
+    total = max(1, named.count())
+    counts = {r.word: r.n for r in frequency.where(F.col("word").isin(*known)).collect()}  # words of the templates
+    idf = {w: math.log(1 + total / counts.get(w, 1)) for w in known}
+    segments = save(_segments(named, key_words(template_vectors(idf), p.threshold)).withColumn("key", F.xxhash64("segment")), "segments")
+    scored = _scored(segments.groupBy("key").agg(F.first("segment").alias("segment")), frequency, total, idf, p)
     hits = segments.select("path", "whole", "key").join(scored, "key")
     own = hits.groupBy("path").agg(F.max(F.struct("whole", "score", "license")).alias("best"))
     base = F.regexp_extract("path", "[^/]*$", 0)
     own = save(own.select("path", "best.license", "best.score", (F.col("best.whole") | F.rlike(base, F.lit(p.names))).alias("whole")), "licensed")
     drop(segments)
+    drop(frequency)
     declared = own.where("whole").groupBy(_parent(F.col("path")).alias("directory")).agg(F.max_by(F.struct("license", "score", F.col("path").alias("source")), F.struct("score", _reversed("path"))).alias("by"))
     directories = named.select(_parent(F.col("path")).alias("dir")).distinct()
     above = directories.select("dir", F.posexplode(_ancestors(F.col("dir"))).alias("far", "directory"))

@@ -78,13 +78,14 @@ def op8_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files named <source>/<lang>/<doc_id>: doc_id, path, license, score, origin, source_path."""
+    """documents as files named <source>/<lang>/<doc_id>: doc_id, path, license, score, origin, source_path, a row per row of documents."""
     from .license_scan import scan
 
     docs = _table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), "text")
+    parts = (F.replace(F.coalesce(c, F.lit("-")), F.lit("/"), F.lit("_")) for c in (F.col("source"), F.col("lang"), F.col("doc_id").cast("string")))
+    files = docs.select("doc_id", F.concat_ws("/", *parts).alias("path"), "text")
     found = scan(files)
-    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "path", "license", "score", "origin", F.col("source").alias("source_path"))
+    return files.select("doc_id", "path").join(found, "path").select("doc_id", "path", "license", "score", "origin", F.col("source").alias("source_path"))
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

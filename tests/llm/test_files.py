@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import html_extract, license_scan, warc
+from tallyloom.llm import html_extract, license_scan, queries, warc
 from tallyloom.llm.tables import new_path, save
 
 LONG = "The river runs to the sea and it is not for us to say what was there before the town, because all of them have been with it. " * 3
@@ -59,37 +59,58 @@ def test_extract(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "", 0), (1, "é", 1), (1, "é", 1)]
 
 
-def test_every_template_is_a_notice():
-    for _, text in license_scan.TEMPLATES:
-        assert any(stem in text.lower() for stem in license_scan.STEMS)
-    for v in license_scan.template_vectors()[2]:
-        assert math.isclose(sum(x * x for x in v.values()), 1)
+def plain_idf(texts):
+    """Of every word of some files and of the templates: log(1 + files / files that hold it)."""
+    df = Counter(w for t in texts for w in set(re.findall("[a-z0-9]+", (t or "").lower())))
+    known = {w for bag in license_scan.template_bags() for w in bag}
+    return {w: math.log(1 + len(texts) / max(1, df[w])) for w in known | set(df)}
 
 
-def brute_license(segment):
-    idf, other, unit = license_scan.template_vectors()
-    bag = {w: n * idf.get(w, other) for w, n in Counter(re.findall("[a-z0-9]+", segment.lower())).items()}
+def brute_license(segment, idf):
+    bag = {w: n * idf[w] for w, n in Counter(re.findall("[a-z0-9]+", segment.lower())).items()}
     length = math.sqrt(sum(x * x for x in bag.values())) or 1.0
+    unit = license_scan.template_vectors(idf)
     score, at = max((round(sum(bag.get(w, 0) * x for w, x in v.items()) / length, 9), -i) for i, v in enumerate(unit))
     return (license_scan.TEMPLATES[-at][0], score) if score >= 0.75 else None
 
 
+def brute_segments(text):
+    lines = text.split("\n")
+    return [*lines, *(x for line in lines for x in re.split(r"(?<=[.;!?])\s+(?=\S)", line) if x), *(x for x in re.split("\n[ \t\r]*\n", text) if "\n" in x)]
+
+
+def test_key_words_are_necessary():
+    idf = plain_idf(["the software is licensed to the public", "of the and"])
+    unit = license_scan.template_vectors(idf)
+    keys = license_scan.key_words(unit, 0.75)
+    for v in unit:
+        assert math.isclose(sum(x * x for x in v.values()), 1)
+        assert math.sqrt(sum(x * x for w, x in v.items() if w not in keys)) < 0.75 and keys & set(v)
+
+
+LICENSED = "Licensed under the Apache License, Version 2.0."
+
+
 def test_license_scan(spark):
-    header = "Licensed under the Apache License, Version 2.0."
+    mit = max((t for n, t in license_scan.TEMPLATES if n == "MIT"), key=len)
     files = {
         "a/LICENSE": "Released under the MIT License.",
         "a/x.py": "code\ncode",
-        "a/b/y.py": f"intro text\n{header}\nmore",
+        "a/b/y.py": f"intro text on one program\n{LICENSED}\nmore code follows there and then some other things go on and on",
         "a/b/c/z.py": "",
         "a/c/COPYING": "This work is licensed under the GNU General Public License, version 3.",
         "a/c/d/w.py": "text on public matters",
         "top.py": None,
         "a/c/d/e/odd.py": "he licensed under version of the public",
+        "m/legal": mit.replace("Copyright (c)", "Copyright (c) 2020 Someone Else\n\n"),
+        "m/n/o.py": "print",
+        "p/long.py": f"Some words come first, and then. {LICENSED} And more words follow here.",
     }
-    rows = [(p, t, "c") for p, t in files.items()] + [(None, header, "c"), ("a/x.py", "code\ncode", "c")]
+    files |= {f"q/{i}.py": f"the code of file {i} is in this and that, it is for you and of the {i} kind" for i in range(30)}
+    rows = [(p, t, "c") for p, t in files.items()] + [(None, LICENSED, "c"), ("a/x.py", "code\ncode", "c")]
     out = {r.path: r for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string, license string")).collect()}
     assert set(out) == set(files)
-    assert [(out[p].license, out[p].origin, out[p].source) for p in files] == [
+    assert [(out[p].license, out[p].origin, out[p].source) for p in [*files][:11]] == [
         ("MIT", "file", "a/LICENSE"),
         ("MIT", "inherited", "a/LICENSE"),
         ("Apache-2.0", "header", "a/b/y.py"),
@@ -98,12 +119,27 @@ def test_license_scan(spark):
         ("GPL-3.0", "inherited", "a/c/COPYING"),
         (None, None, None),
         ("GPL-3.0", "inherited", "a/c/COPYING"),
+        ("MIT", "file", "m/legal"),
+        ("MIT", "inherited", "m/legal"),
+        ("Apache-2.0", "header", "p/long.py"),
     ]
-    assert brute_license(header) == (out["a/b/y.py"].license, pytest.approx(out["a/b/y.py"].score))
-    assert brute_license(files["a/c/d/e/odd.py"]) is None
+    idf = plain_idf([t for p, t, _ in rows if p is not None])
+    for path in files:
+        found = [x for x in (brute_license(s, idf) for s in brute_segments(files[path] or "")) if x]
+        if out[path].origin == "header":
+            assert out[path].score == pytest.approx(max(score for _, score in found))
+        elif out[path].origin != "file":
+            assert not found
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_license_query_with_nulls(spark, tmp_path):
+    rows = [(1, LICENSED, "en", "a/b"), (None, LICENSED, "fr", "s"), (3, None, None, None), (None, "plain", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op9_license_scan(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.path, r.license or "") for r in out) == [(0, "s/-/-", ""), (0, "s/fr/-", "Apache-2.0"), (1, "a_b/en/1", "Apache-2.0"), (3, "-/-/3", "")]
+
+
 def test_chunked_framing():
     for n in (0, 1, 4096, 10_000):
         payload = os.urandom(n)
