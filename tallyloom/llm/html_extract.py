@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,6 +108,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, out, numbers of the articles around, link
+    opened: Counter[str] = Counter()  # tags on the stack, so that none is looked for in vain
     state = (False, (), False)
     articles = 0
     heading = False
@@ -120,12 +122,16 @@ def blocks(page: str) -> list[Block]:
         text.clear()
         linked = 0
 
+    def close(i: int) -> None:
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             part = page[at : m.start()]
             text.append(part)
             if state[2]:
-                linked += len(part.strip())
+                linked += len(" ".join(html.unescape(part).split()))
         at = m.end()
         tag = m[2].lower() if m[2] else ""
         if not tag:
@@ -139,17 +145,17 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if not block and stack[i][0] in BLOCK_TAGS:
                     break
         elif block or tag == "a" or m[3]:
             if tag == "p" or tag == "li":  # a new one ends an open one
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                     if stack[i][0] == tag:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
                         break
@@ -159,6 +165,7 @@ def blocks(page: str) -> list[Block]:
             if says == "in" and not was[0] and (not around or tag == "article"):
                 articles += 1
                 around = (*around, articles)
+            opened[tag] += 1
             stack.append((tag, was[0] or says == "out", around, was[2] or tag == "a"))
         state = stack[-1][1:] if stack else (False, (), False)
     text.append(page[at:])
@@ -196,16 +203,16 @@ def second_pass(labels: list[str], headings: list[bool], inside: list[tuple[int,
     """
     decided = [x if x in ("in", "out") else None for x in labels]
 
-    def side(i: int, step: int) -> tuple[str, bool]:
-        leaning = False
-        i += step
-        while 0 <= i < len(labels):
-            if decided[i]:
-                return decided[i], leaning
-            leaning |= labels[i] == "near"
-            i += step
-        return "out", leaning
+    def nearest(places: range) -> dict[int, tuple[str, bool]]:
+        """Of each block the nearest decided label before it in that order, and whether a leaning block lies between."""
+        found, label, leaning = {}, "out", False
+        for i in places:
+            found[i] = label, leaning
+            label, leaning = (decided[i], False) if decided[i] else (label, leaning or labels[i] == "near")
+        return found
 
+    left, right = nearest(range(len(labels))), nearest(range(len(labels) - 1, -1, -1))
+    some = "in" in decided
     good = {a for x, articles in zip(labels, inside, strict=True) if x == "in" for a in articles}
     poor = {articles[-1] for x, articles in zip(labels, inside, strict=True) if x == "out" and articles}
     kept = []
@@ -214,11 +221,11 @@ def second_pass(labels: list[str], headings: list[bool], inside: list[tuple[int,
             kept.append(label == "in")
             continue
         if inside[i]:
-            kept.append(inside[i][-1] in good or inside[i][-1] not in poor or "in" not in decided)
+            kept.append(inside[i][-1] in good or inside[i][-1] not in poor or not some)
             continue
-        (before, near_before), (after, near_after) = side(i, -1), side(i, 1)
+        (before, near_before), (after, near_after) = left[i], right[i]
         if label == "near":
-            kept.append("in" in (before, after) or before == after == "out" and not any(d == "in" for d in decided))
+            kept.append("in" in (before, after) or before == after == "out" and not some)
         elif headings[i]:
             kept.append(after == "in" or near_after)
         else:

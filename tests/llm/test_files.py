@@ -7,6 +7,7 @@ import hashlib
 import math
 import os
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -53,6 +54,27 @@ def test_language_without_known_stop_words():
     assert html_extract.main_text(f"<div><a href=x>Etusivu</a></div><p>{text}</p>") == text.strip()
 
 
+def test_every_page_goes_through_both_passes(monkeypatch):
+    seen = []
+    plain = html_extract.second_pass
+    monkeypatch.setattr(html_extract, "second_pass", lambda *a: seen.append(a) or plain(*a))
+    pages = [f"<article><p>{LONG}</p></article>", f"<div class=x><div><p>{LONG}</p><p>{LONG}</p></div><div class=y><a href=1>One</a> <a href=2>Two</a></div></div>", f"<main><p>{LONG}</p></main>"]
+    assert [html_extract.main_text(x) for x in pages] == [LONG.strip(), f"{LONG.strip()}\n{LONG.strip()}", LONG.strip()]
+    assert len(seen) == len(pages)
+
+
+def test_references_in_links_count_decoded():
+    text = "The one that is <a href=x>&auml;&auml;&auml;&auml;</a> and it was not for us to say what was there before all of them came to be in it"
+    assert html_extract.main_text(f"<p>{text}</p>").startswith("The one that is ääää")
+
+
+def test_long_broken_pages_take_linear_time():
+    page = "<p>" + "<span class=a></b></i>word </u>" * 40_000 + "".join(f"<p>short {i}" for i in range(20_000))
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>é</article>", "t"), (None, None, None, None), (1, "u", "<article>é</article>", "t")]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
