@@ -216,3 +216,12 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in packed} == kept[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == kept[3]
+
+
+def test_pipeline_keeps_one_of_each_class(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(2, a), (1, b), (1, c), (None, a), (None, "lone text of its own"), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert out == sorted([(1, b), (1, c), (0, "lone text of its own"), (5, None), (6, "")], key=str)
