@@ -82,7 +82,8 @@ def _profile(docs: DataFrame, p: JaccardJoin) -> DataFrame:
 def choose_matches(df_in_order: np.ndarray, n: int, p: JaccardJoin) -> int:
     """l with the least estimated cost. df_in_order: for each shingle of the set in global order, the other texts that hold it.
 
-    The prefix costs its shingles and their postings; at most postings / l candidates share l of them (each is met l times).
+    The prefix costs its shingles and their postings. A candidate shares l of them, so it lies in l of the postings: there
+    are about as many candidates as the l-th longest posting has texts.
     """
     base = n - int(p.least_overlap(n))
     most = min(p.most_matches, n - base)
@@ -90,21 +91,25 @@ def choose_matches(df_in_order: np.ndarray, n: int, p: JaccardJoin) -> int:
         return 1
     met = np.cumsum(df_in_order[: base + most])[base : base + most]
     ls = np.arange(1, most + 1)
-    return int(ls[np.argmin(ls + met + p.check_cost * met / ls)])
+    candidates = np.array([-np.partition(-df_in_order[: base + n], n - 1)[n - 1] for n in ls])
+    return int(ls[np.argmin(ls + met + p.check_cost * candidates)])
 
 
 def _prefix(s: np.ndarray, level: np.ndarray, expected: np.ndarray, p: JaccardJoin) -> tuple[np.ndarray, np.ndarray, int]:
-    """(tokens, which of them many texts have, l) of a set's adaptive prefix."""
+    """(tokens, the texts that hold them where those are many, else 0, l) of a set's adaptive prefix."""
     own = level[(s >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
     base = len(s) - int(p.least_overlap(len(s)))
     order = np.lexsort((s, own))[: base + p.most_matches]
     others = expected[own[order]]
     need = choose_matches(others, len(s), p)
-    return s[order[: base + need]], others[: base + need] > p.frequent, need
+    others = others[: base + need]
+    return s[order[: base + need]], np.where(others > p.frequent, others, 0), need
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin) -> DataFrame:
-    """(token, node, n, need, place) of the tokens that at least two nodes have in their prefixes, place counting from 0.
+    """(token, node, n, need, place, size, least) of the tokens that at least two nodes have in their prefixes.
+
+    place counts from 0, size is the number of the token's nodes, and least marks one of them.
 
     Arrays travel by token bucket, one row per piece of a batch and bucket, since nearly all tokens have one
     node only. A frequent token's nodes are dealt over all buckets and pass through, so no bucket grows with the
@@ -112,7 +117,8 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
     """
     noise = float(np.median(counts))
     spread = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8))  # 2**sketch_bits bytes
-    names = ["token", "frequent", "node", "n", "need", "place"]
+    names = ["token", "many", "node", "n", "need", "place"]
+    out = ["token", "node", "n", "need", "place", "size", "least"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected = np.maximum(np.exp2(np.arange(256) / 8) - noise - 2 * noise**0.5, 0.001)
@@ -122,35 +128,39 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
                 if not own:
                     continue
                 found = [_prefix(s, spread.value, expected, p) for s in own.values()]
-                token, frequent = np.concatenate([t for t, _, _ in found]), np.concatenate([f for _, f, _ in found])
+                token, many = np.concatenate([t for t, _, _ in found]), np.concatenate([f for _, f, _ in found])
                 size = np.array([len(t) for t, _, _ in found])
                 row = np.repeat(np.arange(len(found)), size)
                 place = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
                 node = np.array(list(own), dtype=np.int64)
                 n, need = np.array([len(s) for s in own.values()], dtype=np.int32), np.array([x for _, _, x in found], dtype=np.int32)
                 home = (mix(token) % np.uint64(buckets)).astype(np.int32)
-                bucket = np.where(frequent, (mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[row], home)
+                bucket = np.where(many > 0, (mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[row], home)
                 order = np.argsort(bucket, kind="stable")
                 there, first = np.unique(bucket[order], return_index=True)
                 offsets = np.append(first, len(order)).astype(np.int32)
-                row, frequent = row[order], frequent[order]
-                cols = [token[order].view(np.int64), frequent, node[row], n[row], need[row], place[order]]
+                row = row[order]
+                cols = [token[order].view(np.int64), many[order].astype(np.int64), node[row], n[row], need[row], place[order]]
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in cols)], ["bucket", *names])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        token, frequent, node, n, need, place = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in got]) for c in names)
-        order = np.lexsort((node, token))
+        token, many, node, n, need, place = (np.concatenate([b.column(c).flatten().to_numpy() for b in got]) for c in names)
+        order = np.lexsort((mix(node.view(np.uint64)), token))
         repeated = np.append(False, (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1]))
         order = order[~repeated]
-        same = token[order][1:] == token[order][:-1]
-        order = order[np.append(False, same) | np.append(same, False) | frequent[order]]
+        least = np.append(True, token[order][1:] != token[order][:-1])
+        start = np.flatnonzero(least)
+        size = np.repeat(np.diff(np.append(start, len(order))), np.diff(np.append(start, len(order))))
+        kept = (size > 1) | (many[order] > 0)
+        order, size, least = order[kept], np.maximum(size, many[order])[kept], least[kept]
         for a in range(0, len(order), 1 << 16):
             o = order[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (token, node, n, need, place)], ["token", "node", "n", "need", "place"])
+            cols = [*(x[o] for x in (token, node, n, need, place)), size[a : a + (1 << 16)], least[a : a + (1 << 16)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], out)
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<long>, frequent array<boolean>, node array<long>, n array<int>, need array<int>, place array<int>")
-    return dealt.groupBy("bucket").applyInArrow(shared, "token long, node long, n int, need int, place int")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, token array<long>, many array<long>, node array<long>, n array<int>, need array<int>, place array<int>")
+    return dealt.groupBy("bucket").applyInArrow(shared, "token long, node long, n int, need int, place int, size long, least boolean")
 
 
 def _filter(nodes: DataFrame, bits: int = 22):
@@ -228,12 +238,14 @@ def _may_reach(p: JaccardJoin, o: str, matches: str) -> str:
 
 
 def _with_parts(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Postings with each node's component so far; tokens whose nodes are all in one are left out."""
+    """Postings with each node's component so far."""
     if parts is None:
         return postings.withColumn("part", F.col("node"))
-    own = postings.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = own.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    return own.join(mixed, "token")
+    return postings.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _other(own: DataFrame) -> DataFrame:
+    return own.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
 
 
 def _star_pairs(own: DataFrame, p: JaccardJoin, leaders: int, partners: int) -> DataFrame:
@@ -242,11 +254,9 @@ def _star_pairs(own: DataFrame, p: JaccardJoin, leaders: int, partners: int) ->
     Only texts that no path links yet are paired. A node's draw is the same in all postings, so it leads in most of
     its own. Where both texts of a pair lead, the one with the smaller node does, so a token counts once for a pair.
     """
-    sizes = own.groupBy("token").agg(F.count("*").alias("size"), F.min(F.xxhash64("node")).alias("least"))
     draw = F.xxhash64("node", F.lit(leaders)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    marked = own.join(sizes, "token").withColumn("leads", (F.xxhash64("node") == F.col("least")) | (F.lit(leaders > 1) & (draw * F.col("size") < leaders)))
-    drawn = marked.where("leads").select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
-    met = marked.join(drawn, "token").where("part <> o_part and (not leads or o_node < node)").where(_may_reach(p, "o_", "least(need, o_need)"))
+    marked = own.withColumn("leads", F.col("least") | (F.lit(leaders > 1) & (draw * F.col("size") < leaders)))
+    met = marked.join(_other(marked.where("leads")), "token").where("part <> o_part and (not leads or o_node < node)").where(_may_reach(p, "o_", "least(need, o_need)"))
     met = _enough(met.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.least("need", "o_need").alias("need")))
     best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, partners).alias("best"))  # few leaders a text
     best = best.select("a", F.explode("best.b").alias("b"))
@@ -254,9 +264,10 @@ def _star_pairs(own: DataFrame, p: JaccardJoin, leaders: int, partners: int) ->
 
 
 def _cross_pairs(own: DataFrame, p: JaccardJoin) -> DataFrame:
-    """All pairs (a, b) of a posting that no path links yet and that share enough tokens."""
-    other = own.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "need", "place", "part")))
-    pairs = own.join(other, "token").where("part < o_part").where(_may_reach(p, "o_", "least(need, o_need)"))
+    """All pairs (a, b) of a posting that no path links yet and that share enough tokens. Postings of one component are left out."""
+    mixed = own.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
+    own = own.join(mixed, "token", "left_semi")
+    pairs = own.join(_other(own), "token").where("part < o_part").where(_may_reach(p, "o_", "least(need, o_need)"))
     pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.least("need", "o_need").alias("need"))
     return _enough(pairs).select("a", "b")
 
