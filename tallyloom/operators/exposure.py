@@ -23,8 +23,8 @@ def live_rates(fx: DataFrame) -> DataFrame:
 def position_values(ledger: DataFrame, quotes: DataFrame, fx: DataFrame, *by: str) -> DataFrame:
     """(portfolio_id, symbol, by..., currency, shares, value_gbp) at the latest quotes; unquoted symbols are left out."""
     held = net_positions(ledger, "symbol", *by)
-    joined = held.join(F.broadcast(latest_quote(quotes)), "symbol").withColumn("listed", pence_currency(F.col("currency")))
-    joined = joined.join(F.broadcast(live_rates(fx)).withColumnRenamed("currency", "listed"), "listed", "left")
+    joined = held.join(latest_quote(quotes), "symbol").withColumn("listed", pence_currency(F.col("currency")))
+    joined = joined.join(live_rates(fx).withColumnRenamed("currency", "listed"), "listed", "left")
     value = to_gbp(position_value(F.col("shares"), pence_price(F.col("close"), F.col("currency")), F.col("symbol")), F.col("listed"), F.col("rate"))
     return joined.select("portfolio_id", "symbol", *by, F.col("listed").alias("currency"), "shares", F.coalesce(value, F.lit(0.0)).alias("value_gbp"))
 

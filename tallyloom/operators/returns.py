@@ -25,16 +25,23 @@ def invested_flows(ledger: DataFrame) -> DataFrame:
     return ledger.where("type in ('TRANSACTION', 'DIVIDEND')").groupBy("portfolio_id", F.col("txn_date").alias("date")).agg((-F.sum("amount_gbp")).alias("flow_gbp"))
 
 
-def twr_growth(values: DataFrame, flows: DataFrame) -> DataFrame:
-    """(portfolio_id, date, growth, cum_contrib_gbp): growth of one from the first day with a positive value.
+def _step(value: str, flow: str):
+    """1 + return of a day: its change less its flow over the day before; 1 after a value of 0 or less."""
+    before = F.lag(value).over(by_day())
+    return F.when(before > 0, (F.col(value) - F.col(flow)) / before).otherwise(1.0)
 
-    A day's return is its change less its flow over the day before; days after a value of 0 or less have none.
+
+def twr_growth(values: DataFrame, flows: DataFrame, invested: DataFrame) -> DataFrame:
+    """(portfolio_id, date, growth, invested_growth, cum_contrib_gbp): growth of one from the first day with a positive value.
+
+    growth chains the whole value's days by contributions, invested_growth the invested value's by invested flows.
     """
-    days = values.join(flows, ["portfolio_id", "date"], "left").withColumn("flow", F.coalesce("flow_gbp", F.lit(0.0)))
-    days = days.withColumn("before", F.lag("value_gbp").over(by_day())).withColumn("started", F.max(F.col("value_gbp") > 0).over(so_far()))
-    days = days.withColumn("r", F.when(F.col("before") > 0, (F.col("value_gbp") - F.col("before") - F.col("flow")) / F.col("before")).otherwise(0.0))
-    days = days.withColumn("growth", F.product(1 + F.col("r")).over(so_far())).withColumn("cum_contrib_gbp", F.sum("flow").over(so_far()))
-    return days.where("started").select("portfolio_id", "date", "growth", "cum_contrib_gbp")
+    moved = invested.withColumnRenamed("flow_gbp", "moved_gbp")
+    days = values.join(flows, ["portfolio_id", "date"], "left").join(moved, ["portfolio_id", "date"], "left")
+    days = days.withColumns({"flow": F.coalesce("flow_gbp", F.lit(0.0)), "moved": F.coalesce("moved_gbp", F.lit(0.0)), "started": F.max(F.col("value_gbp") > 0).over(so_far())})
+    days = days.withColumns({"step": _step("value_gbp", "flow"), "i_step": _step("invested_gbp", "moved")})
+    days = days.withColumns({"growth": F.product("step").over(so_far()), "invested_growth": F.product("i_step").over(so_far()), "cum_contrib_gbp": F.sum("flow").over(so_far())})
+    return days.where("started").select("portfolio_id", "date", "growth", "invested_growth", "cum_contrib_gbp")
 
 
 def drawdown(growth: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def gbp_unit_values(bars: DataFrame, fx: DataFrame, first: Column, last: Column)
 def daily_invested(ledger: DataFrame, bars: DataFrame, fx: DataFrame, first: Column, as_of: Column) -> DataFrame:
     """(portfolio_id, date, invested_gbp) for days with a position; days without a rate count as 0."""
     units = gbp_unit_values(bars, fx, first, as_of)
-    return daily_positions(ledger, as_of).join(units, ["symbol", "date"]).groupBy("portfolio_id", "date").agg(F.sum(F.coalesce(F.col("quantity") * F.col("unit_gbp"), F.lit(0.0))).alias("invested_gbp"))
+    return daily_positions(ledger, as_of).join(units.hint("merge"), ["symbol", "date"]).groupBy("portfolio_id", "date").agg(F.sum(F.coalesce(F.col("quantity") * F.col("unit_gbp"), F.lit(0.0))).alias("invested_gbp"))
 
 
 def day_spine(ledger: DataFrame, as_of: Column) -> DataFrame:
@@ -52,14 +52,14 @@ def daily_cash(ledger: DataFrame, fx: DataFrame, first: Column, as_of: Column) -
     days = days.withColumn("cash", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     days = days.withColumn("to_date", F.coalesce(F.date_sub(F.lead("from_date").over(order), 1), as_of))
     days = days.select("portfolio_id", "currency", "cash", F.explode(F.sequence("from_date", "to_date")).alias("date"))
-    joined = days.join(F.broadcast(dense_rates(fx, first, as_of)), ["currency", "date"], "left")  # currencies times days
+    joined = days.join(dense_rates(fx, first, as_of).hint("merge"), ["currency", "date"], "left")  # exploded tables are larger than their estimates
     return joined.groupBy("portfolio_id", "date").agg(F.sum(F.coalesce(to_gbp(F.col("cash"), F.col("currency"), F.col("rate")), F.lit(0.0))).alias("cash_gbp"))
 
 
 def daily_values(ledger: DataFrame, bars: DataFrame, fx: DataFrame, first: Column, as_of: Column) -> DataFrame:
     """(portfolio_id, date, value_gbp, invested_gbp, cash_gbp) for every day from a portfolio's first row."""
     invested, cash = daily_invested(ledger, bars, fx, first, as_of), daily_cash(ledger, fx, first, as_of)
-    days = day_spine(ledger, as_of).join(invested, ["portfolio_id", "date"], "left").join(cash, ["portfolio_id", "date"], "left")
+    days = day_spine(ledger, as_of).join(invested.hint("merge"), ["portfolio_id", "date"], "left").join(cash.hint("merge"), ["portfolio_id", "date"], "left")
     days = days.select("portfolio_id", "date", F.coalesce("invested_gbp", F.lit(0.0)).alias("invested_gbp"), F.coalesce("cash_gbp", F.lit(0.0)).alias("cash_gbp"))
     return days.select("portfolio_id", "date", (F.col("invested_gbp") + F.col("cash_gbp")).alias("value_gbp"), "invested_gbp", "cash_gbp")
 

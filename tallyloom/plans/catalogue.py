@@ -10,28 +10,41 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import asof, correlation, exposure, positions, returns, tables, timeline
 from .fixtures import AS_OF, duck, table
+from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view, or a table derived from views: the ledger, daily values and growth are written once and reused."""
+    if name == "ledger":
+        return stored(spark, sf_dir, name, lambda: table(spark, sf_dir, name))
+    if name == "values":
+        return stored(spark, sf_dir, name, lambda: _values(*(_given(spark, sf_dir, v) for v in ("ledger", "prices", "fx"))))
+    if name == "growth":
+        return stored(spark, sf_dir, name, lambda: _growth(_given(spark, sf_dir, "values"), _given(spark, sf_dir, "ledger")))
+    return table(spark, sf_dir, name)
+
+
 def query(sql: str, *views: str):
     """Registers a query of the given views with its SQL; both round doubles the same way."""
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(table(spark, sf_dir, v) for v in views))
-        SQL[f.__name__] = duck(sql, *views)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(_given(spark, sf_dir, v) for v in views))
+        SQL[f.__name__] = duck(sql, *(w for v in views for w in (("ledger", "prices", "fx") if v in ("values", "growth") else (v,))))
         return f
 
     return register
 
 
-#: Added before money is rounded, so that exact half-cents don't hang on how an engine rounds ties.
-NUDGE = 0.000037
+def cents(column):
+    """Money in cents, half up: doubles tie alike in every engine once they are decimals."""
+    return F.round(F.col(column).cast("decimal(28,6)") if isinstance(column, str) else column.cast("decimal(28,6)"), 2).cast("double")
 
 
 def _money(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + NUDGE, 2) for c in columns})
+    return df.withColumns({c: cents(c) for c in columns})
 
 
 def _rounded(df: DataFrame, **places: int) -> DataFrame:
@@ -87,10 +100,12 @@ def quotes_prune(quotes):
     return tables.quotes_prune(quotes, F.lit("2001-10-28 00:00:00").cast("timestamp_ntz")).select("symbol", "ts", "close")
 
 
-@query("SELECT symbol, CAST(ts AS DATE) AS date, arg_max(close, (ts, close)) AS close FROM quotes GROUP BY ALL", "quotes")
+_LONDON = "CAST(timezone('Europe/London', timezone('UTC', ts)) AS DATE)"
+
+
+@query(f"SELECT symbol, {_LONDON} AS date, arg_max(close, (ts, close)) AS close FROM quotes GROUP BY ALL", "quotes")
 def daily_rollup(quotes):
-    # the quotes lie in winter time (October's end to November), when London days are UTC days but for October's
-    return quotes.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by("close", F.struct("ts", "close")).alias("close"))
+    return tables.daily_rollup(quotes)
 
 
 @query(
@@ -174,9 +189,9 @@ def pence_normalise(prices):
     return prices.select("symbol", "date", scalars.pence_price(F.col("close"), F.col("currency")).alias("price"), scalars.pence_currency(F.col("currency")).alias("currency"))
 
 
-@query("SELECT symbol, date, symbol LIKE 'GILT%' AS bond, round(volume * close / CASE WHEN symbol LIKE 'GILT%' THEN 100 ELSE 1 END + 0.000037, 2) AS value FROM prices", "prices")
+@query("SELECT symbol, date, symbol LIKE 'GILT%' AS bond, CAST(round(CAST(volume * close / CASE WHEN symbol LIKE 'GILT%' THEN 100 ELSE 1 END AS DECIMAL(28, 6)), 2) AS DOUBLE) AS value FROM prices", "prices")
 def position_value(prices):
-    return prices.select("symbol", "date", scalars.is_bond(F.col("symbol")).alias("bond"), F.round(scalars.position_value(F.col("volume"), F.col("close"), F.col("symbol")) + NUDGE, 2).alias("value"))
+    return prices.select("symbol", "date", scalars.is_bond(F.col("symbol")).alias("bond"), cents(scalars.position_value(F.col("volume"), F.col("close"), F.col("symbol"))).alias("value"))
 
 
 @query("SELECT DISTINCT symbol, CASE WHEN symbol LIKE 'GILT%' THEN CAST(regexp_extract(symbol, '([0-9.]+)%', 1) AS DOUBLE) / 100 END AS coupon FROM prices", "prices")
@@ -210,11 +225,11 @@ r4 AS (SELECT *, CASE WHEN type = 'TRANSACTION' AND amount = 0 AND was_held > 0
 r5 AS (SELECT *, exp(sum(ln(ratio)) OVER w) AS f, exp(sum(ln(ratio)) OVER (PARTITION BY portfolio_id, account, symbol)) AS fe FROM r4 WINDOW w AS (PARTITION BY portfolio_id, account, symbol ORDER BY txn_date, seq ROWS UNBOUNDED PRECEDING)),
 r6 AS (SELECT *, bought * fe / f AS units, eff * fe / f AS sold_units FROM r5),
 r7 AS (SELECT *, sum(units) OVER w AS hi, sum(sold_units) OVER w AS sold_hi, sum(sold_units) OVER (PARTITION BY portfolio_id, account, symbol) AS sold FROM r6 WINDOW w AS (PARTITION BY portfolio_id, account, symbol ORDER BY txn_date, seq ROWS UNBOUNDED PRECEDING)),
-lots AS (SELECT *, least(greatest(hi - sold, 0), units) AS rest FROM r7)
+lots AS MATERIALIZED (SELECT *, least(greatest(hi - sold, 0), units) AS rest FROM r7)
 """
 
 
-@query(_LOTS + "SELECT portfolio_id, account, symbol, txn_date AS open_date, seq, round(rest, 4) AS shares, round(-amount_gbp * rest / units + 0.000037, 2) AS cost_gbp FROM lots WHERE bought > 0 AND rest > 0.000001", "ledger")
+@query(_LOTS + "SELECT portfolio_id, account, symbol, txn_date AS open_date, seq, round(rest, 4) AS shares, CAST(round(CAST(-amount_gbp * rest / units AS DECIMAL(28, 6)), 2) AS DOUBLE) AS cost_gbp FROM lots WHERE bought > 0 AND rest > 0.000001", "ledger")
 def open_lots(ledger):
     return _money(_rounded(positions.open_lots(ledger), shares=4), "cost_gbp")
 
@@ -227,7 +242,7 @@ def fifo_positions(ledger):
 @query(
     _LOTS
     + """SELECT b.portfolio_id, b.account, b.symbol, b.seq AS open_seq, s.seq AS close_seq, round((least(b.hi, s.sold_hi) - greatest(b.hi - b.units, s.sold_hi - s.sold_units)) * s.f / s.fe, 4) AS shares,
-    round(-b.amount_gbp * (least(b.hi, s.sold_hi) - greatest(b.hi - b.units, s.sold_hi - s.sold_units)) / b.units + 0.000037, 2) AS cost_gbp
+    CAST(round(CAST(-b.amount_gbp * (least(b.hi, s.sold_hi) - greatest(b.hi - b.units, s.sold_hi - s.sold_units)) / b.units AS DECIMAL(28, 6)), 2) AS DOUBLE) AS cost_gbp
     FROM lots b JOIN lots s USING (portfolio_id, account, symbol) WHERE b.bought > 0 AND s.eff > 0 AND b.hi - b.units < s.sold_hi - 0.000001 AND s.sold_hi - s.sold_units < b.hi - 0.000001""",
     "ledger",
 )
@@ -271,7 +286,7 @@ invested AS (SELECT portfolio_id, date, sum(coalesce(quantity * unit_gbp, 0)) AS
 )
 
 
-@query(_VALUES + " SELECT portfolio_id, date, round(invested_gbp + 0.000037, 2) AS invested_gbp FROM invested", "ledger", "prices", "fx")
+@query(_VALUES + " SELECT portfolio_id, date, CAST(round(CAST(invested_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS invested_gbp FROM invested", "ledger", "prices", "fx")
 def daily_invested(ledger, prices, fx):
     return _money(timeline.daily_invested(ledger, prices, fx, _first(), _day()), "invested_gbp")
 
@@ -286,7 +301,7 @@ daily AS (SELECT portfolio_id, date, coalesce(invested_gbp, 0) AS invested_gbp,
 )
 
 
-@query(_CASH + " SELECT portfolio_id, date, round(cash_gbp + 0.000037, 2) AS cash_gbp FROM cash", "ledger", "prices", "fx")
+@query(_CASH + " SELECT portfolio_id, date, CAST(round(CAST(cash_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS cash_gbp FROM cash", "ledger", "prices", "fx")
 def daily_cash(ledger, prices, fx):
     return _money(timeline.daily_cash(ledger, fx, _first(), _day()), "cash_gbp")
 
@@ -295,9 +310,9 @@ def _values(ledger, prices, fx):
     return timeline.daily_values(ledger, prices, fx, _first(), _day())
 
 
-@query(_CASH + " SELECT portfolio_id, date, round(value_gbp + 0.000037, 2) AS value_gbp, round(invested_gbp + 0.000037, 2) AS invested_gbp, round(cash_gbp + 0.000037, 2) AS cash_gbp FROM daily", "ledger", "prices", "fx")
-def daily_values(ledger, prices, fx):
-    return _money(_values(ledger, prices, fx), "value_gbp", "invested_gbp", "cash_gbp")
+@query(_CASH + " SELECT portfolio_id, date, CAST(round(CAST(value_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS value_gbp, CAST(round(CAST(invested_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS invested_gbp, CAST(round(CAST(cash_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS cash_gbp FROM daily", "values")
+def daily_values(values):
+    return _money(values, "value_gbp", "invested_gbp", "cash_gbp")
 
 
 @query("SELECT portfolio_id, txn_date AS date, round(sum(amount_gbp), 2) AS flow_gbp FROM ledger WHERE type = 'CONTRIBUTION' GROUP BY ALL", "ledger")
@@ -313,76 +328,74 @@ def invested_flows(ledger):
 _TWR = (
     _CASH
     + """, fl AS (SELECT portfolio_id, txn_date AS date, sum(amount_gbp) AS flow FROM ledger WHERE type = 'CONTRIBUTION' GROUP BY ALL),
-t0 AS (SELECT portfolio_id, date, value_gbp, coalesce(flow, 0) AS flow, lag(value_gbp) OVER (PARTITION BY portfolio_id ORDER BY date) AS before FROM daily LEFT JOIN fl USING (portfolio_id, date)),
-t1 AS (SELECT *, CASE WHEN before > 0 THEN (value_gbp - flow) / before ELSE 1 END AS step FROM t0),
-twr AS (SELECT portfolio_id, date, product(step) OVER w AS growth, sum(flow) OVER w AS cum_contrib_gbp, bool_or(value_gbp > 0) OVER w AS started FROM t1 WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
-g AS (SELECT portfolio_id, date, growth, cum_contrib_gbp FROM twr WHERE started)"""
+fi AS (SELECT portfolio_id, txn_date AS date, -sum(amount_gbp) AS moved FROM ledger WHERE type IN ('TRANSACTION', 'DIVIDEND') GROUP BY ALL),
+t0 AS (SELECT portfolio_id, date, value_gbp, invested_gbp, coalesce(flow, 0) AS flow, coalesce(moved, 0) AS moved, lag(value_gbp) OVER w AS before, lag(invested_gbp) OVER w AS i_before FROM daily LEFT JOIN fl USING (portfolio_id, date) LEFT JOIN fi USING (portfolio_id, date) WINDOW w AS (PARTITION BY portfolio_id ORDER BY date)),
+t1 AS (SELECT *, CASE WHEN before > 0 THEN (value_gbp - flow) / before ELSE 1 END AS step, CASE WHEN i_before > 0 THEN (invested_gbp - moved) / i_before ELSE 1 END AS i_step FROM t0),
+t2 AS (SELECT *, bool_or(value_gbp > 0) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS started FROM t1),
+twr AS (SELECT portfolio_id, date, started, product(step) OVER w AS growth, product(i_step) OVER w AS invested_growth, sum(flow) OVER w AS cum_contrib_gbp FROM t2 WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT portfolio_id, date, growth, invested_growth, cum_contrib_gbp FROM twr WHERE started)"""
 )
 
 
-def _growth(ledger, prices, fx):
-    return returns.twr_growth(_values(ledger, prices, fx), returns.external_flows(ledger))
+def _growth(values, ledger):
+    return returns.twr_growth(values, returns.external_flows(ledger), returns.invested_flows(ledger))
 
 
-@query(_TWR + " SELECT portfolio_id, date, round(growth, 6) AS growth, round(cum_contrib_gbp, 2) AS cum_contrib_gbp FROM g", "ledger", "prices", "fx")
-def twr_growth(ledger, prices, fx):
-    return _rounded(_growth(ledger, prices, fx), growth=6, cum_contrib_gbp=2)
+@query(_TWR + " SELECT portfolio_id, date, round(growth, 6) AS growth, round(ln(abs(invested_growth) + 1), 6) AS invested_log, round(cum_contrib_gbp, 2) AS cum_contrib_gbp FROM g", "growth")
+def twr_growth(growth):
+    # days that leave almost nothing invested make huge steps, whose product only agrees in its leading digits
+    out = growth.withColumn("invested_log", F.ln(F.abs("invested_growth") + 1)).select("portfolio_id", "date", "growth", "invested_log", "cum_contrib_gbp")
+    return _rounded(out, growth=6, invested_log=6, cum_contrib_gbp=2)
 
 
 _DRAW = _TWR + ", dd AS (SELECT portfolio_id, date, growth / max(growth) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM g)"
 
 
-@query(_DRAW + " SELECT portfolio_id, date, round(drawdown, 6) AS drawdown FROM dd", "ledger", "prices", "fx")
-def drawdown(ledger, prices, fx):
-    return _rounded(returns.drawdown(_growth(ledger, prices, fx)), drawdown=6)
+@query(_DRAW + " SELECT portfolio_id, date, round(drawdown, 6) AS drawdown FROM dd", "growth")
+def drawdown(growth):
+    return _rounded(returns.drawdown(growth), drawdown=6)
 
 
-@query(_DRAW + " SELECT portfolio_id, round(min(drawdown), 6) AS max_drawdown FROM dd GROUP BY 1", "ledger", "prices", "fx")
-def max_drawdown(ledger, prices, fx):
-    return _rounded(returns.max_drawdown(_growth(ledger, prices, fx)), max_drawdown=6).select("portfolio_id", "max_drawdown")
+@query(_DRAW + " SELECT portfolio_id, round(min(drawdown), 6) AS max_drawdown FROM dd GROUP BY 1", "growth")
+def max_drawdown(growth):
+    return _rounded(returns.max_drawdown(growth), max_drawdown=6).select("portfolio_id", "max_drawdown")
 
 
 @query(
     _TWR
     + """, y AS (SELECT portfolio_id, CAST(year(date) AS INTEGER) AS year, arg_max(growth, date) AS c, arg_min(growth, date) AS o, max(date) AS l FROM g GROUP BY ALL), z AS (SELECT *, lag(c) OVER (PARTITION BY portfolio_id ORDER BY year) AS b FROM y)
     SELECT portfolio_id, year, round(c / coalesce(b, o) - 1, 6) AS annual_return, (month(l) <> 12 OR day(l) <> 31 OR b IS NULL) AS partial FROM z""",
-    "ledger",
-    "prices",
-    "fx",
+    "growth",
 )
-def annual_returns(ledger, prices, fx):
-    return _rounded(returns.annual_returns(_growth(ledger, prices, fx)), annual_return=6)
+def annual_returns(growth):
+    return _rounded(returns.annual_returns(growth), annual_return=6)
 
 
 _DAYS = _TWR + ", w0 AS (SELECT portfolio_id, date, growth / nullif(greatest(lag(growth) OVER (PARTITION BY portfolio_id ORDER BY date), 0), 0) - 1 AS r FROM g), wr AS (SELECT * FROM w0 WHERE r IS NOT NULL AND isodow(date) < 6)"
 
 
-@query(_DAYS + " SELECT portfolio_id, date, round(r, 6) AS r FROM wr", "ledger", "prices", "fx")
-def weekday_returns(ledger, prices, fx):
-    return _rounded(returns.weekday_returns(_growth(ledger, prices, fx)), r=6)
+@query(_DAYS + " SELECT portfolio_id, date, round(r, 6) AS r FROM wr", "growth")
+def weekday_returns(growth):
+    return _rounded(returns.weekday_returns(growth), r=6)
 
 
 @query(
     _DAYS
     + """ SELECT portfolio_id, round(stddev_samp(r) * sqrt(252), 4) AS volatility, round(avg(r), 6) AS mean_r,
     round(sqrt(avg(CASE WHEN r < pow(1.04, 1.0 / 252) - 1 THEN pow(r - (pow(1.04, 1.0 / 252) - 1), 2) END)), 6) AS downside FROM wr GROUP BY 1""",
-    "ledger",
-    "prices",
-    "fx",
+    "growth",
 )
-def risk_summary(ledger, prices, fx):
+def risk_summary(growth):
     # books near zero have days of huge return, whose yearly mean overflows: the yearly ratios are left to the tests
-    return _rounded(returns.risk_summary(_growth(ledger, prices, fx)), volatility=4, mean_r=6, downside=6).select("portfolio_id", "volatility", "mean_r", "downside")
+    return _rounded(returns.risk_summary(growth), volatility=4, mean_r=6, downside=6).select("portfolio_id", "volatility", "mean_r", "downside")
 
 
 @query(
     _DAYS + ", n AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY date) AS n, stddev_samp(r) OVER (PARTITION BY portfolio_id ORDER BY date ROWS 62 PRECEDING) * sqrt(252) AS vol FROM wr) SELECT portfolio_id, date, round(vol, 4) AS vol FROM n WHERE n >= 63 AND (n - 63) % 5 = 0",
-    "ledger",
-    "prices",
-    "fx",
+    "growth",
 )
-def rolling_vol(ledger, prices, fx):
-    return _rounded(returns.rolling_vol(_growth(ledger, prices, fx)), vol=4)
+def rolling_vol(growth):
+    return _rounded(returns.rolling_vol(growth), vol=4)
 
 
 @query(
@@ -399,12 +412,12 @@ pv AS (SELECT np.portfolio_id, np.symbol, CASE WHEN lq.currency = 'GBp' THEN 'GB
 wt AS (SELECT portfolio_id, symbol, value_gbp, round(value_gbp / sum(value_gbp) OVER (PARTITION BY portfolio_id), 6) AS weight FROM pv)"""
 
 
-@query(_BOOK + " SELECT portfolio_id, symbol, currency, shares, round(value_gbp + 0.000037, 2) AS value_gbp FROM pv", "ledger", "quotes", "fx")
+@query(_BOOK + " SELECT portfolio_id, symbol, currency, shares, CAST(round(CAST(value_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS value_gbp FROM pv", "ledger", "quotes", "fx")
 def position_values(ledger, quotes, fx):
     return _money(exposure.position_values(ledger, quotes, fx), "value_gbp")
 
 
-@query(_BOOK + " SELECT portfolio_id, symbol, round(value_gbp + 0.000037, 2) AS value_gbp, weight FROM wt", "ledger", "quotes", "fx")
+@query(_BOOK + " SELECT portfolio_id, symbol, CAST(round(CAST(value_gbp AS DECIMAL(28, 6)), 2) AS DOUBLE) AS value_gbp, weight FROM wt", "ledger", "quotes", "fx")
 def weight_by_symbol(ledger, quotes, fx):
     return _money(exposure.weight_by_symbol(exposure.position_values(ledger, quotes, fx)), "value_gbp")
 
@@ -449,24 +462,22 @@ def correlation_matrix(prices):
 
 @query(
     _DAYS + ", b AS (SELECT portfolio_id, greatest(0, least(21, CAST(floor((round(r, 9) + 0.05) / 0.005) AS BIGINT) + 1)) AS bucket FROM wr), c AS (SELECT portfolio_id, bucket, count(*) AS n FROM b GROUP BY ALL) SELECT p.portfolio_id, CAST(k.bucket AS INTEGER) AS bucket, coalesce(n, 0) AS n FROM (SELECT DISTINCT portfolio_id FROM g) p CROSS JOIN (SELECT unnest(range(22)) AS bucket) k LEFT JOIN c ON c.portfolio_id = p.portfolio_id AND c.bucket = k.bucket",
-    "ledger",
-    "prices",
-    "fx",
+    "growth",
 )
-def return_histogram(ledger, prices, fx):
-    return returns.return_histogram(_growth(ledger, prices, fx))
+def return_histogram(growth):
+    return returns.return_histogram(growth)
 
 
-@query(_BOOK + " SELECT DISTINCT np.portfolio_id, np.symbol FROM np ANTI JOIN (SELECT DISTINCT symbol FROM quotes WHERE symbol NOT LIKE '%7') q USING (symbol)", "ledger", "quotes", "fx")
+@query(_BOOK + " SELECT DISTINCT np.portfolio_id, np.symbol FROM np ANTI JOIN (SELECT DISTINCT symbol FROM quotes WHERE ts >= TIMESTAMP '2001-11-04 12:00:00') q USING (symbol)", "ledger", "quotes", "fx")
 def missing_quotes(ledger, quotes, fx):
-    return exposure.missing_quotes(ledger, quotes.where("symbol not like '%7'"))
+    return exposure.missing_quotes(ledger, quotes.where("ts >= timestamp_ntz'2001-11-04 12:00:00'"))
 
 
 @query(
     _BOOK
     + """, tg AS (SELECT DISTINCT portfolio_id, 'BRAND#' || CAST(4 + portfolio_id % 22 AS VARCHAR) AS symbol, 0.1 AS target FROM ledger), tot AS (SELECT portfolio_id, sum(value_gbp) AS total FROM pv GROUP BY 1),
     j AS (SELECT coalesce(wt.portfolio_id, tg.portfolio_id) AS portfolio_id, coalesce(wt.symbol, tg.symbol) AS symbol, coalesce(weight, 0) AS weight, target FROM wt FULL JOIN tg ON tg.portfolio_id = wt.portfolio_id AND tg.symbol = wt.symbol)
-    SELECT j.portfolio_id, symbol, weight, CAST(target AS DOUBLE) AS target, round(weight - target, 6) AS drift, round((weight - target) * total + 0.000037, 2) AS gap_gbp,
+    SELECT j.portfolio_id, symbol, weight, CAST(target AS DOUBLE) AS target, round(weight - target, 6) AS drift, CAST(round(CAST((weight - target) * total AS DECIMAL(28, 6)), 2) AS DOUBLE) AS gap_gbp,
     CASE WHEN target IS NULL THEN 'untargeted' WHEN NOT (abs((weight - target) * total) >= 500 AND abs(weight - target) >= 0.05) THEN 'hold' WHEN weight > target THEN 'trim' ELSE 'add' END AS action FROM j LEFT JOIN tot USING (portfolio_id)""",
     "ledger",
     "quotes",

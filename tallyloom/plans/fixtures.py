@@ -14,6 +14,10 @@ AS_OF, LIVE_AS_OF = "2001-12-31", "2001-11-04"
 
 _SYMBOL = "CASE WHEN brand_no <= 3 THEN 'GILT ' || CAST(brand_no AS VARCHAR(9)) || '.5% 203' || CAST(brand_no AS VARCHAR(9)) ELSE upper(p_brand) END"
 
+_LEDGER = """SELECT f.portfolio_id, CAST(row_number() OVER (PARTITION BY f.portfolio_id ORDER BY txn_date, account, type, symbol, f.currency, k1, k2, k3, k4, k5, k6, k7, k8) AS BIGINT) AS seq, txn_date, account, type, symbol, quantity, CAST(amount_dec AS DOUBLE) AS amount, f.currency,
+        CASE WHEN f.currency = 'GBP' THEN 1.0 ELSE x.rate END AS fx_to_gbp, CASE WHEN f.currency = 'GBP' THEN CAST(amount_dec AS DOUBLE) ELSE CAST(amount_dec AS DOUBLE) / x.rate END AS amount_gbp
+        """
+
 #: (name, query) in the order in which they build on each other.
 VIEWS: tuple[tuple[str, str], ...] = (
     ("sym", f"SELECT p_partkey, brand_no, {_SYMBOL} AS symbol FROM (SELECT p_partkey, p_brand, CAST(substr(p_brand, 7) AS INT) AS brand_no FROM {{part}}) b"),
@@ -42,13 +46,11 @@ VIEWS: tuple[tuple[str, str], ...] = (
     ),
     (
         "fx_daily",
-        """SELECT currency, date AS from_date, coalesce(lead(date) OVER (PARTITION BY currency ORDER BY date), DATE '2100-01-01') AS to_date, rate FROM fx""",
+        """SELECT currency, rate, explode(sequence(date, date_sub(until, 1))) AS date FROM (SELECT currency, date, rate, coalesce(lead(date) OVER (PARTITION BY currency ORDER BY date), greatest(date_add(date, 1), DATE '2003-01-01')) AS until FROM fx) s""",
     ),
     (
         "ledger",
-        """SELECT f.portfolio_id, CAST(row_number() OVER (PARTITION BY f.portfolio_id ORDER BY txn_date, account, type, symbol, f.currency, k1, k2, k3, k4, k5, k6, k7, k8) AS BIGINT) AS seq, txn_date, account, type, symbol, quantity, CAST(amount_dec AS DOUBLE) AS amount, f.currency,
-        CASE WHEN f.currency = 'GBP' THEN 1.0 ELSE x.rate END AS fx_to_gbp, CASE WHEN f.currency = 'GBP' THEN CAST(amount_dec AS DOUBLE) ELSE CAST(amount_dec AS DOUBLE) / x.rate END AS amount_gbp
-        FROM flows f LEFT JOIN fx_daily x ON x.currency = f.currency AND f.txn_date >= x.from_date AND f.txn_date < x.to_date""",
+        _LEDGER + """FROM flows f LEFT JOIN fx_daily x ON x.currency = f.currency AND x.date = f.txn_date""",
     ),
     (
         "prices",
@@ -64,12 +66,14 @@ VIEWS: tuple[tuple[str, str], ...] = (
     ),
 )
 
+#: The views that DuckDB words in its own way: the rate of a day by its as-of join instead of a table of all days.
+DUCK_VIEWS = {"ledger": _LEDGER + "FROM flows f ASOF LEFT JOIN fx x ON x.currency = f.currency AND f.txn_date >= x.date"}
+
 _DRIVER_TABLES = ("part", "orders", "lineitem", "supplier", "events")
 
 
-def _needed(names: tuple[str, ...]) -> list[str]:
+def _needed(names: tuple[str, ...], text: dict[str, str]) -> list[str]:
     """The views that the named ones build on, in order, themselves included."""
-    text = dict(VIEWS)
     wanted = set(names)
     while True:
         more = {n for n in text for w in wanted if n != w and re.search(rf"\b(FROM|JOIN) {n}\b", text[w])} - wanted
@@ -78,14 +82,14 @@ def _needed(names: tuple[str, ...]) -> list[str]:
         wanted |= more
 
 
-def with_clause(names: tuple[str, ...], tables: dict[str, str]) -> str:
-    text = dict(VIEWS)
-    return "WITH " + ",\n".join(f"{n} AS ({text[n].format(**tables)})" for n in _needed(names))
+def with_clause(names: tuple[str, ...], tables: dict[str, str], own: dict[str, str] | None = None) -> str:
+    text = dict(VIEWS) | (own or {})
+    return "WITH " + ",\n".join(f"{n} AS ({text[n].format(**tables)})" for n in _needed(names, text))
 
 
 def duck(sql: str, *names: str) -> str:
     """A DuckDB query over the named views. sql may begin with further common table expressions, as ', x AS (...) SELECT ...'."""
-    return with_clause(names, {t: t for t in _DRIVER_TABLES}) + "\n" + sql
+    return with_clause(names, {t: t for t in _DRIVER_TABLES}, DUCK_VIEWS) + "\n" + sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
