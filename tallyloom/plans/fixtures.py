@@ -66,6 +66,24 @@ VIEWS: tuple[tuple[str, str], ...] = (
     ),
 )
 
+_CHANGE = "CASE WHEN amount < 0 THEN abs(quantity) WHEN amount > 0 THEN -abs(quantity) ELSE quantity END"
+VIEWS += (
+    (
+        "holdings",
+        f"""SELECT portfolio_id, account AS source, symbol AS security_id, max(currency) AS currency, sum({_CHANGE}) - CASE WHEN portfolio_id % 10 = 0 THEN 1 ELSE 0 END AS quantity, sum(CASE WHEN amount < 0 THEN -amount_gbp ELSE 0 END) AS cost_basis_gbp, sum(CASE WHEN amount < 0 THEN -amount_gbp ELSE 0 END) * 1.1 AS market_value_gbp
+        FROM ledger WHERE type = 'TRANSACTION' GROUP BY portfolio_id, account, symbol HAVING sum({_CHANGE}) > 1
+        UNION ALL SELECT portfolio_id, account, 'CASH', 'GBP', CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), sum(amount_gbp) + CASE WHEN portfolio_id % 4 = 0 THEN 75 WHEN portfolio_id % 4 = 1 THEN 0.5 ELSE 0 END FROM ledger GROUP BY portfolio_id, account""",
+    ),
+    (
+        "notes",
+        """SELECT l.portfolio_id, l.seq, 'on ' || event_type AS note, event_type || ', ' || upper(event_type) || CASE WHEN l.seq % 35 = 0 THEN ',correction' ELSE ' , Core' END AS tags FROM ledger l JOIN {events} ON event_id = l.seq WHERE l.type = 'TRANSACTION' AND l.seq % 5 = 0""",
+    ),
+    (
+        "snapshots",
+        """SELECT portfolio_id, txn_date AS date, sum(amount_gbp) AS total_value, sum(CASE WHEN amount > 0 THEN amount_gbp ELSE 0 END) AS gain, max(amount_gbp) AS cash, count(*) / CAST(100 AS DOUBLE) AS return_pct, min(quantity) AS total_return FROM ledger WHERE day(txn_date) = 1 GROUP BY portfolio_id, txn_date""",
+    ),
+)
+
 #: The views that DuckDB words in its own way: the rate of a day by its as-of join instead of a table of all days.
 DUCK_VIEWS = {"ledger": _LEDGER + "FROM flows f ASOF LEFT JOIN fx x ON x.currency = f.currency AND f.txn_date >= x.date"}
 
