@@ -24,6 +24,8 @@ def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return stored(spark, sf_dir, name, lambda: _values(*(_given(spark, sf_dir, v) for v in ("ledger", "prices", "fx"))))
     if name == "growth":
         return stored(spark, sf_dir, name, lambda: _growth(_given(spark, sf_dir, "values"), _given(spark, sf_dir, "ledger")))
+    if name in ("orders", "pages"):
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return table(spark, sf_dir, name)
 
 

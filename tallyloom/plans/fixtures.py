@@ -92,7 +92,7 @@ _DRIVER_TABLES = ("part", "orders", "lineitem", "supplier", "events")
 
 def _needed(names: tuple[str, ...], text: dict[str, str]) -> list[str]:
     """The views that the named ones build on, in order, themselves included."""
-    wanted = set(names)
+    wanted = set(names) & set(text)
     while True:
         more = {n for n in text for w in wanted if n != w and re.search(rf"\b(FROM|JOIN) {n}\b", text[w])} - wanted
         if not more:
@@ -102,7 +102,8 @@ def _needed(names: tuple[str, ...], text: dict[str, str]) -> list[str]:
 
 def with_clause(names: tuple[str, ...], tables: dict[str, str], own: dict[str, str] | None = None) -> str:
     text = dict(VIEWS) | (own or {})
-    return "WITH " + ",\n".join(f"{n} AS ({text[n].format(**tables)})" for n in _needed(names, text))
+    needed = _needed(names, text) or ["sym"]  # a WITH has to name something
+    return "WITH " + ",\n".join(f"{n} AS ({text[n].format(**tables)})" for n in needed)
 
 
 def duck(sql: str, *names: str) -> str:
