@@ -18,6 +18,8 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
 
 def first_writes(quotes: DataFrame, retention: str = "7 days") -> DataFrame:
     """The first quote of each (symbol, ts); later ones and those beyond the retention are dropped, which bounds the state."""
+    if not quotes.isStreaming:
+        return quotes.dropDuplicates(["symbol", "ts"])
     return quotes.withWatermark("ts", retention).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
