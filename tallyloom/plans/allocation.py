@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import allocation, correlation, exposure, timeline
-from .catalogue import _BOOK, _CASH, _DELTA, _END, _RETURNS, _VALUES, _day, _first, _given, _money, _rounded, query
+from .catalogue import QUERIES, SQL, _BOOK, _CASH, _DELTA, _END, _RETURNS, _VALUES, _day, _first, _given, _money, _rounded, query
+from .fixtures import duck
 from .performance import sql_cents as m
 from .store import stored
 
@@ -38,14 +39,7 @@ def weekly_query(sql: str):
     """As query(), for functions of the stored weekly samples."""
 
     def register(f):
-        @query(_WEEK + sql, "ledger", "prices", "fx", "values")
-        def stand_in(*tables):
-            raise NotImplementedError
-
-        from .catalogue import QUERIES, SQL
-
-        SQL[f.__name__] = SQL.pop("stand_in")
-        QUERIES.pop("stand_in")
+        SQL[f.__name__] = duck(_WEEK + sql, "ledger", "prices", "fx")
 
         def run(spark, sf_dir):
             made = lambda: _weekly(*(_given(spark, sf_dir, v) for v in ("ledger", "prices", "fx", "values")))
