@@ -106,13 +106,13 @@ def _idf(n: Column, files: int) -> Column:
 
 def _segments(files: DataFrame, keys: set[str]) -> DataFrame:
     """(path, whole, segment): lower-case segments with a key word, whole being true for a file's whole text."""
-    pattern = F.lit("(?<![a-z0-9])(?:" + "|".join(sorted(keys)) + ")(?![a-z0-9])")
-    rows = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text")).where(F.rlike("text", pattern))
+    wanted = F.array(*(F.lit(k) for k in sorted(keys)))
+    rows = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text")).where(F.arrays_overlap(_words("text"), wanted))
     lines = F.split("text", "\n")
     sentences = F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.;!?])\s+(?=\S)"))), lambda x: x != "")
     paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n")))
     parts = rows.select("path", F.lit(False).alias("whole"), F.explode(F.array_distinct(F.concat(lines, sentences, paragraphs))).alias("segment"))
-    return parts.unionByName(rows.select("path", F.lit(True).alias("whole"), F.col("text").alias("segment"))).where(F.rlike("segment", pattern))
+    return parts.unionByName(rows.select("path", F.lit(True).alias("whole"), F.col("text").alias("segment"))).where(F.arrays_overlap(_words("segment"), wanted))
 
 
 def _scored(keys: DataFrame, frequency: DataFrame, total: int, idf: dict[str, float], p: LicenseScan) -> DataFrame:
