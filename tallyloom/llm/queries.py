@@ -95,6 +95,24 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken_words
+
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op13_orchard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orchard import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
