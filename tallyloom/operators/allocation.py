@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_bond, pence_currency, to_gbp
 from .asof import dense_rates
 from .exposure import live_rates
-from .holdings import wac_cost_basis
-from .timeline import daily_positions
+from .holdings import held_intervals, wac_cost_basis
+from .timeline import daily_positions, day_spine, invested_of
 
 
 def missing_price_ranges(ledger: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:
@@ -18,13 +18,22 @@ def missing_price_ranges(ledger: DataFrame, bars: DataFrame, as_of: Column) -> D
     return held.groupBy("portfolio_id", "symbol").agg(F.min("date").alias("from_date"), F.max("date").alias("to_date"))
 
 
-def value_timeline(values: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(portfolio_id, date, value_gbp, cost_basis_gbp): each day's value and weighted-average cost of what is held."""
-    cost = wac_cost_basis(ledger).groupBy("portfolio_id", "symbol", F.col("txn_date").alias("date")).agg(F.max_by("cost_gbp", "seq").alias("cost"))
+def value_timeline(ledger: DataFrame, units: DataFrame, cash: DataFrame, first: Column, as_of: Column) -> DataFrame:
+    """(portfolio_id, date, value_gbp, cost_basis_gbp) for every day from a portfolio's first row, in pence.
+
+    Value is that of holdings which a sale never takes below 0, by units(symbol, date, unit_gbp), with daily cash(portfolio_id, date,
+    cash_gbp); cost is the weighted-average cost of what is held.
+    """
+    costs = wac_cost_basis(ledger.where(F.col("txn_date") <= as_of))
+    last = costs.groupBy("portfolio_id", "symbol", F.col("txn_date").alias("date")).agg(F.max_by("cost_gbp", "seq").alias("cost"))
     order = Window.partitionBy("portfolio_id", "symbol").orderBy("date")
-    steps = cost.withColumn("step", F.col("cost") - F.coalesce(F.lag("cost").over(order), F.lit(0.0))).groupBy("portfolio_id", "date").agg(F.sum("step").alias("step"))
+    steps = last.withColumn("step", F.col("cost") - F.coalesce(F.lag("cost").over(order), F.lit(0.0))).groupBy("portfolio_id", "date").agg(F.sum("step").alias("step"))
+    invested = invested_of(held_intervals(costs, as_of), units, first)
+    days = day_spine(ledger, as_of).join(steps, ["portfolio_id", "date"], "left").join(invested, ["portfolio_id", "date"], "left").join(cash, ["portfolio_id", "date"], "left")
     running = F.sum(F.coalesce("step", F.lit(0.0))).over(Window.partitionBy("portfolio_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return values.join(steps, ["portfolio_id", "date"], "left").select("portfolio_id", "date", F.round("value_gbp", 2).alias("value_gbp"), F.round(running, 2).alias("cost_basis_gbp"))
+    value = F.coalesce("invested_gbp", F.lit(0.0)) + F.coalesce("cash_gbp", F.lit(0.0))
+    pence = lambda c: F.round(c.cast("decimal(28,6)"), 2).cast("double")
+    return days.select("portfolio_id", "date", pence(value).alias("value_gbp"), pence(running).alias("cost_basis_gbp"))
 
 
 def weekly_allocation(ledger: DataFrame, units: DataFrame, values: DataFrame, as_of: Column) -> DataFrame:
@@ -163,12 +172,11 @@ def common_universe(held: DataFrame, returns: DataFrame, window: int = 90) -> Da
 
 
 def portfolio_vol_dr(weights: DataFrame, returns: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(portfolio_id, vol, average_vol, dr, bets) of book_weights, vols(symbol, vol) and matrix(a, b, rho); cash has no volatility."""
+    """(portfolio_id, vol, average_vol, dr, bets) of book_weights, vols(symbol, vol) and the whole matrix(a, b, rho); cash has no volatility."""
     rows = weights.join(returns, "symbol").select("portfolio_id", "symbol", (F.col("weight") * F.col("vol")).alias("x"))
-    both = matrix.unionByName(matrix.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
-    pairs = rows.withColumnRenamed("symbol", "a").join(both, "a").join(rows.select("portfolio_id", F.col("symbol").alias("b"), F.col("x").alias("y")), ["portfolio_id", "b"])
-    cross = pairs.groupBy("portfolio_id").agg(F.sum(F.col("x") * F.col("y") * F.col("rho")).alias("cross"))
-    own = rows.groupBy("portfolio_id").agg(F.sum(F.col("x") * F.col("x")).alias("own"), F.sum("x").alias("average_vol"))
-    out = own.join(cross, "portfolio_id", "left").withColumn("vol", F.sqrt(F.greatest(F.col("own") + F.coalesce("cross", F.lit(0.0)), F.lit(0.0))))
+    pairs = rows.withColumnRenamed("symbol", "a").join(matrix, "a").join(rows.select("portfolio_id", F.col("symbol").alias("b"), F.col("x").alias("y")), ["portfolio_id", "b"])
+    squares = pairs.groupBy("portfolio_id").agg(F.sum(F.col("x") * F.col("y") * F.col("rho")).alias("square"))
+    out = rows.groupBy("portfolio_id").agg(F.sum("x").alias("average_vol")).join(squares, "portfolio_id", "left")
+    out = out.withColumn("vol", F.sqrt(F.greatest(F.coalesce("square", F.lit(0.0)), F.lit(0.0))))
     out = out.withColumn("dr", F.try_divide("average_vol", "vol"))
     return out.select("portfolio_id", "vol", "average_vol", "dr", (F.col("dr") * F.col("dr")).alias("bets"))

@@ -42,23 +42,46 @@ def prune_corrections(ledger: DataFrame) -> DataFrame:
     return ledger.join(gone, ["portfolio_id", "seq"], "left_anti")
 
 
+#: A run of trades ends where sales have taken the cost kept to exp(-RUN) of what it was at the run's start.
+RUN = 230.0
+
+
 def wac_cost_basis(ledger: DataFrame) -> DataFrame:
     """(portfolio_id, symbol, txn_date, seq, quantity, cost_gbp) after each trade, at weighted average cost, accounts merged.
 
-    A buy adds its cost, a sale takes its share of the cost, at most all of it; a split leaves the cost. Holdings
-    never fall below 0. The rows of one position are folded in order.
+    A buy adds its cost, a sale takes its share of the cost, at most all of it; a split leaves the cost. Holdings never fall
+    below 0, a buy without a GBP amount adds none. Each trade maps the cost c to m c + b, and a full sale starts a new segment at 0. In
+    a segment the cost is the sum of b_k M / M_k, M being the running product of the m. That is summed run by run, a run being
+    the trades between which M falls by no more than exp(-RUN): within one no term overflows, and of all runs before only
+    the last still counts. So a position is a few running sums over its trades, however many there are.
     """
     rows = ledger.where((F.col("type") == "TRANSACTION") & ~F.col("symbol").isin(*CASH_SYMBOLS))
-    rows = rows.select("portfolio_id", "symbol", F.struct("txn_date", "seq", signed_quantity(F.col("amount"), F.col("quantity")).cast("double").alias("delta"), F.col("amount").cast("double").alias("amount"), F.col("amount_gbp").cast("double").alias("gbp")).alias("t"))
-    folded = F.expr(
-        """aggregate(ts, named_struct('q', 0D, 'c', 0D, 'out', cast(array() as array<struct<txn_date: date, seq: bigint, quantity: double, cost_gbp: double>>)),
-        (s, t) -> named_struct('q', greatest(s.q + t.delta, 0D),
-          'c', case when t.amount < 0 then s.c - t.gbp when t.amount > 0 then if(s.q + t.delta <= 0.000001, 0D, s.c * (s.q + t.delta) / s.q) else s.c end,
-          'out', concat(s.out, array(named_struct('txn_date', t.txn_date, 'seq', t.seq, 'quantity', greatest(s.q + t.delta, 0D),
-            'cost_gbp', case when t.amount < 0 then s.c - t.gbp when t.amount > 0 then if(s.q + t.delta <= 0.000001, 0D, s.c * (s.q + t.delta) / s.q) else s.c end)))))"""
-    )
-    grouped = rows.groupBy("portfolio_id", "symbol").agg(F.array_sort(F.collect_list("t")).alias("ts"))  # the trades of one position
-    return grouped.select("portfolio_id", "symbol", F.explode(folded["out"]).alias("o")).select("portfolio_id", "symbol", "o.*")
+    rows = rows.select("portfolio_id", "symbol", "txn_date", "seq", signed_quantity(F.col("amount"), F.col("quantity")).cast("double").alias("delta"), F.col("amount").cast("double").alias("amount"), F.coalesce(F.col("amount_gbp").cast("double"), F.lit(0.0)).alias("gbp"))
+    key = ["portfolio_id", "symbol"]
+    order = lambda *more: Window.partitionBy(*key, *more).orderBy("txn_date", "seq")
+    so_far = lambda *more: order(*more).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum("delta").over(so_far()))
+    rows = rows.withColumn("quantity", F.col("s") - F.least(F.lit(0.0), F.min("s").over(so_far())))
+    rows = rows.withColumn("before", F.coalesce(F.lag("quantity").over(order()), F.lit(0.0)))
+    left = F.col("before") + F.col("delta")
+    rows = rows.withColumn("closes", (F.col("amount") > 0) & (left <= 0.000001))
+    rows = rows.withColumns({"segment": F.sum(F.col("closes").cast("int")).over(so_far()), "kept": F.when((F.col("amount") > 0) & ~F.col("closes"), F.ln(left / F.col("before"))).otherwise(0.0), "bought": F.when(F.col("amount") < 0, -F.col("gbp")).otherwise(0.0)})
+    rows = rows.withColumn("kept", F.sum("kept").over(so_far("segment")))
+    rows = rows.withColumn("run", F.floor(-F.col("kept") / RUN))
+    rows = rows.withColumn("kept", F.col("kept") + F.col("run") * RUN)
+    rows = rows.withColumn("sum", F.sum(F.col("bought") * F.exp(-F.col("kept"))).over(so_far("segment", "run")))
+    ended = F.when(F.lag("run").over(order("segment")) == F.col("run") - 1, F.lag("sum").over(order("segment")))
+    rows = rows.withColumn("ended", ended).withColumn("ended", F.coalesce(F.first("ended").over(so_far("segment", "run")), F.lit(0.0)))
+    cost = F.exp("kept") * (F.col("sum") + F.col("ended") * F.exp(F.lit(-RUN)))
+    return rows.select(*key, "txn_date", "seq", "quantity", cost.alias("cost_gbp"))
+
+
+def held_intervals(costs: DataFrame, as_of: Column) -> DataFrame:
+    """(portfolio_id, symbol, from_date, to_date, quantity) of wac_cost_basis: days with one quantity over zero, which a sale never takes below it."""
+    days = costs.where(F.col("txn_date") <= as_of).groupBy("portfolio_id", "symbol", F.col("txn_date").alias("from_date")).agg(F.max_by("quantity", "seq").alias("quantity"))
+    order = Window.partitionBy("portfolio_id", "symbol").orderBy("from_date")
+    days = days.withColumn("to_date", F.coalesce(F.date_sub(F.lead("from_date").over(order), 1), as_of))
+    return days.where("quantity > 0.000001").select("portfolio_id", "symbol", "from_date", "to_date", "quantity")
 
 
 def aggregate_holdings(holdings: DataFrame, units: DataFrame, dividends: DataFrame) -> DataFrame:

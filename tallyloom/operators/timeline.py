@@ -34,10 +34,37 @@ def gbp_unit_values(bars: DataFrame, fx: DataFrame, first: Column, last: Column)
     return prices.join(rates, ["currency", "date"], "left").select("symbol", "date", value.alias("unit_gbp"))
 
 
-def daily_invested(ledger: DataFrame, bars: DataFrame, fx: DataFrame, first: Column, as_of: Column) -> DataFrame:
-    """(portfolio_id, date, invested_gbp) for days with a position; days without a rate count as 0."""
-    units = gbp_unit_values(bars, fx, first, as_of)
-    return daily_positions(ledger, as_of).join(units.hint("merge"), ["symbol", "date"]).groupBy("portfolio_id", "date").agg(F.sum(F.coalesce(F.col("quantity") * F.col("unit_gbp"), F.lit(0.0))).alias("invested_gbp"))
+#: Bytes of unit values up to which each task holds all of them.
+BROADCAST_BYTES = 64 << 20
+
+
+def invested_of(intervals: DataFrame, units: DataFrame, first: Column) -> DataFrame:
+    """(portfolio_id, date, invested_gbp) of position intervals and units(symbol, date, unit_gbp), which has every day from first on.
+
+    A symbol's unit values are one array by day. An interval meets its symbol's array and only then becomes days, so what is joined
+    and shuffled are intervals, cut by year: books, and the years of a large book, are summed apart, each without a further exchange
+    where the arrays are small enough for each task to hold (their size is taken first). Beyond that intervals meet them by symbol
+    and the days' sums are exchanged. Days without a rate count as 0.
+    """
+    series = units.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "unit_gbp"))).alias("days")).select("symbol", F.col("days.unit_gbp").alias("unit_gbp"))
+    begin = F.greatest("from_date", first)
+    cut = intervals.where(F.col("to_date") >= first).withColumn("year", F.explode(F.sequence(F.year(begin), F.year("to_date"))))
+    cut = cut.withColumns({"from_date": F.greatest(begin, F.make_date("year", F.lit(1), F.lit(1))), "to_date": F.least("to_date", F.make_date("year", F.lit(12), F.lit(31)))})
+    held = units.agg(F.count("*").alias("n")).first().n * 8
+    if held <= BROADCAST_BYTES:
+        met = cut.repartition("portfolio_id", "year").join(F.broadcast(series), "symbol")
+    else:
+        met = cut.join(series, "symbol")
+    part = F.slice("unit_gbp", F.datediff("from_date", first) + 1, F.datediff("to_date", "from_date") + 1)
+    days = met.select("portfolio_id", "year", "from_date", "quantity", F.posexplode(part).alias("n", "unit"))
+    value = F.coalesce(F.col("quantity") * F.col("unit"), F.lit(0.0))
+    summed = days.groupBy("portfolio_id", "year", F.date_add("from_date", F.col("n")).alias("date")).agg(F.sum(value).alias("invested_gbp"))
+    return summed.select("portfolio_id", "date", "invested_gbp")
+
+
+def daily_invested(ledger: DataFrame, units: DataFrame, first: Column, as_of: Column) -> DataFrame:
+    """(portfolio_id, date, invested_gbp) for days with a position, by gbp_unit_values from first to as_of."""
+    return invested_of(position_intervals(ledger, as_of), units, first)
 
 
 def day_spine(ledger: DataFrame, as_of: Column) -> DataFrame:
@@ -56,9 +83,9 @@ def daily_cash(ledger: DataFrame, fx: DataFrame, first: Column, as_of: Column) -
     return joined.groupBy("portfolio_id", "date").agg(F.sum(F.coalesce(to_gbp(F.col("cash"), F.col("currency"), F.col("rate")), F.lit(0.0))).alias("cash_gbp"))
 
 
-def daily_values(ledger: DataFrame, bars: DataFrame, fx: DataFrame, first: Column, as_of: Column) -> DataFrame:
+def daily_values(ledger: DataFrame, units: DataFrame, fx: DataFrame, first: Column, as_of: Column) -> DataFrame:
     """(portfolio_id, date, value_gbp, invested_gbp, cash_gbp) for every day from a portfolio's first row."""
-    invested, cash = daily_invested(ledger, bars, fx, first, as_of), daily_cash(ledger, fx, first, as_of)
+    invested, cash = daily_invested(ledger, units, first, as_of), daily_cash(ledger, fx, first, as_of)
     days = day_spine(ledger, as_of).join(invested.hint("merge"), ["portfolio_id", "date"], "left").join(cash.hint("merge"), ["portfolio_id", "date"], "left")
     days = days.select("portfolio_id", "date", F.coalesce("invested_gbp", F.lit(0.0)).alias("invested_gbp"), F.coalesce("cash_gbp", F.lit(0.0)).alias("cash_gbp"))
     return days.select("portfolio_id", "date", (F.col("invested_gbp") + F.col("cash_gbp")).alias("value_gbp"), "invested_gbp", "cash_gbp")

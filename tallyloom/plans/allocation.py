@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import allocation, correlation, exposure, timeline
+from ..operators import allocation, correlation, diversification, exposure, holdings, timeline
 from .catalogue import QUERIES, SQL, _BOOK, _CASH, _DELTA, _END, _RETURNS, _VALUES, _day, _first, _given, _money, _rounded, query
 from .fixtures import duck
 from .performance import sql_cents as m
 from .store import stored
 
 
-@query(_VALUES + " SELECT portfolio_id, d.date, count(*) AS symbols, sum(quantity) AS quantity FROM held JOIN days d ON d.date BETWEEN from_date AND to_date WHERE quantity > 0.000001 GROUP BY ALL", "ledger", "prices", "fx")
+@query(_VALUES + " SELECT portfolio_id, d.date, string_agg(symbol || '=' || CAST(CAST(quantity AS DECIMAL(18, 4)) AS VARCHAR), ',' ORDER BY symbol) AS held FROM held JOIN days d ON d.date BETWEEN from_date AND to_date WHERE quantity > 0.000001 GROUP BY ALL", "ledger", "prices", "fx")
 def daily_positions(ledger, prices, fx):
-    return timeline.daily_positions(ledger, _day()).groupBy("portfolio_id", "date").agg(F.count("*").alias("symbols"), F.sum("quantity").alias("quantity"))
+    # every symbol and quantity, a row per book and day
+    held = F.concat("symbol", F.lit("="), F.col("quantity").cast("decimal(18,4)").cast("string"))
+    rows = timeline.daily_positions(ledger, _day()).groupBy("portfolio_id", "date").agg(F.array_sort(F.collect_list(F.struct("symbol", held.alias("held")))).alias("all"))
+    return rows.select("portfolio_id", "date", F.array_join("all.held", ",").alias("held"))
 
 
 @query(_VALUES + " SELECT portfolio_id, symbol, min(from_date) AS from_date, max(to_date) AS to_date FROM held WHERE quantity > 0.000001 AND (symbol LIKE '%7' OR symbol LIKE '%203%') GROUP BY ALL", "ledger", "prices", "fx")
@@ -30,9 +33,9 @@ wk AS MATERIALIZED (SELECT * FROM (SELECT held.portfolio_id, u.date, held.symbol
 )
 
 
-def _weekly(ledger, prices, fx, values):
+def _weekly(ledger, units, values):
     """The samples, written once: six queries read them."""
-    return allocation.weekly_allocation(ledger, timeline.gbp_unit_values(prices, fx, _first(), _day()), values, _day())
+    return allocation.weekly_allocation(ledger, units, values, _day())
 
 
 def weekly_query(sql: str):
@@ -42,7 +45,7 @@ def weekly_query(sql: str):
         SQL[f.__name__] = duck(_WEEK + sql, "ledger", "prices", "fx")
 
         def run(spark, sf_dir):
-            made = lambda: _weekly(*(_given(spark, sf_dir, v) for v in ("ledger", "prices", "fx", "values")))
+            made = lambda: _weekly(*(_given(spark, sf_dir, v) for v in ("ledger", "units", "values")))
             return f(stored(spark, sf_dir, "weekly", made), lambda name: _given(spark, sf_dir, name))
 
         QUERIES[f.__name__] = run
@@ -181,3 +184,71 @@ def resolve_substitutes(ledger, prices):
 def basket_checks(ledger):
     baskets = ledger.where("seq <= portfolio_id % 9 + 1").select(F.col("portfolio_id").alias("basket_id"), F.when(F.col("seq") % 11 == 0, " ").otherwise(F.col("symbol")).alias("symbol"), ((F.col("seq") % 5 - 1) / 10).alias("weight"))
     return allocation.basket_checks(baskets)
+
+
+#: Closes by week: every symbol trades in nearly every week, so books have weeks in common.
+_WEEKLY_RETURNS = """, lgw AS (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS r FROM (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS date, arg_max(close, date) AS close FROM prices GROUP BY ALL)), lgn AS (SELECT * FROM lgw WHERE r IS NOT NULL)"""
+
+
+def _weekly_returns(prices):
+    week = F.to_date(F.date_trunc("week", F.col("date").cast("timestamp")))
+    return correlation.log_returns(prices.groupBy("symbol", week.alias("date")).agg(F.max_by("close", "date").alias("close")).withColumn("split_factor", F.lit(1.0)))
+
+
+@query(
+    _BOOK + _WEEKLY_RETURNS
+    + """, hw AS (SELECT portfolio_id, symbol, value_gbp / sum(value_gbp) OVER (PARTITION BY portfolio_id) AS share, count(*) OVER (PARTITION BY portfolio_id) AS kept FROM pv), h0 AS (SELECT hw.*, date, r FROM hw JOIN lgn USING (symbol)),
+    h1 AS (SELECT portfolio_id, date, count(*) = max(kept) AS whole, sum(share * r) AS moved, row_number() OVER (PARTITION BY portfolio_id ORDER BY date) - 1 AS n FROM h0 GROUP BY portfolio_id, date),
+    h2 AS (SELECT *, CASE WHEN whole THEN moved END AS m FROM h1), h3 AS (SELECT *, count(m) OVER w AS days, stddev_samp(m) OVER w AS vol_p FROM h2 WINDOW w AS (PARTITION BY portfolio_id ORDER BY n ROWS 51 PRECEDING)),
+    h4 AS (SELECT hw.portfolio_id, hw.symbol, share, h3.date, h3.n, days, vol_p, CASE WHEN whole THEN r END AS r FROM hw JOIN h3 USING (portfolio_id) LEFT JOIN lgn ON lgn.symbol = hw.symbol AND lgn.date = h3.date),
+    h5 AS (SELECT *, stddev_samp(r) OVER (PARTITION BY portfolio_id, symbol ORDER BY n ROWS 51 PRECEDING) AS sd FROM h4)
+    SELECT portfolio_id, date, symbol, round(sd * sqrt(252), 4) AS vol, round(CASE WHEN vol_p > 1e-10 THEN sum(share * sd) OVER (PARTITION BY portfolio_id, date) / vol_p ELSE 0 END, 4) AS dr FROM h5 WHERE n >= 52 AND (n - 52) % 5 = 0 AND days >= 26""",
+    "ledger",
+    "quotes",
+    "fx",
+    "prices",
+)
+def rolling_vol_dr(ledger, quotes, fx, prices):
+    held = exposure.position_values(ledger, quotes, fx).select("portfolio_id", "symbol", F.col("value_gbp").alias("weight"))
+    return _rounded(diversification.rolling_vol_dr(held, _weekly_returns(prices), 52), vol=4, dr=4)
+
+
+def cluster_order(spark, sf_dir):
+    """No SQL: the tests hold it against the plain search for the nearest pair."""
+    ledger, quotes, fx, prices = (_given(spark, sf_dir, v) for v in ("ledger", "quotes", "fx", "prices"))
+    held = exposure.position_values(ledger, quotes, fx).select("portfolio_id", "symbol")
+    return diversification.cluster_order(held, correlation.correlation_matrix(correlation.log_returns(prices)))
+
+
+QUERIES["cluster_order"] = cluster_order
+
+
+#: Trade by trade, by recursion: the nth step of every position at once.
+_WALK = """, wr AS MATERIALIZED (SELECT portfolio_id, symbol, txn_date, seq, amount, abs(quantity) AS q, quantity AS delta, coalesce(amount_gbp, 0) AS gbp, row_number() OVER (PARTITION BY portfolio_id, symbol ORDER BY txn_date, seq) AS n FROM ledger WHERE type = 'TRANSACTION' AND symbol NOT IN ('', 'GBP', 'CASH')),
+walk AS (SELECT portfolio_id, symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS txn_date, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS quantity, CAST(0 AS DOUBLE) AS cost FROM (SELECT DISTINCT portfolio_id, symbol FROM wr)
+  UNION ALL SELECT w.portfolio_id, w.symbol, w.n, w.txn_date, w.seq, greatest(0, CASE WHEN amount < 0 THEN quantity + q WHEN amount > 0 THEN quantity - q ELSE quantity + delta END),
+    CASE WHEN amount < 0 THEN cost - gbp WHEN amount > 0 THEN CASE WHEN quantity - q <= 0.000001 THEN 0 ELSE cost * (quantity - q) / quantity END ELSE cost END
+  FROM walk JOIN wr w ON w.portfolio_id = walk.portfolio_id AND w.symbol = walk.symbol AND w.n = walk.n + 1)"""
+
+
+@query(_WALK + f" SELECT portfolio_id, symbol, txn_date, seq, round(quantity, 4) AS quantity, {m('cost')} AS cost_gbp FROM walk WHERE n > 0", "ledger")
+def wac_cost_basis(ledger):
+    return _money(_rounded(holdings.wac_cost_basis(ledger), quantity=4), "cost_gbp")
+
+
+@query(
+    _CASH + _WALK
+    + f""", wl AS (SELECT portfolio_id, symbol, txn_date AS from_date, arg_max(quantity, seq) AS quantity, arg_max(cost, seq) AS cost FROM walk WHERE n > 0 GROUP BY ALL),
+    wi AS (SELECT *, coalesce(lead(from_date) OVER (PARTITION BY portfolio_id, symbol ORDER BY from_date) - 1, {_END}) AS to_date FROM wl),
+    wv AS (SELECT portfolio_id, date, sum(CASE WHEN quantity > 0.000001 THEN coalesce(quantity * unit_gbp, 0) ELSE 0 END) AS v, sum(cost) AS c FROM wi JOIN unit u ON u.symbol = wi.symbol AND u.date BETWEEN from_date AND to_date GROUP BY ALL)
+    SELECT portfolio_id, date, {m('coalesce(v, 0) + coalesce(cash_gbp, 0)')} AS value_gbp, {m('coalesce(c, 0)')} AS cost_basis_gbp FROM spine LEFT JOIN wv USING (portfolio_id, date) LEFT JOIN cash USING (portfolio_id, date)""",
+    "ledger",
+    "units",
+    "fx",
+)
+def value_timeline(ledger, units, fx):
+    return allocation.value_timeline(ledger, units, timeline.daily_cash(ledger, fx, _first(), _day()), _first(), _day())
+
+
+for _name in ("wac_cost_basis", "value_timeline"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)

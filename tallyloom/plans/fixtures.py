@@ -100,15 +100,15 @@ def _needed(names: tuple[str, ...], text: dict[str, str]) -> list[str]:
         wanted |= more
 
 
-def with_clause(names: tuple[str, ...], tables: dict[str, str], own: dict[str, str] | None = None) -> str:
+def with_clause(names: tuple[str, ...], tables: dict[str, str], own: dict[str, str] | None = None, once: tuple[str, ...] = ()) -> str:
     text = dict(VIEWS) | (own or {})
     needed = _needed(names, text) or ["sym"]  # a WITH has to name something
-    return "WITH " + ",\n".join(f"{n} AS ({text[n].format(**tables)})" for n in needed)
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({text[n].format(**tables)})" for n in needed)
 
 
 def duck(sql: str, *names: str) -> str:
     """A DuckDB query over the named views. sql may begin with further common table expressions, as ', x AS (...) SELECT ...'."""
-    return with_clause(names, {t: t for t in _DRIVER_TABLES}, DUCK_VIEWS) + "\n" + sql
+    return with_clause(names, {t: t for t in _DRIVER_TABLES}, DUCK_VIEWS, ("fx", "ledger", "prices")) + "\n" + sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

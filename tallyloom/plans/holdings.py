@@ -38,7 +38,7 @@ def latest_cash_balances(ledger):
     b AS (SELECT *, least(0, min(s) OVER w) AS m FROM a WINDOW w AS (PARTITION BY portfolio_id, account, symbol, q ORDER BY txn_date, seq ROWS UNBOUNDED PRECEDING)),
     c AS (SELECT *, s - m AS opened, d = -1 AND coalesce(lag(m) OVER (PARTITION BY portfolio_id, account, symbol, q ORDER BY txn_date, seq), 0) = m AS eff FROM b),
     e AS (SELECT *, sum(CASE WHEN d = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id, account, symbol, q ORDER BY txn_date, seq ROWS UNBOUNDED PRECEDING) AS k, sum(CASE WHEN eff THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id, account, symbol, q) AS n FROM c)
-    SELECT portfolio_id, seq FROM ledger WHERE (portfolio_id, seq) NOT IN (SELECT (portfolio_id, seq) FROM e WHERE eff OR d = 1 AND k <= n)""",
+    SELECT portfolio_id, seq FROM ledger ANTI JOIN (SELECT portfolio_id, seq FROM e WHERE eff OR d = 1 AND k <= n) gone USING (portfolio_id, seq)""",
     "ledger",
 )
 def prune_corrections(ledger):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import performance, returns, timeline
-from .catalogue import _DAYS, _DELTA, _DRAW, _END, _TWR, _VALUES, _day, _first, _money, _rounded, query
+from ..operators import performance, returns
+from .catalogue import _DAYS, _DELTA, _DRAW, _END, _TWR, _VALUES, _day, _money, _rounded, calm, query
 
 
 def sql_cents(expression: str) -> str:
@@ -72,8 +72,7 @@ att AS (SELECT portfolio_id, symbol, s, e, flow, e - s + flow AS pnl, greatest(s
 )
 
 
-def _attributed(ledger, prices, fx):
-    units = timeline.gbp_unit_values(prices, fx, _first(), _day())
+def _attributed(ledger, units):
     return performance.performance_attribution(ledger, units, _day(_FROM), _day(_TO))
 
 
@@ -81,11 +80,10 @@ def _attributed(ledger, prices, fx):
     _ATTRIBUTION
     + f" SELECT portfolio_id, symbol, {sql_cents('s')} AS start_gbp, {sql_cents('e')} AS end_gbp, {sql_cents('flow')} AS flow_gbp, {sql_cents('pnl')} AS pnl_gbp, {sql_cents('peak')} AS peak_gbp, round(CASE WHEN peak > 0 THEN pnl / peak END, 6) AS period_return, round(CASE WHEN peak > 0 AND 1 + pnl / peak > 0 THEN pow(1 + pnl / peak, 365.25 / (DATE '{_TO}' - DATE '{_FROM}')) - 1 END, 6) AS annualised FROM att",
     "ledger",
-    "prices",
-    "fx",
+    "units",
 )
-def performance_attribution(ledger, prices, fx):
-    return _money(_rounded(_attributed(ledger, prices, fx), period_return=6, annualised=6), "start_gbp", "end_gbp", "flow_gbp", "pnl_gbp", "peak_gbp")
+def performance_attribution(ledger, units):
+    return _money(_rounded(_attributed(ledger, units), period_return=6, annualised=6), "start_gbp", "end_gbp", "flow_gbp", "pnl_gbp", "peak_gbp")
 
 
 @query(
@@ -93,11 +91,10 @@ def performance_attribution(ledger, prices, fx):
     + f""", k AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY pnl DESC, symbol) AS up, row_number() OVER (PARTITION BY portfolio_id ORDER BY pnl, symbol) AS down FROM att)
     SELECT portfolio_id, 'top' AS side, CAST(up AS INTEGER) AS place, symbol, {sql_cents('pnl')} AS pnl_gbp FROM k WHERE up <= 8 UNION ALL SELECT portfolio_id, 'bottom', CAST(down AS INTEGER), symbol, {sql_cents('pnl')} FROM k WHERE down <= 8 AND pnl < 0""",
     "ledger",
-    "prices",
-    "fx",
+    "units",
 )
-def top_bottom_contributors(ledger, prices, fx):
-    return _money(performance.top_bottom_contributors(_attributed(ledger, prices, fx)), "pnl_gbp")
+def top_bottom_contributors(ledger, units):
+    return _money(performance.top_bottom_contributors(_attributed(ledger, units)), "pnl_gbp")
 
 
 @query(
@@ -113,13 +110,12 @@ def recovery_days(growth):
     _DRAW.replace(_TWR, _DAYS)
     + f""", rs AS (SELECT portfolio_id, stddev_samp(r) AS sd, avg(r) AS mean, stddev_samp(r) FILTER (date > {_END} - INTERVAL 12 MONTH) AS sd1, avg(r) FILTER (date > {_END} - INTERVAL 12 MONTH) AS mean1,
       sqrt(avg(CASE WHEN r < pow(1.04, 1.0 / 252) - 1 THEN pow(r - (pow(1.04, 1.0 / 252) - 1), 2) END)) AS down FROM wr GROUP BY 1),
-    rq AS (SELECT rs.*, 252 * ln(1 + mean) AS ly, 252 * ln(1 + mean1) AS ly1, worst FROM rs LEFT JOIN (SELECT portfolio_id, min(drawdown) AS worst FROM dd GROUP BY 1) USING (portfolio_id))
-    SELECT portfolio_id, round(sd * sqrt(252), 4) AS volatility, round(sd1 * sqrt(252), 6) AS volatility_1y, round(CASE WHEN sd > 0 THEN (exp(ly) - 1 - 0.04) / (sd * sqrt(252)) END, 4) AS sharpe, round(CASE WHEN sd1 > 0 THEN (exp(ly1) - 1 - 0.04) / (sd1 * sqrt(252)) END, 4) AS sharpe_1y,
-    round(CASE WHEN down > 0 THEN (exp(ly) - 1 - 0.04) / (down * sqrt(252)) END, 4) AS sortino, round(CASE WHEN ly > 0 AND worst < 0 THEN (exp(ly) - 1) / -worst END, 4) AS calmar FROM rq WHERE ly < 3""",
+    rq AS (SELECT rs.*, CASE WHEN 252 * ln(1 + mean) < 3 THEN exp(252 * ln(1 + mean)) - 1 END AS y, CASE WHEN 252 * ln(1 + mean) < 3 THEN exp(252 * ln(1 + mean1)) - 1 END AS y1, worst FROM rs LEFT JOIN (SELECT portfolio_id, min(drawdown) AS worst FROM dd GROUP BY 1) USING (portfolio_id))
+    SELECT portfolio_id, round(sd * sqrt(252), 4) AS volatility, round(sd1 * sqrt(252), 6) AS volatility_1y, round(CASE WHEN sd > 0 THEN (y - 0.04) / (sd * sqrt(252)) END, 4) AS sharpe, round(CASE WHEN sd1 > 0 THEN (y1 - 0.04) / (sd1 * sqrt(252)) END, 4) AS sharpe_1y,
+    round(CASE WHEN down > 0 THEN (y - 0.04) / (down * sqrt(252)) END, 4) AS sortino, round(CASE WHEN y > 0 AND worst < 0 THEN y / -worst END, 4) AS calmar FROM rq""",
     "growth",
 )
 def risk_ratios(growth):
-    # a book near zero has days of huge return, whose yearly figure has no stable digits: such books are left to risk_summary
-    out = performance.risk_ratios(growth, _day())
-    calm = returns.weekday_returns(growth).groupBy("portfolio_id").agg(F.avg("r").alias("mean")).where(252 * F.log1p("mean") < 3).select("portfolio_id")
-    return _rounded(out.join(calm, "portfolio_id"), volatility=4, volatility_1y=6, sharpe=4, sharpe_1y=4, sortino=4, calmar=4)
+    means = returns.weekday_returns(growth).groupBy("portfolio_id").agg(F.avg("r").alias("mean"))
+    out = calm(performance.risk_ratios(growth, _day()).join(means, "portfolio_id"), F.col("mean"), "sharpe", "sharpe_1y", "sortino", "calmar").drop("mean")
+    return _rounded(out, volatility=4, volatility_1y=6, sharpe=4, sharpe_1y=4, sortino=4, calmar=4)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import allocation, fundamentals, holdings, performance
+from tallyloom.operators import allocation, fundamentals, holdings, performance, timeline
 from tallyloom.sources import feeds, statements
 from tallyloom.streaming import quotes
 
@@ -23,8 +24,69 @@ def test_weighted_average_cost(spark):
     book = ledger(spark, ("2020-01-01", "TRANSACTION", "X", 10, -100), ("2020-01-02", "TRANSACTION", "X", 10, -300), ("2020-01-03", "TRANSACTION", "X", 5, 90), ("2020-01-04", "TRANSACTION", "X", 15, 0), ("2020-01-05", "TRANSACTION", "X", 40, 900), ("2020-01-06", "TRANSACTION", "X", 2, -8))
     got = [(r.quantity, r.cost_gbp) for r in holdings.wac_cost_basis(book).orderBy("seq").collect()]
     assert got == [(10, 100), (20, 400), (15, 300), (30, 300), (0, 0), (2, 8)]
-    values = spark.createDataFrame([(1, date(2020, 1, d), 10.0) for d in range(1, 8)], "portfolio_id long, date date, value_gbp double")
-    assert [r.cost_basis_gbp for r in allocation.value_timeline(values, book).orderBy("date").collect()] == [100, 400, 300, 300, 0, 8, 8]
+    day = lambda n: F.lit(f"2020-01-0{n}").cast("date")
+    units = spark.createDataFrame([("X", date(2020, 1, d), float(d)) for d in range(1, 8)], "symbol string, date date, unit_gbp double")
+    cash = spark.createDataFrame([(1, date(2020, 1, 7), 0.5)], "portfolio_id long, date date, cash_gbp double")
+    out = allocation.value_timeline(book, units, cash, day(1), day(7)).orderBy("date").collect()
+    assert [(r.value_gbp, r.cost_basis_gbp) for r in out] == [(10, 100), (40, 400), (45, 300), (120, 300), (0, 0), (12, 8), (14.5, 8)]
+
+
+def plain_costs(trades):
+    q = c = 0.0
+    for amount, quantity in trades:
+        if amount < 0:
+            q, c = q + quantity, c - amount
+        elif amount > 0:
+            q, c = (q - quantity, c * (q - quantity) / q) if q - quantity > 0.000001 else (0.0, 0.0)
+        else:
+            q = max(q + quantity, 0.0)
+        yield q, c
+
+
+def test_cost_of_a_position_with_many_trades(spark):
+    rng = np.random.default_rng(5)
+    n = 100_000
+    amount, quantity = rng.choice([-1.0, 1.0], n, p=[0.4, 0.6]) * rng.integers(1, 900, n), rng.integers(1, 50, n) / 2
+    amount[::997] = 0.0
+    quantity[1000:3000] = np.where(amount[1000:3000] < 0, 1e6, 4e5)  # sales that take nearly all, again and again
+    rows = [(1, i, date(2020, 1, 1), "A", "TRANSACTION", "X", float(quantity[i]), float(amount[i]), "GBP", float(amount[i])) for i in range(n)]
+    book = spark.createDataFrame(rows, LEDGER.replace("txn_date string", "txn_date date"))
+    got = holdings.wac_cost_basis(book).orderBy("seq").collect()
+    want = list(plain_costs(zip(amount, quantity, strict=True)))
+    assert len(got) == n and max(abs(r.quantity - q) for r, (q, _) in zip(got, want, strict=True)) < 1e-6
+    assert all(r.cost_gbp == pytest.approx(c, rel=1e-9, abs=1e-6) for r, (_, c) in zip(got, want, strict=True))
+
+
+def test_cost_kept_through_very_many_sales(spark):
+    trades, q = [(-1e9, 1e9)], 1e9
+    for k in range(3000):  # the cost falls to a half each time, far below the least double, with a buy now and then
+        trades.append((1.0, q / 2))
+        q /= 2
+        if k % 500 == 499:
+            trades.append((-float(k), 1e9))
+            q += 1e9
+        if q < 1e-3:
+            trades.append((-1e-3, 1.0))
+            q += 1.0
+    rows = [(1, i, date(2020, 1, 1), "A", "TRANSACTION", "X", qty, a, "GBP", a) for i, (a, qty) in enumerate(trades)]
+    got = holdings.wac_cost_basis(spark.createDataFrame(rows, LEDGER.replace("txn_date string", "txn_date date"))).orderBy("seq").collect()
+    assert all(r.cost_gbp == pytest.approx(c, rel=1e-9, abs=1e-9) for r, (_, c) in zip(got, plain_costs(trades), strict=True))
+
+
+def test_invested_of_intervals(spark):
+    first = F.lit("2019-12-30").cast("date")
+    days = [date(2019, 12, 30) + timedelta(n) for n in range(6)]
+    units = spark.createDataFrame([(s, d, None if (s, n) == ("Y", 2) else float(n + k)) for s, k in (("X", 1), ("Y", 10)) for n, d in enumerate(days)], "symbol string, date date, unit_gbp double")
+    held = [(1, "X", date(2019, 12, 1), days[3], 2.0), (1, "X", days[4], days[5], 1.0), (1, "Y", days[1], days[4], 1.0), (1, "Y", date(2019, 1, 1), date(2019, 2, 1), 1.0), (2, "Z", days[0], days[1], 1.0)]
+    intervals = spark.createDataFrame(held, "portfolio_id long, symbol string, from_date date, to_date date, quantity double")
+    want = [2.0, 4.0 + 11, 6.0, 8.0 + 13, 5.0 + 14, 6.0]
+    for most in (timeline.BROADCAST_BYTES, 0):
+        before, timeline.BROADCAST_BYTES = timeline.BROADCAST_BYTES, most
+        try:
+            out = timeline.invested_of(intervals, units, first).orderBy("date").collect()
+        finally:
+            timeline.BROADCAST_BYTES = before
+        assert [(r.portfolio_id, r.date, r.invested_gbp) for r in out] == [(1, d, v) for d, v in zip(days, want, strict=True)]
 
 
 def test_corrections_go_in_pairs(spark):

@@ -12,7 +12,11 @@ DAY = dt.date(2024, 1, 1)  # a Monday
 
 
 def values(spark, *amounts):
-    return spark.createDataFrame([(1, DAY + dt.timedelta(i), float(v)) for i, v in enumerate(amounts)], "portfolio_id long, date date, value_gbp double")
+    return spark.createDataFrame([(1, DAY + dt.timedelta(i), float(v), float(v)) for i, v in enumerate(amounts)], "portfolio_id long, date date, value_gbp double, invested_gbp double")
+
+
+def grown(spark, *amounts, **by_day):
+    return returns.twr_growth(values(spark, *amounts), flows(spark, **by_day), flows(spark, **by_day))
 
 
 def flows(spark, **by_day):
@@ -20,30 +24,30 @@ def flows(spark, **by_day):
 
 
 def test_contributions_are_no_return(spark):
-    out = returns.twr_growth(values(spark, 100, 150), flows(spark, d1=50)).orderBy("date").collect()
-    assert [r.growth for r in out] == [1.0, 1.0] and out[1].cum_contrib_gbp == 50
+    out = grown(spark, 100, 150, d1=50).orderBy("date").collect()
+    assert [r.growth for r in out] == [r.invested_growth for r in out] == [1.0, 1.0] and out[1].cum_contrib_gbp == 50
 
 
 def test_growth_starts_with_the_first_value(spark):
-    out = returns.twr_growth(values(spark, 0, 0, 100, 120), flows(spark, d2=100)).orderBy("date").collect()
+    out = grown(spark, 0, 0, 100, 120, d2=100).orderBy("date").collect()
     assert [r.growth for r in out] == pytest.approx([1.0, 1.2])
 
 
 def test_drawdown(spark):
-    growth = returns.twr_growth(values(spark, 100, 120, 60, 90), flows(spark, d0=100))
+    growth = grown(spark, 100, 120, 60, 90, d0=100)
     low = returns.max_drawdown(growth).first()
     assert low.max_drawdown == pytest.approx(-0.5) and low.date == DAY + dt.timedelta(2)
 
 
 def test_weekends_and_histogram(spark):
-    growth = returns.twr_growth(values(spark, *[100 * 1.01**i for i in range(14)]), flows(spark, d0=100))
+    growth = grown(spark, *[100 * 1.01**i for i in range(14)], d0=100)
     assert returns.weekday_returns(growth).count() == 9
     counts = {r.bucket: r.n for r in returns.return_histogram(growth).collect()}
     assert len(counts) == 22 and counts[13] == 9
 
 
 def test_risk_ratios(spark):
-    growth = returns.twr_growth(values(spark, 100, 102, 101, 103, 102), flows(spark, d0=100))
+    growth = grown(spark, 100, 102, 101, 103, 102, d0=100)
     out = returns.risk_summary(growth).first()
     assert out.volatility > 0 and out.downside > 0
     assert out.sharpe == pytest.approx((out.annual_mean - 0.04) / out.volatility)
@@ -60,4 +64,4 @@ def test_correlation_extremes(spark):
     rows = [(s, DAY + dt.timedelta(i), float(p)) for i in range(9) for s, p in (("A", 2 ** (i % 3)), ("B", 2 ** (i % 3) * 5), ("C", 2.0 ** -(i % 3)), ("D", 7))]
     bars = spark.createDataFrame(rows, "symbol string, date date, close double").selectExpr("*", "1d as split_factor")
     rho = {(r.a, r.b): r.rho for r in correlation.correlation_matrix(correlation.log_returns(bars)).collect()}
-    assert rho["A", "B"] == pytest.approx(1) and rho["A", "C"] == pytest.approx(-1) and rho["A", "D"] == 0
+    assert rho["A", "B"] == pytest.approx(1) and rho["A", "C"] == pytest.approx(-1) and rho["A", "D"] == 0 and rho["D", "D"] == 1 and len(rho) == 16
