@@ -34,7 +34,7 @@ class Mixing:
     most: int = 3
     block: int = 512
     slots: int = 4_096
-    bucket_rows: int = 50_000
+    bucket_rows: int = 5_000
     max_sources: int = 1_000_000
     seed: int = 12
 
