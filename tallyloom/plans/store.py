@@ -20,11 +20,15 @@ def _folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
     """The table's Parquet form, written when it is first asked for."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _paths:
-        path = f"{_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+        path = new_folder(spark, name)
         made().write.parquet(path)
         _paths[key] = path
     return spark.read.parquet(_paths[key])

@@ -68,9 +68,11 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
     for n, part in enumerate((rows[:7], rows[7:], rows[:2])):
         (feed / f"{n}.json").write_text("\n".join(map(json.dumps, part)))
     stream = quotes.daily_bars(quotes.read_quotes(spark, str(feed)))
-    quotes.write_bars(stream, str(tmp_path / "bars"), str(tmp_path / "state")).awaitTermination()
+    table = quotes.BarTable(spark, str(tmp_path / "bars"))
+    assert table.read().count() == 0
+    quotes.write_bars(stream, table, str(tmp_path / "state")).awaitTermination()
     batch = quotes.daily_bars(spark.read.schema(quotes.SCHEMA).json(str(feed)))
-    assert sorted(map(tuple, quotes.read_bars(spark, str(tmp_path / "bars")).collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_age(spark):
