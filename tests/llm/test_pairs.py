@@ -139,6 +139,24 @@ def test_lines_by_all_shingles_with_production_parameters(spark):
     assert sum(got) >= 0.98 * sum(want) > 100
 
 
+def test_repetitive_and_long_lines(spark):
+    """Equal and similar sets of lines of very different lengths, and long lines, which sign with a part of their shingles."""
+    random.seed(10)
+    texts = ["ha " * 20, "ha " * 60, "=-" * 15, "=-" * 400, "0123456789" * 30, "0123456789" * 300 + "01"]
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(3000)]
+    for n in range(120):
+        x = " ".join(random.choices(words, k=random.choice((20, 24, 45, 50, 90, 200, 400))))
+        y = x.split()
+        for at in random.sample(range(len(y)), max(1, len(y) // 30)):
+            y[at] = random.choice(words)
+        y = " ".join(y) + x[: len(x) // 6] * (n % 3 == 0)
+        if len(line_sets(x) & line_sets(y)) >= 0.75 * len(line_sets(x) | line_sets(y)):
+            texts += [x, y]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(spark.createDataFrame(rows(*texts), DOCS)).collect()}
+    assert all(d % 2 for d in gone) and {1, 3, 5} <= gone
+    assert len(texts) > 160 and len(gone) >= 0.99 * len(texts) / 2
+
+
 def test_a_band_of_unlike_lines_is_not_paired(spark):
     """Copies of one line with edits of their own: near the base, not near each other."""
     random.seed(13)
