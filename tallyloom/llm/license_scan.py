@@ -4,9 +4,9 @@ DataFrame and SQL functions only. A file's segments are its sentences, lines, pa
 whole text. Inverse document frequencies are those of all files. A segment that reaches the threshold has to hold one
 of its template's key words: the other words' part of the template's vector is shorter than the threshold. So only
 segments with a key word are scored, each different one once. A sentence, line or paragraph that is close enough to a
-template is a header and licenses its file; a whole text that is close enough, or one of a licence file's name, makes
-the file a licence file, which also licenses the other files of its directory and of those below that have no nearer
-licence file.
+template is a header and licenses its file. A whole text that is close enough to a licence's full text, or any file of a licence
+file's name with a header, is a licence file, which also licenses the other files of its directory and of those below
+that have no nearer licence file; a file that holds no more than a notice licenses itself alone.
 """
 
 from __future__ import annotations
@@ -57,6 +57,44 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# Identifiers of public licences with the names that notices give them.
+_NAMES = (
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License, Version 2.0"),
+    ("Unlicense", "Unlicense"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0-or-later", "GNU General Public License, version 2 or later"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0-or-later", "GNU General Public License, version 3 or later"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1-or-later", "GNU Lesser General Public License, version 2.1 or later"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0-or-later", "GNU Lesser General Public License, version 3 or later"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("AGPL-3.0-or-later", "GNU Affero General Public License, version 3 or later"),
+)
+_NOTICES = ("Licensed under the {}.", "Released under the {}.", "This file is distributed under the {}.", "This project is licensed under the {} - see the LICENSE.md file for details.", "This program is licensed under the terms of the {}.")
+_GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+#: Licences that files are offered under one or the other of, either way round.
+_EITHER = (("MIT", "Apache-2.0"), ("Apache-2.0", "GPL-2.0"), ("MIT", "GPL-2.0"), ("MIT", "GPL-3.0"), ("MIT", "BSD-3-Clause"))
+
+
+def _ruled() -> tuple[tuple[str, str], ...]:
+    """Every name in every notice, and the identifier lines."""
+    notices = [(i, n.format(name)) for n in _NOTICES for i, name in _NAMES]
+    marks = [(i, f"SPDX-License-Identifier: {i}") for i, _ in _NAMES] + [(i, f"SPDX-License-Identifier: {i}-only") for i in _GNU]
+    either = [(f"{a} OR {b}", f"SPDX-License-Identifier: {a} OR {b}") for a, b in _EITHER]
+    return tuple(dict.fromkeys(notices + marks + either))
+
+
+TEMPLATES = tuple(dict.fromkeys(TEMPLATES + _ruled()))
+#: A template of so many words is a full text, not a notice.
+_FULL_WORDS = 100
 _WORD = "[a-z0-9]+"
 
 
@@ -116,7 +154,7 @@ def _segments(files: DataFrame, keys: set[str]) -> DataFrame:
 
 
 def _scored(keys: DataFrame, frequency: DataFrame, total: int, idf: dict[str, float], p: LicenseScan) -> DataFrame:
-    """keys(key, segment), a row per different segment: (key, license, score) of its best template, where close enough.
+    """keys(key, segment), a row per different segment: (key, license, full, score) of its best template, where close enough; full: whether that is a licence's full text.
 
     frequency(word, n): files that hold a word. Ties go to the template named first.
     """
@@ -131,7 +169,9 @@ def _scored(keys: DataFrame, frequency: DataFrame, total: int, idf: dict[str, fl
     cosine = dots.withColumn("score", F.round("cosine", 9)).where(F.col("score") >= p.threshold)
     best = cosine.groupBy("key").agg(F.max(F.struct("score", -F.col("template"))).alias("best"))
     names = F.array(*(F.lit(name) for name, _ in TEMPLATES))
-    return best.select("key", F.element_at(names, 1 - F.col("best.col2")).alias("license"), F.col("best.score").alias("score"))
+    full = F.array(*(F.lit(sum(bag.values()) >= _FULL_WORDS) for bag in template_bags()))
+    at = 1 - F.col("best.col2")
+    return best.select("key", F.element_at(names, at).alias("license"), F.element_at(full, at).alias("full"), F.col("best.score").alias("score"))
 
 
 def _parent(path: Column) -> Column:
@@ -149,7 +189,7 @@ def scan(files: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame:
     """files(path, text, ...): (path, license, score, origin, source), a row per different path.
 
     origin is header, file or inherited, and source the path that the licence was read from; all null without a
-    licence. A file's best segment counts, whole texts before parts, ties to the licence named first in the
+    licence. A file's best segment counts, whole texts close to a full text before all others, ties to the licence named first in the
     alphabet; of several licence files of a directory the best, ties to the first path. Null paths have no
     result; null and empty texts have no licence of their own; rows that share a path are one file. Other
     columns are ignored. The root directory licenses all paths.
@@ -163,7 +203,7 @@ def scan(files: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame:
     idf = {w: math.log(1 + total / counts.get(w, 1)) for w in known}
     segments = save(_segments(named, key_words(template_vectors(idf), p.threshold)).withColumn("key", F.xxhash64("segment")), "segments")
     scored = _scored(segments.groupBy("key").agg(F.first("segment").alias("segment")), frequency, total, idf, p)
-    hits = segments.select("path", "whole", "key").join(scored, "key")
+    hits = segments.select("path", "whole", "key").join(scored, "key").withColumn("whole", F.col("whole") & F.col("full"))
     own = hits.groupBy("path").agg(F.max(F.struct("whole", "score", "license")).alias("best"))
     base = F.regexp_extract("path", "[^/]*$", 0)
     own = save(own.select("path", "best.license", "best.score", (F.col("best.whole") | F.rlike(base, F.lit(p.names))).alias("whole")), "licensed")

@@ -155,6 +155,24 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_notices_license_no_neighbours(spark):
+    """A file that holds only a notice licenses itself; wordings that notices use."""
+    wordings = {
+        "SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+        "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT",
+        "This file is distributed under the MIT License.": "MIT",
+        "Licensed under the GNU General Public License, version 2 or later.": "GPL-2.0-or-later",
+        "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+    }
+    files = {f"d{i}/1": text for i, text in enumerate(wordings)} | {f"d{i}/{j}": f"the words of file {i} are {j} other ones" for i in range(7) for j in (2, 3)}
+    files |= {f"w/{i}": f"plain text number {i} with a word or two of the {i} kind and what it is about" for i in range(60)}
+    out = {r.path: r for r in license_scan.scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert [(out[f"d{i}/1"].license, out[f"d{i}/1"].origin) for i in range(7)] == [(v, "header") for v in wordings.values()]
+    assert all(r.license is None for p, r in out.items() if not p.endswith("/1") or p.startswith("w/"))
+
+
 def test_license_query_with_nulls(spark, tmp_path):
     rows = [(1, LICENSED, "en", "a/b"), (None, LICENSED, "fr", "s"), (3, None, None, None), (None, "plain", None, "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
