@@ -26,7 +26,7 @@ def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return stored(spark, sf_dir, name, lambda: timeline.gbp_unit_values(_given(spark, sf_dir, "prices"), _given(spark, sf_dir, "fx"), _first(), _day()))
     if name == "growth":
         return stored(spark, sf_dir, name, lambda: _growth(_given(spark, sf_dir, "values"), _given(spark, sf_dir, "ledger")))
-    if name in ("orders", "pages"):
+    if name in ("orders", "pages", "part"):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return table(spark, sf_dir, name)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import fundamentals, tables
-from ..sources import feeds, statements
+from ..sources import closes, feeds, statements, summaries
 from .catalogue import _DELTA, _day, _money, _rounded, query
 from .performance import sql_cents as m
 
@@ -14,7 +14,7 @@ from .performance import sql_cents as m
 def _statement(ledger):
     """A GBP statement of each portfolio's AJBell rows as its CSV has it: text cells, newest first, after an anchor row."""
     own = ledger.where("account = 'AJBell'")
-    text = F.when(F.col("type") == "DIVIDEND", "Dividend on").when(F.col("type") == "CONTRIBUTION", "Pension transfer of").when(F.col("amount") < 0, "Purchase of").when(F.col("amount") > 0, "Sale of").otherwise("Stock charge on")
+    text = F.when(F.col("type") == "DIVIDEND", "Dividend").when(F.col("type") == "CONTRIBUTION", "Pension transfer of").when(F.col("amount") < 0, "Purchase").when(F.col("amount") > 0, "Sale").otherwise("Stock charge on")
     amount = F.format_number(F.abs("amount"), 2)
     rows = own.select(
         F.concat(F.lit("p"), F.col("portfolio_id").cast("string")).alias("source_path"),
@@ -30,17 +30,24 @@ def _statement(ledger):
 
 
 _KIND = "CASE WHEN type = 'DIVIDEND' THEN 'DIVIDEND' WHEN type = 'CONTRIBUTION' THEN 'CONTRIBUTION' WHEN amount <> 0 THEN 'TRANSACTION' ELSE 'CHARGE' END"
-_OWN = f", own AS (SELECT 'p' || CAST(portfolio_id AS VARCHAR) AS source_path, row_number() OVER (PARTITION BY portfolio_id ORDER BY seq) AS seq, txn_date, {_KIND} AS type, amount, seq * 1.0 + CASE WHEN seq % 50 = 0 THEN 3 ELSE 0 END AS balance FROM ledger WHERE account = 'AJBell')"
+_OWN = f", own AS (SELECT 'p' || CAST(portfolio_id AS VARCHAR) AS source_path, row_number() OVER (PARTITION BY portfolio_id ORDER BY seq) AS seq, txn_date, {_KIND} AS type, CASE WHEN {_KIND} IN ('DIVIDEND', 'TRANSACTION') THEN symbol ELSE 'GBP' END AS name, CAST(CASE WHEN {_KIND} IN ('DIVIDEND', 'TRANSACTION') THEN CAST(quantity AS INT) ELSE 0 END AS DOUBLE) AS quantity, amount, seq * 1.0 + CASE WHEN seq % 50 = 0 THEN 3 ELSE 0 END AS balance FROM ledger WHERE account = 'AJBell')"
 
 
-@query(_OWN + " SELECT source_path, seq, txn_date, type, amount, CAST(balance AS DOUBLE) AS cash_balance FROM own", "ledger")
+@query(_OWN + " SELECT source_path, seq, txn_date, type, name, quantity, amount, CAST(balance AS DOUBLE) AS cash_balance FROM own", "ledger")
 def normalise_gbp_statement(ledger):
-    return statements.normalise_gbp_statement(_statement(ledger)).select("source_path", "seq", "txn_date", "type", "amount", "cash_balance")
+    return statements.normalise_gbp_statement(_statement(ledger)).select("source_path", "seq", "txn_date", "type", "name", "quantity", "amount", "cash_balance")
 
 
-@query(_OWN + " SELECT type, count(*) AS n FROM own GROUP BY 1", "ledger")
+_TELLS = """CASE seq % 9 WHEN 0 THEN 'DIVIDEND 1,250.5  ' || symbol WHEN 1 THEN 'Purchase 99 ' || symbol || ' ' WHEN 2 THEN 'sale 7 ' || symbol WHEN 3 THEN symbol || '   Redemption ' WHEN 4 THEN 'Stock charge' WHEN 5 THEN ' gross interest' WHEN 6 THEN 'Transfer ' || symbol WHEN 7 THEN 'Dividend of ' || symbol ELSE 'Redemption 1,000 ' || symbol END"""
+
+
+@query(
+    """ SELECT portfolio_id, seq, CASE seq % 9 WHEN 0 THEN 'DIVIDEND' WHEN 1 THEN 'TRANSACTION' WHEN 2 THEN 'TRANSACTION' WHEN 3 THEN 'TRANSACTION' WHEN 4 THEN 'CHARGE' WHEN 5 THEN 'INTEREST' WHEN 8 THEN 'TRANSACTION' ELSE 'CONTRIBUTION' END AS type,
+    CASE seq % 9 WHEN 0 THEN 1250.5 WHEN 1 THEN 99 WHEN 2 THEN 7 WHEN 8 THEN 1000 ELSE 0 END::DOUBLE AS quantity, CASE WHEN seq % 9 IN (0, 1, 2, 3, 8) THEN symbol ELSE 'GBP' END AS name FROM ledger""",
+    "ledger",
+)
 def classify_description(ledger):
-    return _statement(ledger).where("Description not like 'BALANCE%'").select(statements.classify_description(F.col("Description")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return ledger.select("portfolio_id", "seq", statements.classify_description(F.expr(_TELLS)).alias("t")).select("portfolio_id", "seq", "t.type", "t.quantity", "t.name")
 
 
 @query(_OWN + ", b AS (SELECT *, lag(balance) OVER (PARTITION BY source_path ORDER BY seq) + amount AS expected FROM own) SELECT source_path, seq, round(expected, 2) AS expected, CAST(balance AS DOUBLE) AS actual FROM b WHERE abs(expected - balance) > 0.02", "ledger")
@@ -143,9 +150,108 @@ def parse_symbol_lines(ledger):
     return feeds.parse_targets(lines.withColumn("text", F.concat("text", F.lit("\n# none\nBAD=x\nHIGH=101%"))))
 
 
-@query("""SELECT page_id, count(*) AS cells FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(?:td|th)[^>]*>(.*?)</(?:td|th)>', 1)) AS c FROM pages WHERE html IS NOT NULL) GROUP BY 1""", "pages")
-def html_table_rows(pages):
-    return feeds.html_table_rows(pages, "page_id", "html").groupBy("page_id").agg(F.sum(F.size("cells")).alias("cells"))
+@query(", k AS (SELECT symbol, ts, max(close) AS close FROM quotes WHERE symbol LIKE 'GILT%' GROUP BY ALL) SELECT symbol, ts, " + m("close") + " AS close, 'GBP' AS currency FROM k", "quotes")
+def html_table_rows(quotes):
+    # a page for each minute of the feed: a heading, the bonds' rows, and rows of other shapes
+    priced = quotes.where("symbol like 'GILT%'").groupBy("symbol", "ts").agg(F.max("close").alias("close"))
+    coupon, year = F.regexp_extract("symbol", r"([\d.]+%)", 1), F.regexp_extract("symbol", r"(\d{4})$", 1)
+    row = F.concat(F.lit("<tr class='x'>\n<td><a href='#'>TG"), F.substring(year, 3, 2), F.lit("</a></td><td>Treasury</td><td>"), coupon, F.lit("</td><td>31 Jan "), year, F.lit("</td><td>-</td><td>&pound;"), F.round(F.col("close").cast("decimal(28,6)"), 2).cast("string"), F.lit("</td></tr>"))
+    other = F.lit("<tr><th>Code</th><th>Name</th></tr><tr><td>VOD</td><td>1</td><td>2%</td><td>2030</td><td>-</td><td>&pound;1</td></tr>")
+    pages = priced.groupBy("ts").agg(F.concat(F.lit("<table>"), other, F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
+    return closes.bond_table_quotes(feeds.html_table_rows(pages, "ts", "html"), F.col("ts"))
+
+
+def _charts(bars, moment: str, shift: int = 0):
+    """Chart documents of bars(symbol, date or ts, close, volume, currency), a symbol and year each, with an entry without a close in front."""
+    at = F.unix_timestamp(F.col(moment).cast("timestamp"))
+    rows = bars.groupBy("symbol", F.year(moment).alias("year")).agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), "close", "volume"))).alias("x"), F.max("currency").alias("currency"))
+    lead = lambda value, c: F.concat(F.array(value), F.col(f"x.{c}"))
+    no = F.lit(None)
+    quote = F.struct(lead(no.cast("double"), "close").alias("close"), lead(no.cast("long"), "volume").alias("volume"))
+    result = F.struct(F.struct("symbol", "currency", F.lit(shift).alias("gmtoffset")).alias("meta"), lead(F.lit(0).cast("long"), "t").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    return rows.select(F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+@query("SELECT symbol, date, close, volume, currency FROM prices", "prices")
+def chart_json_daily(prices):
+    late = prices.withColumn("t", F.col("date").cast("timestamp") - F.expr("interval 1 hour"))  # of the day by the documents' own offset only
+    return statements.chart_json_daily(_charts(late, "t", 7200)).select("symbol", "date", "close", "volume", "currency")
+
+
+@query("SELECT symbol, date_trunc('second', ts) AS ts, max(close) AS close, CAST(1 AS BIGINT) AS volume, currency FROM quotes GROUP BY ALL", "quotes")
+def chart_json_intraday(quotes):
+    rows = quotes.groupBy("symbol", F.date_trunc("second", "ts").alias("ts"), "currency").agg(F.max("close").alias("close")).withColumn("volume", F.lit(1).cast("long"))
+    return statements.chart_json_intraday(_charts(rows, "ts")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT currency, date, rate FROM fx", "fx")
+def fx_json_series(fx):
+    days = fx.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("currency", "rate"))).alias("rates"))
+    years = days.groupBy(F.year("date")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("string"), "rates"))).alias("rates"))
+    return statements.fx_json_series(years.select(F.to_json(F.struct("rates")).alias("value")))
+
+
+@query("SELECT symbol, min(date) AS date, 'dividend' AS kind, CAST(0.5 AS DOUBLE) AS value FROM prices GROUP BY symbol, year(date) UNION ALL SELECT symbol, max(date), 'split', CAST(1.5 AS DOUBLE) FROM prices GROUP BY symbol, year(date)", "prices")
+def corporate_events(prices):
+    ends = prices.groupBy("symbol", F.year("date")).agg(F.unix_timestamp(F.min("date").cast("timestamp")).alias("a"), F.unix_timestamp(F.max("date").cast("timestamp")).alias("b"))
+    entry = lambda c, *fields: F.create_map(F.col(c).cast("string"), F.struct(F.col(c).alias("date"), *fields))
+    splits = entry("b", F.lit(3.0).alias("numerator"), F.lit(2.0).alias("denominator"))
+    void = F.create_map(F.lit("0"), F.struct(F.lit(0).cast("long").alias("date"), F.lit(0.0).alias("amount")))  # pays nothing
+    events = F.struct(F.map_concat(entry("a", F.lit(0.5).alias("amount")), void).alias("dividends"), splits.alias("splits"))
+    result = F.struct(F.struct("symbol").alias("meta"), events.alias("events"))
+    return statements.corporate_events(ends.select(F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("value")))
+
+
+@query("SELECT symbol, date, close, close AS adj_close, CAST(1 AS DOUBLE) AS split_factor, 'GBP' AS currency FROM prices WHERE symbol LIKE 'GILT%' AND day(date) > 4", "prices")
+def import_close_prices(prices):
+    # a bond's rows as its file has them; those of a month's first days are spoilt, each in its own way
+    coupon, year = F.regexp_extract("symbol", r"([\d.]+)%", 1), F.regexp_extract("symbol", r"(\d{4})$", 1)
+    day = F.dayofmonth("date")
+    raw = prices.where("symbol like 'GILT%'").select(
+        F.lit("f").alias("source_path"),
+        F.when(day == 1, "31/31/1999").otherwise(F.date_format("date", "M/d/yyyy")).alias("Close of Business Date"),
+        F.when(day == 2, " ").otherwise(F.concat(coupon, F.lit("00"))).alias("Coupon"),
+        F.when(day == 3, "undated").otherwise(F.concat(F.lit("31 Jan "), year)).alias("Maturity"),
+        F.when(day == 4, "n/a").otherwise(F.col("close").cast("string")).alias("Clean Price"),
+    )
+    return closes.import_close_prices(raw).drop("source_path")
+
+
+_SUMMARY_DOC = """'{"quoteSummary": {"result": [{"price": {"regularMarketPrice": {"raw": ' || p_retailprice || ', "fmt": "x"}, "currency": "USD", "marketCap": ' || CASE WHEN p_partkey % 3 = 0 THEN '"Infinity"' ELSE CAST(p_size AS VARCHAR(9)) END || '}, "summaryDetail": {"beta": {}}, "defaultKeyStatistics": {"52WeekChange": {"raw": 0.25}, "beta": ' || p_size || '}, "financialData": {"totalRevenue": {"raw": 400}, "freeCashflow": {"raw": ' || p_size || '}, "totalDebt": 10, "totalCash": {"raw": 4}}, "summaryProfile": {"sector": "' || p_brand || '", "country": ""}}]}}'"""
+
+
+@query(
+    """, d AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol, * FROM part WHERE p_partkey % 11 <> 0)
+    SELECT symbol, CASE WHEN e THEN NULL ELSE 'USD' END AS currency, CASE WHEN NOT e THEN CAST(p_retailprice AS DOUBLE) END AS price, CASE WHEN NOT e AND p_partkey % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS market_cap, CASE WHEN NOT e THEN CAST(p_size AS DOUBLE) END AS beta,
+    CASE WHEN e THEN '' ELSE 'freeCashflow,fcfMarginTtm,netDebt,totalCash,totalDebt,totalRevenue,52WeekChange' END AS keys, CASE WHEN NOT e THEN CAST(p_size AS DOUBLE) / 400 END AS fcf_margin, CASE WHEN NOT e THEN CAST(6 AS DOUBLE) END AS net_debt, CASE WHEN e THEN '' ELSE 'sector' END AS labels, CASE WHEN NOT e THEN p_brand END AS sector, e AS missing
+    FROM (SELECT *, p_partkey % 13 = 0 AS e FROM d)""",
+    "part",
+)
+def quote_summary_flatten(part):
+    # every 11th document is torn, every 13th holds no result
+    text = F.when(F.col("p_partkey") % 11 == 0, "{torn").when(F.col("p_partkey") % 13 == 0, '{"quoteSummary": {"result": []}}').otherwise(F.expr(_SUMMARY_DOC))
+    out = summaries.quote_summary_flatten(part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), text.alias("json")))
+    keys = lambda c: F.array_join(F.map_keys(c), ",")
+    return out.select("symbol", "currency", "price", "market_cap", "beta", keys("extra").alias("keys"), F.try_element_at("extra", F.lit("fcfMarginTtm")).alias("fcf_margin"), F.try_element_at("extra", F.lit("netDebt")).alias("net_debt"), keys("labels").alias("labels"), F.try_element_at("labels", F.lit("sector")).alias("sector"), "missing")
+
+
+_FACTS = ", fu AS (SELECT symbol, max(date) AS fetched_at, CAST(count(*) AS DOUBLE) AS figure FROM prices WHERE date < DATE '2000-01-01' GROUP BY 1), fn AS (SELECT symbol, CASE WHEN symbol LIKE '%1' THEN DATE '1990-01-01' ELSE max(date) END AS fetched_at, CAST(-count(*) AS DOUBLE) AS figure FROM prices WHERE symbol NOT LIKE '%2' GROUP BY 1)"
+
+
+def _facts(prices):
+    stored = prices.where("date < date'2000-01-01'").groupBy("symbol").agg(F.max("date").alias("fetched_at"), F.count("*").cast("double").alias("figure"))
+    incoming = prices.where("symbol not like '%2'").groupBy("symbol").agg(F.max("date").alias("fetched_at"), (-F.count("*")).cast("double").alias("figure"))
+    return stored, incoming.withColumn("fetched_at", F.when(F.col("symbol").like("%1"), F.lit("1990-01-01").cast("date")).otherwise(F.col("fetched_at")))
+
+
+@query(_FACTS + " SELECT symbol, coalesce(greatest(fu.fetched_at, fn.fetched_at), fu.fetched_at, fn.fetched_at) AS fetched_at, CASE WHEN fn.fetched_at IS NULL OR fu.fetched_at > fn.fetched_at THEN fu.figure ELSE fn.figure END AS figure FROM fu FULL JOIN fn USING (symbol)", "prices")
+def fundamentals_upsert(prices):
+    return feeds.fundamentals_upsert(*_facts(prices))
+
+
+@query(_FACTS + " SELECT symbol, fetched_at, figure FROM fu WHERE symbol IN ('BRAND#11', 'BRAND#12', 'GILT 1.5% 2031')", "prices")
+def fundamentals_scan(prices):
+    return feeds.fundamentals_scan(_facts(prices)[0], "BRAND#11", "BRAND#12", "GILT 1.5% 2031")
 
 
 _EPS = """, er AS (SELECT 'BRAND#' || CAST(4 + o_custkey % 22 AS VARCHAR) AS ticker, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ps, 4 + o_custkey % 22 AS n, CAST(o_totalprice AS DECIMAL(18, 2)) AS t FROM orders),

@@ -64,6 +64,18 @@ def upsert(stored: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
     return incoming.unionByName(stored.join(incoming, list(key), "left_anti"))
 
 
+def fundamentals_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Fundamentals by symbol, the newest fetched_at of each; of equal times the incoming row."""
+    both = stored.withColumn("_newer", F.lit(0)).unionByName(incoming.withColumn("_newer", F.lit(1)))
+    order = Window.partitionBy("symbol").orderBy(F.desc("fetched_at"), F.desc("_newer"))
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_newer")
+
+
+def fundamentals_scan(stored: DataFrame, *symbols: str) -> DataFrame:
+    """The stored fundamentals of the given symbols, or all; the filter reaches the scan."""
+    return stored.where(F.col("symbol").isin(*symbols)) if symbols else stored
+
+
 def notes_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Notes by (portfolio_id, seq); an incoming note without text and tags deletes."""
     return upsert(stored, incoming, "portfolio_id", "seq").where("trim(coalesce(note, '')) <> '' or trim(coalesce(tags, '')) <> ''")

@@ -25,28 +25,48 @@ def latest_extracts(files: DataFrame) -> DataFrame:
     return files.withColumn("n", F.row_number().over(order)).where("n = 1").select("source", "path", "modified")
 
 
+# Wordings of statement lines.
+_PAID = r"(?is)^dividend\s+([\d,]+(?:\.\d+)?)\s+(.*)$"
+_TRADED = r"(?is)^(?:purchase|sale|redemption)\s+([\d,]+(?:\.\d+)?)\s+(.*)$"
+_REDEEMED = r"(?is)^(.*?)\s+Redemption\s*$"
+
+
 def classify_description(description: Column) -> Column:
-    """The ledger type that a statement line's description tells."""
-    text = F.upper(description)
+    """A struct (type, quantity, name) of what a statement line's description tells, by the first wording that fits.
+
+    Dividends and trades begin with their word and a quantity, which the name follows; a line that ends in Redemption is a trade of the name
+    before it, without a quantity; others bear the name GBP: charges, gross interest, pensions and transfers, and what is unknown, which counts as paid in.
+    """
+    found = lambda kind, quantity, name: F.struct(F.lit(kind).alias("type"), quantity.cast("double").alias("quantity"), F.trim(name).alias("name"))
+    plain = lambda kind: found(kind, F.lit(0.0), F.lit("GBP"))
+    counted = lambda kind, pattern: found(kind, F.replace(F.regexp_extract(description, pattern, 1), F.lit(","), F.lit("")).try_cast("double"), F.regexp_extract(description, pattern, 2))
+    text = F.upper(F.trim(description))
     return (
-        F.when(text.contains("DIVIDEND"), "DIVIDEND")
-        .when(text.rlike("PURCHASE|SALE|REDEMPTION"), "TRANSACTION")
-        .when(text.contains("CHARGE"), "CHARGE")
-        .when(text.contains("GROSS INTEREST"), "INTEREST")
-        .otherwise("CONTRIBUTION")
+        F.when(description.rlike(_PAID), counted("DIVIDEND", _PAID))
+        .when(description.rlike(_TRADED), counted("TRANSACTION", _TRADED))
+        .when(text.contains("CHARGE"), plain("CHARGE"))
+        .when(text.startswith("GROSS INTEREST"), plain("INTEREST"))
+        .when(text.startswith("PENSION") | text.startswith("TRANSFER"), plain("CONTRIBUTION"))
+        .when(description.rlike(_REDEEMED), found("TRANSACTION", F.lit(0.0), F.regexp_extract(description, _REDEEMED, 1)))
+        .otherwise(plain("CONTRIBUTION"))
     )
 
 
 def normalise_gbp_statement(raw: DataFrame) -> DataFrame:
-    """Rows of Date, Description, Receipt, Payment, Balance (with _line, newest first) in time order; 'BALANCE B/F' rows are left out."""
-    rows = raw.where(~F.upper("Description").contains("BALANCE B/F"))
+    """Rows of Date, Description, Receipt, Payment, Balance (with _line, newest first) in time order; 'BALANCE B/F' rows are left out.
+
+    name is as the statement has it; resolve_symbol and redemption_backfill make symbols of names.
+    """
+    rows = raw.where(~F.upper("Description").contains("BALANCE B/F")).withColumn("_told", classify_description(F.col("Description")))
     amount = F.coalesce(money(F.col("Receipt")), F.lit(0.0)) + F.coalesce(money(F.col("Payment")), F.lit(0.0))
     order = Window.partitionBy("source_path").orderBy(F.desc("_line"))
     return rows.select(
         "source_path",
         F.row_number().over(order).cast("long").alias("seq"),
         F.try_to_date("Date", "dd/MM/yyyy").alias("txn_date"),
-        classify_description(F.col("Description")).alias("type"),
+        "_told.type",
+        "_told.name",
+        "_told.quantity",
         amount.alias("amount"),
         F.lit("GBP").alias("currency"),
         F.lit(1.0).alias("fx_to_gbp"),
@@ -83,12 +103,34 @@ def _results(json: DataFrame) -> DataFrame:
 def chart_json_daily(json: DataFrame) -> DataFrame:
     """json(value), a chart document a row: daily bars; entries without a close are left out."""
     q = F.col("r.indicators.quote")[0]
-    zipped = F.arrays_zip(F.col("r.timestamp").alias("ts"), q["open"].alias("open"), q["high"].alias("high"), q["low"].alias("low"), q["close"].alias("close"), q["volume"].alias("volume"))
+    zipped = F.arrays_zip(F.col("r.timestamp").alias("ts"), *(F.coalesce(q[c], F.array()).alias(c) for c in ("open", "high", "low", "close", "volume")))  # an absent series is one of nulls
     rows = _results(json).select("r.meta.symbol", "r.meta.currency", F.coalesce("r.meta.gmtoffset", F.lit(0)).alias("shift"), F.explode(zipped).alias("x"))
     date = F.to_date(F.timestamp_seconds(F.col("x.ts") + F.col("shift")))
     return rows.where("x.close is not null").select("symbol", date.alias("date"), "x.open", "x.high", "x.low", "x.close", "x.volume", "currency")
 
 
+def chart_json_intraday(json: DataFrame) -> DataFrame:
+    """json(value), a chart document a row: (symbol, ts, close, volume, currency) at the minutes' own times; minutes without a trade are left out."""
+    q = F.col("r.indicators.quote")[0]
+    zipped = F.arrays_zip(F.col("r.timestamp").alias("ts"), *(F.coalesce(q[c], F.array()).alias(c) for c in ("close", "volume")))
+    rows = _results(json).select("r.meta.symbol", "r.meta.currency", F.explode(zipped).alias("x"))
+    return rows.where("x.close is not null and x.ts is not null").select("symbol", F.timestamp_seconds("x.ts").alias("ts"), "x.close", "x.volume", "currency")
+
+
+def fx_json_series(json: DataFrame) -> DataFrame:
+    """json(value), documents of rates by day and currency: (currency, date, rate: units per pound); days or rates that can't be read are left out."""
+    days = json.select(F.explode(F.from_json("value", "rates map<string, map<string, double>>")["rates"]).alias("day", "rates"))
+    rows = days.select(F.try_to_date("day").alias("date"), F.explode("rates").alias("currency", "rate"))
+    return rows.where("date is not null and rate is not null").select("currency", "date", "rate")
+
+
+def fx_json_latest(json: DataFrame) -> DataFrame:
+    """json(value), documents of the latest rates: (currency, rate), the pound among them at 1."""
+    rows = json.select(F.explode(F.from_json("value", "rates map<string, double>")["rates"]).alias("currency", "rate")).where("rate is not null and currency <> 'GBP'")
+    pound = json.limit(1).select(F.lit("GBP").alias("currency"), F.lit(1.0).alias("rate"))
+    return rows.unionByName(pound)
+
+
 def corporate_events(json: DataFrame) -> DataFrame:
     """(symbol, date, kind, value): dividends over zero, and splits as ratios, on their UTC days."""
     rows = _results(json)
