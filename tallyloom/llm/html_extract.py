@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Containers that name their purpose decide first: blocks of
-menus, headers, footers, sidebars, forms, notices, adverts and comments are out. The first pass labels all others,
+menus, headers, footers, sidebars, forms, notices, adverts and comments are out; of containers with a doubtful name
+long blocks with hardly a link go on. The first pass labels all others,
 on every page, by link density, stop-word density and length, and blocks of an article or main element lean in; the
 second lets short and middling blocks take the label of the nearest decided blocks, and those of an article or main
 element the label of the blocks in the same element.
@@ -39,7 +40,7 @@ BLOCK_TAGS = frozenset(
     thead title tr ul""".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = "script|style|noscript|template|svg|iframe|select|button|textarea|object|canvas|title"
+SKIPPED_TAGS = "script|style|noscript|template|svg|iframe|select|button|textarea|label|object|canvas|title"
 OUT_TAGS = frozenset("nav footer aside form menu dialog head".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 OUT_NAMES = frozenset(
@@ -48,25 +49,35 @@ OUT_NAMES = frozenset(
     notices notification outbrain pagination pager popup promo promotion related replies reply respond share sharing sidebar
     signup site-header skip social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar widget""".split()
 )
-# What a name may add to those; and elements whose names say nothing on all they hold.
-NEUTRAL_NAMES = frozenset("area bar block bottom box container content inner item left links list nr outer panel right section top wrap wrapper".split())
+# Those of them that also name other things ("price-share") where a word goes before them.
+WEAK_NAMES = frozenset("login notice notices notification pager promo promotion related replies reply respond share sharing skip social sponsor sponsored sponsors toolbar topbar widget".split())
+# What may follow the naming word of a compound; words before it that tell of a state; and elements whose names say
+# nothing on all they hold.
+NEUTRAL_NAMES = frozenset(
+    """area author bar block body bottom box card col column container content count cta desktop first footer form frame grid group
+    header holder id inner item label last layout left link links list main meta mobile module nr outer panel placeholder primary right row
+    section secondary slot small space text thread title top unit view wide wrap wrapper zone""".split()
+)
+STATE_NAMES = frozenset("had has have hide hides is no non not show shows sans toggle with without".split())
 UNNAMED_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
 _SKIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>")
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"[^a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 
 
 @dataclass(frozen=True)
 class BlockRules:
-    """Bounds of the first pass: link density above which a block is out; lengths of short and long blocks in
+    """Bounds of the first pass: link density above which a block is out, and one in an element of a doubtful name; lengths of short and long blocks in
     characters; stop-word densities of good and middling blocks; the least share of stop words on a page whose
     language they are taken to know (elsewhere blocks are judged by links and length alone)."""
 
     most_links: float = 0.4
+    few_links: float = 0.1
     short: int = 70
     long: int = 200
     good_stop_words: float = 0.3
@@ -81,10 +92,31 @@ class Block:
     out: bool
     inside: tuple[int, ...]
     heading: bool
+    suspect: bool = False
+
+
+def named(name: str) -> str | None:
+    """'out', 'suspect' or None: what a class or id says. Its naming word is the last that isn't neutral, as in post-comments or ad-slot-1.
+
+    Names that begin with a state, as has-sidebar, say nothing, nor do compounds on other words, as comments-open or share-price.
+    """
+    parts = [x for x in _NAME.split(_HUMP.sub("-", name).lower()) if x and not x.isdigit()]
+    whole = "-".join(parts)
+    if whole in OUT_NAMES:
+        return "out"
+    if not parts or parts[0] in STATE_NAMES:
+        return None
+    while len(parts) > 1 and parts[-1] in NEUTRAL_NAMES and parts[-1] not in OUT_NAMES:
+        parts.pop()
+    if parts[-1] not in OUT_NAMES:
+        return None
+    if len(parts) > 1 and parts[-1] in WEAK_NAMES and not set(parts[:-1]) & OUT_NAMES:
+        return "suspect"
+    return "out"
 
 
 def _purpose(tag: str, attributes: str, inside: bool) -> str | None:
-    """'out', 'in' or None: what an element says about its contents."""
+    """'out', 'suspect', 'in' or None: what an element says about its contents."""
     if tag in OUT_TAGS or tag == "header" and not inside:
         return "out"
     if attributes:
@@ -92,10 +124,11 @@ def _purpose(tag: str, attributes: str, inside: bool) -> str | None:
         role = found.get("role", "").lower()
         if role in OUT_ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")) or _BARE_HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)):
             return "out"
-        for name in () if tag in UNNAMED_TAGS else f"{found.get('class', '')} {found.get('id', '')}".lower().split():
-            parts = {x for x in _NAME.split(name) if x and not x.isdigit()}
-            if parts & OUT_NAMES and parts <= OUT_NAMES | NEUTRAL_NAMES:
-                return "out"
+        says = {named(name) for name in ("" if tag in UNNAMED_TAGS else f"{found.get('class', '')} {found.get('id', '')}").split()}
+        if "out" in says:
+            return "out"
+        if "suspect" in says and tag != "article":
+            return "suspect"
         if role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower():
             return "in"
     return "in" if tag in ("article", "main") else None
@@ -107,9 +140,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # tag, out, numbers of the articles around, link
+    stack: list[tuple[str, bool, tuple[int, ...], bool, bool]] = []  # tag, out, numbers of the articles around, link, suspect
     opened: Counter[str] = Counter()  # tags on the stack, so that none is looked for in vain
-    state = (False, (), False)
+    state = (False, (), False, False)
     articles = 0
     heading = False
     at = 0
@@ -118,7 +151,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Block(joined, linked, state[0], state[1], heading))
+            out.append(Block(joined, linked, state[0], state[1], heading, state[3]))
         text.clear()
         linked = 0
 
@@ -159,15 +192,15 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
                         break
-            was = stack[-1][1:] if stack else (False, (), False)
+            was = stack[-1][1:] if stack else (False, (), False, False)
             says = _purpose(tag, m[3], bool(was[1])) if block or m[3] else None
             around = was[1]
             if says == "in" and not was[0] and (not around or tag == "article"):
                 articles += 1
                 around = (*around, articles)
             opened[tag] += 1
-            stack.append((tag, was[0] or says == "out", around, was[2] or tag == "a"))
-        state = stack[-1][1:] if stack else (False, (), False)
+            stack.append((tag, was[0] or says == "out", around, was[2] or tag == "a", was[3] or says == "suspect"))
+        state = stack[-1][1:] if stack else (False, (), False, False)
     text.append(page[at:])
     flush()
     return out
@@ -184,6 +217,8 @@ def first_pass(b: Block, r: BlockRules, known: bool) -> str:
         return "out"
     if b.linked > r.most_links * len(b.text):
         return "out"
+    if b.suspect and (len(b.text) <= r.long or b.linked > r.few_links * len(b.text)):
+        return "out"
     if b.heading:
         return "near" if b.inside else "short"
     density = _density(b.text) if known else r.good_stop_words
@@ -240,6 +275,9 @@ def main_text(page: str | None, r: BlockRules = BlockRules()) -> str:
     known = not judged or _density(judged) >= r.known_stop_words
     labels = [first_pass(b, r, known) for b in found]
     kept = second_pass(labels, [b.heading for b in found], [() if b.out else b.inside for b in found])
+    if not any(kept):  # nothing on the page is decided: its longest block that nothing speaks against
+        best = max((i for i, x in enumerate(labels) if x != "out"), key=lambda i: len(found[i].text), default=None)
+        kept = [i == best for i in range(len(found))]
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

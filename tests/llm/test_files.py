@@ -68,6 +68,29 @@ def test_references_in_links_count_decoded():
     assert html_extract.main_text(f"<p>{text}</p>").startswith("The one that is ääää")
 
 
+@pytest.mark.parametrize("name", ["post-comments", "user-comment", "userComment", "cookie-banner-wrapper-main", "ad-slot-1", "newsletter-box-cta", "sidebar-primary", "article-sidebar", "comment-body", "main-menu", "site-footer"])
+def test_compound_names_are_out(name):
+    page = f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG[::-1]} and so it is for the one who is in it, as was said of it</p></div></article></body>"
+    assert html_extract.main_text(page) == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["content comments-open", "has-sidebar", "share-price", "related-work", "social-history", "post no-sidebar", "discussion", "price-share"])
+def test_names_of_other_things_stay(name):
+    assert html_extract.main_text(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == LONG.strip()
+
+
+def test_doubtful_names_by_links_and_length():
+    links = "".join(f"<p><a href=x{i}>Read on about the {i} of it</a></p>" for i in range(4))
+    assert html_extract.main_text(f"<article><p>{LONG}</p><div class='story-related'>{links}</div><div class='post-share'><p>Tell the others of it.</p></div><p>End of it.</p></article>") == f"{LONG.strip()}\nEnd of it."
+
+
+def test_short_pages_and_labels():
+    assert html_extract.main_text("<body><p>Short note.</p></body>") == "Short note."
+    assert html_extract.main_text("<body><nav>All of the menu</nav><p>Note.</p><p>A longer note.</p><p><a href=x>Next page of it all</a></p></body>") == "A longer note."
+    assert html_extract.main_text("<body><nav>All of the menu</nav></body>") == ""
+    assert html_extract.main_text(f"<div><p>{LONG}</p><label for=x>Your mail address</label><input id=x></div>") == LONG.strip()
+
+
 def test_long_broken_pages_take_linear_time():
     page = "<p>" + "<span class=a></b></i>word </u>" * 40_000 + "".join(f"<p>short {i}" for i in range(20_000))
     began = time.process_time()
