@@ -11,6 +11,11 @@ def ledger_scan(ledger: DataFrame, *types: str) -> DataFrame:
     return ledger.where(F.col("type").isin(*types)) if types else ledger
 
 
+def trades_newest_first(ledger: DataFrame) -> DataFrame:
+    """Each portfolio's trades, newest first. Portfolios lie apart, each sorted within its partition; there is no order among them, so nothing is sorted as a whole."""
+    return ledger_scan(ledger, "TRANSACTION").repartition("portfolio_id").sortWithinPartitions("portfolio_id", F.desc("txn_date"), F.desc("seq"))
+
+
 def first_activity_date(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("portfolio_id", "account").agg(F.min("txn_date").alias("first_date"))
 

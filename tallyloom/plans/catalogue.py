@@ -81,7 +81,7 @@ def ledger_scan(ledger):
 
 @query("SELECT portfolio_id, seq, txn_date, symbol, quantity, amount FROM ledger WHERE type = 'TRANSACTION' ORDER BY txn_date DESC, seq DESC", "ledger")
 def trades_newest_first(ledger):
-    return tables.ledger_scan(ledger, "TRANSACTION").select("portfolio_id", "seq", "txn_date", "symbol", "quantity", "amount").orderBy(F.desc("txn_date"), F.desc("seq"))
+    return tables.trades_newest_first(ledger).select("portfolio_id", "seq", "txn_date", "symbol", "quantity", "amount")
 
 
 @query("SELECT portfolio_id, account, min(txn_date) AS first_date FROM ledger GROUP BY ALL", "ledger")

@@ -80,7 +80,7 @@ VIEWS += (
     ),
     (
         "snapshots",
-        """SELECT portfolio_id, txn_date AS date, sum(amount_gbp) AS total_value, sum(CASE WHEN amount > 0 THEN amount_gbp ELSE 0 END) AS gain, max(amount_gbp) AS cash, count(*) / CAST(100 AS DOUBLE) AS return_pct, min(quantity) AS total_return FROM ledger WHERE day(txn_date) = 1 GROUP BY portfolio_id, txn_date""",
+        """SELECT portfolio_id, txn_date AS date, CAST(sum(CAST(amount_gbp AS DECIMAL(28, 6))) AS DOUBLE) AS total_value, CAST(sum(CAST(CASE WHEN amount > 0 THEN amount_gbp ELSE 0 END AS DECIMAL(28, 6))) AS DOUBLE) AS gain, max(amount_gbp) AS cash, count(*) / CAST(100 AS DOUBLE) AS return_pct, min(quantity) AS total_return FROM ledger WHERE day(txn_date) = 1 GROUP BY portfolio_id, txn_date""",
     ),
 )
 

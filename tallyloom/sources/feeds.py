@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.scalars import CASH_SYMBOLS, is_bond
 
 
+#: Bound of the rules that each task holds.
+MOST_RULES = 10_000
+
+
 def resolve_symbol(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     """df with resolved: GILT coupon% year for names of bonds, else the symbol of the first matching rules(rule, pattern, symbol), else the tidy name.
 
-    The rule table is small and broadcast by its size; two-digit years count from 2000.
+    Every name is held against every rule, so the rules are counted first: more than MOST_RULES are an error. Two-digit years count from 2000.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     name = F.trim(F.regexp_replace(F.regexp_replace(F.upper(column), "[.,]", ""), r"\s+", " "))
     raw = F.upper(column)
     share = F.regexp_extract(raw, r"(\d+(?:\.\d+)?)\s*%", 1)
@@ -20,7 +26,7 @@ def resolve_symbol(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     bond = F.when(raw.rlike("GILT|TREASURY") & (share != "") & (year != ""), F.concat(F.lit("GILT "), share, F.lit("% "), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)))
     rows = df.withColumns({"_name": name, "_bond": bond})
     names = rows.select("_name").distinct()
-    hits = names.join(rules.withColumnRenamed("symbol", "_ruled"), F.expr("_name rlike pattern")).groupBy("_name").agg(F.min_by("_ruled", "rule").alias("_ruled"))
+    hits = names.join(F.broadcast(rules.withColumnRenamed("symbol", "_ruled")), F.expr("_name rlike pattern")).groupBy("_name").agg(F.min_by("_ruled", "rule").alias("_ruled"))
     return rows.join(hits, "_name", "left").withColumn("resolved", F.coalesce("_bond", "_ruled", "_name")).drop("_name", "_bond", "_ruled")
 
 

@@ -70,7 +70,7 @@ def _kind(description: Column) -> Column:
 
 
 def statement_rows(raw: DataFrame, fx: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """raw(source_path, _line, Date, Symbol, Qty, Price, Description, Debit, Credit, Running Balance), texts, newest first, of many files:
+    """raw(source_path, _line, Date, Symbol, Quantity, Price, Description, Debit, Credit, Running Balance), texts, newest first, of many files:
     (source_path, n from the oldest, txn_date, symbol, kind, quantity, price, net, currency, cash_balance, fx_to_gbp, description, listing_currency, gross, refused).
 
     A file's currency is that of its first balance with a sign; net is credit less debit; 'n/a' is blank; rows without a date are left out. A file
@@ -81,7 +81,7 @@ def statement_rows(raw: DataFrame, fx: DataFrame, tolerance: float = 0.02) -> Da
     symbol = F.when(F.lower(cell("Symbol")) == "n/a", "").otherwise(cell("Symbol"))
     sign = F.regexp_extract(cell("Running Balance"), r'^"?([£$€])', 1)
     money_of = lambda c: F.coalesce(money(cell(c)), F.lit(0.0))
-    rows = raw.where(cell("Date") != "").select("source_path", "_line", F.try_to_date(cell("Date"), "dd/MM/yyyy").alias("txn_date"), symbol.alias("symbol"), money_of("Qty").alias("quantity"), money_of("Price").alias("price"), (money_of("Credit") - money_of("Debit")).alias("net"), money(cell("Running Balance")).alias("cash_balance"), F.nullif(sign, F.lit("")).alias("sign"), cell("Description").alias("description"))
+    rows = raw.where(cell("Date") != "").select("source_path", "_line", F.try_to_date(cell("Date"), "dd/MM/yyyy").alias("txn_date"), symbol.alias("symbol"), money_of("Quantity").alias("quantity"), money_of("Price").alias("price"), (money_of("Credit") - money_of("Debit")).alias("net"), money(cell("Running Balance")).alias("cash_balance"), F.nullif(sign, F.lit("")).alias("sign"), cell("Description").alias("description"))
     oldest = Window.partitionBy("source_path").orderBy(F.desc("_line"))
     rows = rows.withColumns({"n": F.row_number().over(oldest).cast("long"), "before": F.lag("cash_balance").over(oldest)})
     off = F.col("before").isNotNull() & (F.abs(F.col("before") + F.col("net") - F.col("cash_balance")) > tolerance)

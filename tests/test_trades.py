@@ -11,7 +11,7 @@ from tallyloom.sources import trades
 
 DAY = dt.date(2024, 1, 10)
 FX = [("USD", DAY - dt.timedelta(5), 1.25), ("USD", DAY + dt.timedelta(2), 1.3), ("EUR", DAY, 1.15)]
-RAW = "source_path string, _line long, Date string, Symbol string, Qty string, Price string, Description string, Debit string, Credit string, `Running Balance` string"
+RAW = "source_path string, _line long, Date string, Symbol string, Quantity string, Price string, Description string, Debit string, Credit string, `Running Balance` string"
 
 
 def rates(spark):
