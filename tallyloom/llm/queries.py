@@ -127,5 +127,23 @@ from p left join g on p.d = g.d and n >= 1000
 """
 
 
+def _k_means_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = [
+        f"""kept as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda v: cast(floor(64 * cast(v as double)) as bigint)) as x from embeddings
+where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is not null and isfinite(v) and abs(floor(64 * cast(v as double))) < {1 << 26})) = 64)""",
+        f"c0 as materialized (select row_number() over (order by h, x) - 1 as c, x as ctr from (select sha256('1:' || coalesce(cast(vec_id as varchar), '')) as h, x from kept order by h, x limit {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} as (select r, vec_id, x, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - ctr[i]) * (x[i] - ctr[i]))) as d from kept cross join c{n})")
+        parts.append(f"a{n} as materialized (select r, vec_id, x, arg_min(c, (d, c)) as c, min(d) as d from d{n} group by r, vec_id, x)")
+        if n < rounds:
+            parts.append(f"m{n} as (select c, i, cast(floor(cast(sum(v) as double) / count(*)) as bigint) as m from (select c, unnest(x) as v, unnest(range(1, 65)) as i from a{n}) group by c, i)")
+            parts.append(f"c{n + 1} as materialized (select c, coalesce(m, ctr) as ctr from c{n} left join (select c, list(m order by i) as m from m{n} group by c) using (c))")
+    return "with " + ",\n".join(parts) + f"""
+select vec_id, cast(c as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+       sha256(array_to_string(ctr, ',')) as centroid_sha256 from a{rounds} join c{rounds} using (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_round_trip": _WARC_SQL}
+    return {"op10_warc_round_trip": _WARC_SQL, "op13_orchard_clustering": _k_means_sql()}
