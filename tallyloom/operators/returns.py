@@ -57,11 +57,20 @@ def max_drawdown(growth: DataFrame) -> DataFrame:
 
 
 def annual_returns(growth: DataFrame) -> DataFrame:
-    """(portfolio_id, year, annual_return, partial): a year's last growth over the year before's, or over the first day's."""
-    years = growth.groupBy("portfolio_id", F.year("date").alias("year")).agg(F.max_by("growth", "date").alias("close"), F.min_by("growth", "date").alias("open"), F.max("date").alias("last"), F.min("date").alias("first"))
-    before = F.lag("close").over(Window.partitionBy("portfolio_id").orderBy("year"))
-    partial = (F.month("last") != 12) | (F.dayofmonth("last") != 31) | before.isNull()
-    return years.select("portfolio_id", "year", (F.col("close") / F.coalesce(before, "open") - 1).alias("annual_return"), partial.alias("partial"))
+    """(portfolio_id, year, annual_return, invested_return, partial, from_date, to_date): a year's last growth over the year before's, or over the first day's.
+
+    invested_return is that of invested_growth between the same days, null where it isn't above 0 at their start; years whose growth isn't, or that
+    have one day only, are left out. partial marks a first year that doesn't begin on 1 January and a last one of fewer than 365 days.
+    """
+    last = lambda c: F.max_by(c, "date").alias(c)
+    first = lambda c: F.min_by(c, "date").alias(f"first_{c}")
+    years = growth.groupBy("portfolio_id", F.year("date").alias("year")).agg(last("growth"), first("growth"), last("invested_growth"), first("invested_growth"), F.max("date").alias("to_date"), F.min("date").alias("first_date"))
+    by_year = Window.partitionBy("portfolio_id").orderBy("year")
+    anchor = lambda c: F.coalesce(F.lag(c).over(by_year), f"first_{c}")
+    begins, ends = F.lag("year").over(by_year).isNull() & (F.dayofyear("first_date") > 1), F.lead("year").over(by_year).isNull() & (F.dayofyear("to_date") < 365)
+    years = years.withColumns({"anchor": anchor("growth"), "i_anchor": anchor("invested_growth"), "from_date": F.coalesce(F.lag("to_date").over(by_year), "first_date"), "partial": begins | ends})
+    years = years.where("anchor > 0 and from_date <> to_date")
+    return years.select("portfolio_id", "year", (F.col("growth") / F.col("anchor") - 1).alias("annual_return"), F.when(F.col("i_anchor") > 0, F.col("invested_growth") / F.col("i_anchor") - 1).alias("invested_return"), "partial", "from_date", "to_date")
 
 
 def weekday_returns(growth: DataFrame) -> DataFrame:

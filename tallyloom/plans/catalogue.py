@@ -373,12 +373,16 @@ def max_drawdown(growth):
 
 @query(
     _TWR
-    + """, y AS (SELECT portfolio_id, CAST(year(date) AS INTEGER) AS year, arg_max(growth, date) AS c, arg_min(growth, date) AS o, max(date) AS l FROM g GROUP BY ALL), z AS (SELECT *, lag(c) OVER (PARTITION BY portfolio_id ORDER BY year) AS b FROM y)
-    SELECT portfolio_id, year, round(c / coalesce(b, o) - 1, 6) AS annual_return, (month(l) <> 12 OR day(l) <> 31 OR b IS NULL) AS partial FROM z""",
+    + """, y AS (SELECT portfolio_id, CAST(year(date) AS INTEGER) AS year, arg_max(growth, date) AS c, arg_min(growth, date) AS o, arg_max(invested_growth, date) AS ic, arg_min(invested_growth, date) AS io, max(date) AS l, min(date) AS f FROM g GROUP BY ALL),
+    z AS (SELECT *, coalesce(lag(c) OVER w, o) AS a, coalesce(lag(ic) OVER w, io) AS ia, coalesce(lag(l) OVER w, f) AS from_date, (lag(year) OVER w IS NULL AND dayofyear(f) > 1 OR lead(year) OVER w IS NULL AND dayofyear(l) < 365) AS partial FROM y WINDOW w AS (PARTITION BY portfolio_id ORDER BY year)),
+    q AS (SELECT *, CASE WHEN ia > 0 THEN ic / ia - 1 END AS ir FROM z) SELECT portfolio_id, year, round(c / a - 1, 6) AS annual_return, round(sign(ir) * ln(abs(ir) + 1), 6) AS invested_log, partial, from_date, l AS to_date FROM q WHERE a > 0 AND from_date <> l""",
     "growth",
 )
 def annual_returns(growth):
-    return _rounded(returns.annual_returns(growth), annual_return=6)
+    # the invested chain's digits are unstable where little was invested: a logarithm with its sign
+    out = returns.annual_returns(growth)
+    ir = F.col("invested_return")
+    return _rounded(out.withColumn("invested_log", F.signum(ir) * F.ln(F.abs(ir) + 1)).drop("invested_return"), annual_return=6, invested_log=6)
 
 
 _DAYS = _TWR + ", w0 AS (SELECT portfolio_id, date, growth / nullif(greatest(lag(growth) OVER (PARTITION BY portfolio_id ORDER BY date), 0), 0) - 1 AS r FROM g), wr AS (SELECT * FROM w0 WHERE r IS NOT NULL AND isodow(date) < 6)"

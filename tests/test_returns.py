@@ -33,6 +33,19 @@ def test_growth_starts_with_the_first_value(spark):
     assert [r.growth for r in out] == pytest.approx([1.0, 1.2])
 
 
+def test_years(spark):
+    days = [(dt.date(2020, 6, 1), 1.0, 0.0), (dt.date(2020, 12, 31), 1.1, 2.0), (dt.date(2021, 12, 31), 2.2, 5.0), (dt.date(2022, 12, 31), -1.0, 5.0), (dt.date(2023, 3, 1), 4.0, 10.0)]
+    rows = spark.createDataFrame([(1, *d) for d in days] + [(2, dt.date(2021, 1, 1), 1.0, 1.0), (2, dt.date(2021, 12, 31), 2.0, 4.0), (3, dt.date(2021, 5, 1), 1.0, 1.0)], "portfolio_id long, date date, growth double, invested_growth double")
+    got = {(r.portfolio_id, r.year): (r.annual_return, r.invested_return, r.partial, r.from_date, r.to_date) for r in returns.annual_returns(rows).collect()}
+    d = dt.date
+    assert got == {
+        (1, 2020): (pytest.approx(0.1), None, True, d(2020, 6, 1), d(2020, 12, 31)),
+        (1, 2021): (pytest.approx(1.0), 1.5, False, d(2020, 12, 31), d(2021, 12, 31)),
+        (1, 2022): (pytest.approx(-1 / 2.2 - 1), 0.0, False, d(2021, 12, 31), d(2022, 12, 31)),
+        (2, 2021): (1.0, 3.0, False, d(2021, 1, 1), d(2021, 12, 31)),
+    }
+
+
 def test_drawdown(spark):
     growth = grown(spark, 100, 120, 60, 90, d0=100)
     low = returns.max_drawdown(growth).first()
