@@ -9,7 +9,7 @@ from ..functions.scalars import is_bond, pence_currency, to_gbp
 from .asof import dense_rates
 from .exposure import live_rates
 from .holdings import held_intervals, wac_cost_basis
-from .timeline import daily_positions, day_spine, invested_of
+from .timeline import by_size, daily_positions, day_spine, invested_of, position_intervals
 
 
 def missing_price_ranges(ledger: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:
@@ -40,7 +40,12 @@ def weekly_allocation(ledger: DataFrame, units: DataFrame, values: DataFrame, as
     """(portfolio_id, date, symbol, gbp): every seventh day from a book's first and as_of; positions in cents, not 0, and CASH."""
     start = values.groupBy("portfolio_id").agg(F.min("date").alias("start"))
     sampled = (F.datediff("date", "start") % 7 == 0) | (F.col("date") == as_of)
-    held = daily_positions(ledger, as_of).join(start, "portfolio_id").where(sampled).join(units.hint("merge"), ["symbol", "date"])
+    late = F.pmod(F.datediff("start", "from_date"), F.lit(7))  # days until the first sample of an interval
+    begin = F.date_add("from_date", late)
+    weeks = F.when(begin <= F.col("to_date"), F.sequence(begin, "to_date", F.expr("interval 7 days"))).otherwise(F.array().cast("array<date>"))
+    days = F.array_union(weeks, F.when(F.col("to_date") == as_of, F.array(as_of)).otherwise(F.array().cast("array<date>")))
+    held = position_intervals(ledger, as_of).join(start, "portfolio_id").select("portfolio_id", "symbol", "quantity", F.explode(days).alias("date"))
+    held = held.join(by_size(units, 64), ["symbol", "date"])
     held = held.select("portfolio_id", "date", "symbol", F.round((F.col("quantity") * F.col("unit_gbp")).cast("decimal(28,6)"), 2).cast("double").alias("gbp")).where("gbp <> 0")
     cash = values.join(start, "portfolio_id").where(sampled).select("portfolio_id", "date", F.lit("CASH").alias("symbol"), F.round(F.col("cash_gbp").cast("decimal(28,6)"), 2).cast("double").alias("gbp"))
     return held.unionByName(cash)

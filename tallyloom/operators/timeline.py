@@ -38,6 +38,11 @@ def gbp_unit_values(bars: DataFrame, fx: DataFrame, first: Column, last: Column)
 BROADCAST_BYTES = 64 << 20
 
 
+def by_size(table: DataFrame, row_bytes: int) -> DataFrame:
+    """The table marked for the join that its counted rows allow: a copy for each task, or both sides sorted. Exploded tables on the other side look smaller than they are."""
+    return F.broadcast(table) if table.agg(F.count("*").alias("n")).first().n * row_bytes <= BROADCAST_BYTES else table.hint("merge")
+
+
 def invested_of(intervals: DataFrame, units: DataFrame, first: Column) -> DataFrame:
     """(portfolio_id, date, invested_gbp) of position intervals and units(symbol, date, unit_gbp), which has every day from first on.
 
@@ -79,7 +84,7 @@ def daily_cash(ledger: DataFrame, fx: DataFrame, first: Column, as_of: Column) -
     days = days.withColumn("cash", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     days = days.withColumn("to_date", F.coalesce(F.date_sub(F.lead("from_date").over(order), 1), as_of))
     days = days.select("portfolio_id", "currency", "cash", F.explode(F.sequence("from_date", "to_date")).alias("date"))
-    joined = days.join(dense_rates(fx, first, as_of).hint("merge"), ["currency", "date"], "left")  # exploded tables are larger than their estimates
+    joined = days.join(F.broadcast(dense_rates(fx, first, as_of)), ["currency", "date"], "left")  # a row per currency and day, however many books
     return joined.groupBy("portfolio_id", "date").agg(F.sum(F.coalesce(to_gbp(F.col("cash"), F.col("currency"), F.col("rate")), F.lit(0.0))).alias("cash_gbp"))
 
 

@@ -142,3 +142,14 @@ def test_earnings_gate(spark):
     q = spark.createDataFrame(eps, "ticker string, period_end date, eps double, available_from date, value_filed date")
     bars = spark.createDataFrame([("T", date(2020, 11, 1), 50.0, 1.0), ("T", date(2020, 12, 1), 60.0, 1.0)], "symbol string, date date, close double, split_factor double")
     assert [(r.date, r.ttm_eps, r.pe) for r in fundamentals.pe_series(q, bars).collect()] == [(date(2020, 12, 1), 10.0, 6.0)]
+
+
+@pytest.mark.parametrize("most", [timeline.BROADCAST_BYTES, 0])
+def test_weekly_samples(spark, most, monkeypatch):
+    monkeypatch.setattr(timeline, "BROADCAST_BYTES", most)
+    day = lambda n: date(2020, 1, 1) + timedelta(n)
+    book = ledger(spark, ("2020-01-02", "TRANSACTION", "X", 10, -100), ("2020-01-09", "TRANSACTION", "Y", 1, -5), ("2020-01-15", "TRANSACTION", "Y", 1, 5), ("2020-01-17", "TRANSACTION", "X", 4, 50))
+    units = spark.createDataFrame([(s, day(n), float(n)) for s in "XY" for n in range(40)], "symbol string, date date, unit_gbp double")
+    values = spark.createDataFrame([(1, day(n), 3.0) for n in range(20)], "portfolio_id long, date date, cash_gbp double")
+    out = allocation.weekly_allocation(book, units, values, F.lit("2020-01-20").cast("date")).collect()
+    assert sorted((r.date.day, r.symbol, r.gbp) for r in out) == [(1, "CASH", 3), (8, "CASH", 3), (8, "X", 70), (15, "CASH", 3), (15, "X", 140), (20, "CASH", 3), (20, "X", 114)]
