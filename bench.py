@@ -1,6 +1,6 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-The ledger and the unit values, which several queries read, are written first, as entries of their own.
+The ledger, prices and unit values, which several queries read, are written first, as entries of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from tallyloom.plans import allocation  # noqa: F401 (adds its queries to the catalogue)
 from tallyloom.plans.catalogue import QUERIES, _given
 
-STORED = ("ledger", "units")
+STORED = ("ledger", "prices", "units")
 NAMES = ("net_positions", "fifo_positions", "closed_lots", "dividend_attribution", "wac_cost_basis", "asof_price", "daily_invested", "daily_values", "value_timeline", "twr_growth", "max_drawdown", "rolling_vol", "concentration", "correlation_matrix", "rolling_vol_dr")
 
 

@@ -17,8 +17,8 @@ SQL: dict[str, str] = {}
 
 
 def _given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table derived from views: the ledger, unit values, daily values and growth are written once and reused."""
-    if name in ("ledger", "holdings"):
+    """A view, or a table derived from views: the ledger, prices, unit values, daily values and growth are written once and reused."""
+    if name in ("ledger", "holdings", "prices"):
         return stored(spark, sf_dir, name, lambda: table(spark, sf_dir, name))
     if name == "values":
         return stored(spark, sf_dir, name, lambda: _values(*(_given(spark, sf_dir, v) for v in ("ledger", "units", "fx"))))
