@@ -36,13 +36,10 @@ def correlation_matrix(returns: DataFrame, block: int = 128, days: int = 512) ->
     tiles = rows.groupBy("block", F.floor(F.col("day") / days).alias("span")).agg(F.collect_list("place").alias("place"), F.collect_list("day").alias("day"), F.collect_list("x").alias("x"))
     partner = F.sequence(F.lit(0), F.lit(blocks - 1))
     dealt = tiles.withColumn("partner", F.explode(partner)).select(F.least("block", "partner").alias("a"), F.greatest("block", "partner").alias("b"), "span", "block", "place", "day", "x")
-    sizes = each.groupBy("block").agg(F.count("*").cast("int").alias("size"))
-    dealt = dealt.join(sizes.select(F.col("block").alias("a"), F.col("size").alias("rows")), "a").join(sizes.select(F.col("block").alias("b"), F.col("size").alias("columns")), "b")
-    sums = dealt.groupBy("a", "b", "span").applyInArrow(_gram, "a int, b int, rows int, columns int, sums array<double>")
-    pairs = sums.groupBy("a", "b").applyInArrow(_correlated, "a int, b int, i int, j int, rho double")
-    names = each.select("block", "place", "symbol")
-    named = pairs.join(names.select(F.col("block").alias("a"), F.col("place").alias("i"), F.col("symbol").alias("left")), ["a", "i"])
-    named = named.join(names.select(F.col("block").alias("b"), F.col("place").alias("j"), F.col("symbol").alias("right")), ["b", "j"])
+    names = each.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "symbol"))).alias("own")).select("block", F.col("own.symbol").alias("names"))
+    dealt = dealt.join(names.select(F.col("block").alias("a"), F.col("names").alias("rows")), "a").join(names.select(F.col("block").alias("b"), F.col("names").alias("columns")), "b")
+    sums = dealt.groupBy("a", "b", "span").applyInArrow(_gram, "a int, b int, rows array<string>, columns array<string>, sums array<double>")
+    named = sums.groupBy("a", "b").applyInArrow(_correlated, "left string, right string, rho double")
     both = F.array(F.struct(F.col("left").alias("a"), F.col("right").alias("b")), F.struct(F.col("right").alias("a"), F.col("left").alias("b")))
     return named.select(F.explode(F.array_distinct(both)).alias("pair"), "rho").select("pair.a", "pair.b", "rho")
 
@@ -63,28 +60,28 @@ def _gram(table: pa.Table) -> pa.Table:
         x[at], there[at] = t["x"], 1.0
         return x, there
 
-    (x, m), (y, n) = matrix(tile.get(a), rows), matrix(tile.get(b), columns)
+    (x, m), (y, n) = matrix(tile.get(a), len(rows)), matrix(tile.get(b), len(columns))
     sums = np.array([m @ n.T, x @ n.T, m @ y.T, (x * x) @ n.T, m @ (y * y).T, x @ y.T])
     return pa.Table.from_pylist([{"a": a, "b": b, "rows": rows, "columns": columns, "sums": sums.ravel()}], _SUMS)
 
 
 def _correlated(table: pa.Table) -> pa.Table:
-    """The correlations of two symbol blocks, (i, j) being places in them; of one block with itself, i <= j."""
-    a, b = table["a"][0].as_py(), table["b"][0].as_py()
+    """The correlations of two symbol blocks; of one block with itself, each pair once."""
+    same = table["a"][0].as_py() == table["b"][0].as_py()
+    rows, columns = (np.array(table[c][0].as_py(), dtype=object) for c in ("rows", "columns"))
     total = table["sums"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0)
-    n, x, y, xx, yy, xy = total.reshape(6, table["rows"][0].as_py(), table["columns"][0].as_py())
+    n, x, y, xx, yy, xy = total.reshape(6, len(rows), len(columns))
     some = np.maximum(n, 1)
     left, right = xx - x * x / some, yy - y * y / some
     moves = (left > 1e-12 * xx) & (right > 1e-12 * yy) & (n > 1)
     rho = np.where(moves, (xy - x * y / some) / np.sqrt(np.where(moves, left * right, 1.0)), 0.0).clip(-1, 1)
-    if a == b:
+    if same:
         np.fill_diagonal(rho, 1.0)
-    i, j = (np.triu(np.ones_like(rho)) if a == b else np.ones_like(rho)).nonzero()
-    columns = [pa.array(np.full(len(i), a, np.int32)), pa.array(np.full(len(i), b, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(rho[i, j])]
-    return pa.Table.from_arrays(columns, ["a", "b", "i", "j", "rho"])
+    i, j = (np.triu(np.ones_like(rho)) if same else np.ones_like(rho)).nonzero()
+    return pa.Table.from_arrays([pa.array(rows[i], pa.string()), pa.array(columns[j], pa.string()), pa.array(rho[i, j])], ["left", "right", "rho"])
 
 
-_SUMS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("rows", pa.int32()), ("columns", pa.int32()), ("sums", pa.list_(pa.float64()))])
+_SUMS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("rows", pa.list_(pa.string())), ("columns", pa.list_(pa.string())), ("sums", pa.list_(pa.float64()))])
 
 
 def top_pairs(matrix: DataFrame, n: int = 5) -> DataFrame:
