@@ -10,7 +10,6 @@ Only the last sequence of a shard can be shorter than the window.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,15 +23,15 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .tables import save
-from .words import mix, pieces, split
+from .words import mix, pieces, span_hashes, split, utf8
 
 
 @dataclass(frozen=True)
 class Packing:
     """window: tokens of a sequence; end_id closes each document; shard_tokens: about the tokens of a shard;
     neighbours: the best found that are tried before the seed asks again; k1, b: of BM25; keys: number of content
-    keys, a fixed bound on what is gathered; sketch_bits: counters of document frequencies; cache_words: encoded
-    words that a Python worker keeps."""
+    keys, a fixed bound on what is gathered; sketch_bits: counters of document frequencies; cache_words: places for
+    encoded words that a Python worker keeps."""
 
     window: int = 2048
     end_id: int = 1
@@ -42,59 +41,160 @@ class Packing:
     b: float = 0.75
     keys: int = 1 << 14
     sketch_bits: int = 22
-    cache_words: int = 400_000
-
-
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+    cache_words: int = 1 << 20
+
+
+#: White space beyond ASCII, as UTF-8 read as one big-endian number; in ASCII all that Python or the vocabulary's pattern takes for it.
+_WIDE_2, _WIDE_3 = (np.array([int.from_bytes(chr(c).encode(), "big") for c in range(0x80, 0x3001) if chr(c).isspace() and len(chr(c).encode()) == n]) for n in (2, 3))
+_ASCII = np.array([chr(c).isspace() for c in range(128)] + [False] * 128)
+_OPENS = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])
+#: ASCII letters, digits, other signs, and white space that no token takes along; 0: anything else
+_LETTER, _DIGIT, _SIGN, _ALONE = 1, 2, 3, 4
+_KIND = np.zeros(256, dtype=np.uint8)
+for _c in range(0x21, 0x7F):
+    _KIND[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdigit() else _SIGN
+_KIND[[0x09, 0x0A, 0x0D]] = _ALONE
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places where one token ends and the next begins, whatever stands around: see Encoder. bounds: of the texts."""
+    kind = _KIND[data]
+    left, right = kind[:-1], kind[1:]
+    turn = (left != right) & (left > 0) & (right > 0) & (right < _ALONE) & ~((data[:-1] == 0x27) & (right == _LETTER))
+    turn[bounds[(bounds > 0) & (bounds < len(data))] - 1] = False
+    opens = np.zeros(len(data), dtype=bool)
+    opens[1:] = turn
+    opens[:-1] |= turn & (left == _ALONE)  # the last of a run of white space is a token of its own there
+    spaces = np.flatnonzero(_OPENS[data[1:]]) + 1
+    opens[spaces[~_white_before(data, spaces)]] = True
+    opens[0] = False
+    return np.flatnonzero(opens)
+
+
+def _white_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place (from 1 on) is white space."""
+    out = _ASCII[data[at - 1]]
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    two = data[at[wide] - 1].astype(np.int64) | data[np.maximum(at[wide] - 2, 0)].astype(np.int64) << 8
+    out[wide] = np.isin(two, _WIDE_2) | np.isin(two | data[np.maximum(at[wide] - 3, 0)].astype(np.int64) << 16, _WIDE_3)
+    return out
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary, by a cache of encoded words.
-
-    No token reaches over a single space between two characters that aren't white space: the one before ends there
-    and the next begins with the space. Texts are cut at such spaces only, and words with their space are encoded
-    apart. Python's white space includes all that the vocabulary's pattern knows. Texts that hold one of
-    the vocabulary's special tokens are encoded whole.
+    """Ids of a byte-level BPE vocabulary, by a table of encoded segments.
+
+    The vocabulary's pattern ends a token wherever white space follows another character, around the last of a run of white space
+    that isn't a space, and between ASCII letters, digits and other signs, except from an apostrophe to a letter.
+    Texts are cut at such places, and the segments are encoded apart: many at once, put one after the other, where
+    they begin with the only space that they hold, or hold no white space and get a line feed before
+    them, which is a token of its own. The table has a place for each value of a hash's top bits, which holds the last
+    segment met. Segments of over LONGEST bytes don't enter it. Texts with one of the vocabulary's special tokens are
+    encoded whole.
     """
 
+    LONGEST = 64
+
     def __init__(self, vocabulary: str, cache_words: int):
         import tokenizers
 
         self._tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._cache: dict[str, bytes] = {}
-        self._most = cache_words
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._bits = (cache_words - 1).bit_length()
+        self._starts = {}
+        for byte, mark in ((0x20, "Ġ"), (0x0A, "Ċ")):  # how byte-level vocabularies write the two bytes
+            self._starts[byte] = np.zeros(1 << 16, dtype=bool)
+            for token, number in self._tokenizer.get_vocab().items():
+                self._starts[byte][number] = token[:1] == mark
+        self._clear()
+
+    def _clear(self) -> None:
+        self._key = np.zeros(1 << self._bits, dtype=np.uint64)
+        self._first, self._size = np.zeros(1 << self._bits, dtype=np.int64), np.zeros(1 << self._bits, dtype=np.int64)
+        self._pool, self._used = np.zeros(1 << 16, dtype=np.uint16), 0
+
+    def _fresh(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint16) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where the ids begin in the pool."""
+        at, end = self._used, self._used + len(ids)
+        if end > len(self._pool):
+            self._pool = np.append(self._pool[:at], np.zeros(2 * end - at, dtype=np.uint16))
+        self._pool[at:end] = ids
+        self._used = end
+        return at
+
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size) in the pool of the ids of each segment; those set apart begin or end with anything."""
+        raw = data.tobytes()
+        first, size = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+        spaces, blanks = (c[end] - c[start] for c in (np.append(0, np.cumsum(x)) for x in (data == 0x20, _ASCII[data])))
+        rest = np.ones(len(start), dtype=bool)
+        apart = apart | _white_before(data, end)
+        for own, mark, starts in (
+            (np.flatnonzero((data[start] == 0x20) & (spaces == 1) & ~apart), b"", self._starts[0x20]),
+            (np.flatnonzero((blanks == 0) & ~apart), b"\n", self._starts[0x0A]),
+        ):
+            for a in range(0, len(own), 4096):
+                some = own[a : a + 4096]
+                (ids,) = self._fresh([b"".join([mark + raw[s:e] for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True)]).decode()])
+                at = np.flatnonzero(starts[ids])
+                first[some], size[some] = self._keep(ids) + at + len(mark), np.diff(np.append(at, len(ids))) - len(mark)
+            rest[own] = False
+        left = np.flatnonzero(rest)
+        found = self._fresh([raw[s:e].decode() for s, e in zip(start[left].tolist(), end[left].tolist(), strict=True)])
+        if found:
+            size[left] = [len(x) for x in found]
+            first[left] = self._keep(np.concatenate(found)) + np.cumsum(size[left]) - size[left]
+        return first, size
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit numbers (the vocabulary has fewer than 2**16)."""
-        cache = self._cache
-        if len(cache) > self._most:
-            cache.clear()
-        cut = [self._words(text) for text in texts]
-        new = list({word for words in cut for word in words[1:] if word not in cache})
-        cache.update(zip(new, self._fresh([" " + word for word in new]), strict=True))
-        heads = self._fresh([words[0] for words in cut])
-        return [b"".join([head, *map(cache.__getitem__, words[1:])]) for head, words in zip(heads, cut, strict=True)]
-
-    def _words(self, text: str) -> list[str]:
-        if any(s in text for s in self._special):
-            return [text]
-        words = text.split(" ")
-        cache = self._cache
-        if all(w in cache or (w and not w[0].isspace() and not w[-1].isspace()) for w in words):
-            return words
-        return _CUT.split(text)
+        """Ids of each text as little-endian 16-bit numbers."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has (the vocabulary has fewer than 2**16)."""
+        if self._used > 4 << self._bits:
+            self._clear()
+        data, bounds = utf8(texts)
+        full = np.flatnonzero(np.diff(bounds))
+        if not len(full):
+            return np.zeros(0, dtype=np.uint16), np.zeros(len(texts), dtype=np.int64)
+        cuts = _cuts(data, bounds)
+        owner = np.searchsorted(bounds, cuts, side="right") - 1
+        whole = np.zeros(len(texts), dtype=bool)
+        for s in self._special:
+            whole |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        opens, heads = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+        opens[cuts[~whole[owner]]] = opens[bounds[full]] = heads[bounds[full]] = True
+        start = np.flatnonzero(opens)
+        end, head = np.append(start[1:], len(data)), heads[start]
+        tail = np.append(head[1:], True)
+        first, size = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+        plain = np.flatnonzero(~head & ~tail & (end - start <= self.LONGEST))
+        name = span_hashes(data, start[plain], end[plain])
+        place = (name >> np.uint64(64 - self._bits)).astype(np.int64)
+        known = (self._key[place] == name) & (self._size[place] > 0)
+        first[plain[known]], size[plain[known]] = self._first[place[known]], self._size[place[known]]
+        _, one, back = np.unique(name[~known], return_index=True, return_inverse=True)
+        new = plain[~known][one]
+        f, n = self._encode(data, start[new], end[new], np.zeros(len(new), dtype=bool))
+        first[plain[~known]], size[plain[~known]] = f[back], n[back]
+        at = place[~known][one]
+        self._key[at], self._first[at], self._size[at] = name[~known][one], f, n
+        other = np.setdiff1d(np.arange(len(start)), plain, assume_unique=True)
+        first[other], size[other] = self._encode(data, start[other], end[other], (head | tail)[other])
+        before = np.cumsum(size) - size
+        ids = self._pool[np.repeat(first - before, size) + np.arange(size.sum())]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[full] = np.add.reduceat(size, np.flatnonzero(head))
+        return ids, counts
 
     @property
     def begins(self) -> np.ndarray:
         """Which ids begin a word: those of tokens that start with a space or a line feed."""
-        out = np.zeros(1 << 16, dtype=bool)
-        for token, number in self._tokenizer.get_vocab().items():
-            out[number] = token[:1] in ("Ġ", "Ċ")  # how byte-level vocabularies write the two bytes
-        return out
+        return self._starts[0x20] | self._starts[0x0A]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -125,16 +225,17 @@ def _encoded(docs: DataFrame, vocabulary, p: Packing) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, p)
-        end = np.array([p.end_id], dtype="<u2").tobytes()
         part_no, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids = [x + end for x in encoder.encode(pc.fill_null(part.column("text"), "").to_pylist())]
-                row = np.arange(done, done + len(ids), dtype=np.uint64) + np.uint64(part_no << 40)
-                done += len(ids)
+                ids, n = encoder.encode_column(part.column("text"))
+                ids, n = np.insert(ids, np.cumsum(n), p.end_id).astype("<u2"), n + 1
+                row = np.arange(done, done + len(n), dtype=np.uint64) + np.uint64(part_no << 40)
+                done += len(n)
                 spread = (mix(row) >> np.uint64(11)) / float(1 << 53)
-                n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_content_keys(part.column("text"), p)), pa.array(spread), part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n)], ["key", "spread", "doc_id", "ids", "n"])
+                offsets = np.append(0, np.cumsum(2 * n)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(_content_keys(part.column("text"), p)), pa.array(spread), part.column("doc_id").cast(pa.int64()), ids, pa.array(n)], ["key", "spread", "doc_id", "ids", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, spread double, doc_id long, ids binary, n long")
 

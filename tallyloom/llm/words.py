@@ -40,6 +40,8 @@ def _tables():
 
 
 LOWER, _VALUE, _WORD = _tables()
+#: Byte values that tell capitals from small letters.
+EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _powers: list[np.ndarray] = []
 
 
@@ -56,6 +58,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray = EXACT) -> np.ndarray:
+    """Hashes of the spans [start, end) of the bytes, each byte standing for its value of the table."""
+    up, down = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(value[data] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 @dataclass
 class Words:
     """Words of n texts: bytes (as given), word bounds in them, and the first word of each text (n + 1 values)."""
@@ -67,24 +77,26 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        up, down = _power_tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        return span_hashes(self.data, self.start, self.end, _VALUE)
 
     def word(self, i: int) -> bytes:
         return LOWER[self.data[self.start[i] : self.end[i]]].tobytes()
 
 
-def split(texts: pa.Array) -> Words:
-    """Words of an Arrow string array; null counts as empty."""
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string array and the bounds of its texts in them; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(texts) else np.zeros(0, np.uint8)
-    bounds = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def split(texts: pa.Array) -> Words:
+    """Words of an Arrow string array; null counts as empty."""
+    data, bounds = utf8(texts)
     inside = _WORD[data]
     before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]

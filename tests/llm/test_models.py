@@ -134,6 +134,20 @@ def test_encoder_equals_the_tokenizer():
             assert np.frombuffer(ids, "<u2").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_meets_parts_of_words_once():
+    """Known words next to other signs and digits aren't encoded again, and a text's end doesn't look at the next text."""
+    encoder = packing.Encoder(open(tokenizer(), encoding="utf-8").read(), 1 << 16)
+    reference = Tokenizer.from_file(tokenizer())
+    encoder.encode(["x alpha beta, (gamma) (delta-epsilon) 12;\n34 x"])
+    sent = []
+    fresh = encoder._fresh
+    encoder._fresh = lambda texts: sent.extend(texts) or fresh(texts)
+    given = ["x alpha, beta (delta-gamma)34;\n12 x", "x alpha\r\n\n", "(x alpha's\xa0", " x"]
+    for t, ids in zip(given, encoder.encode(given), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not any(w in t for w in ("alpha,", "beta", "gamma", "delta", "34") for t in sent)
+
+
 def test_packing(spark):
     given = [*texts(150), "long " * 5000]
     docs = spark.createDataFrame([(i, t, "c", 0) for i, t in enumerate(given)] + [(None, "no id", "c", 0), (3, given[3], "c", 0)], DOCS)
