@@ -59,8 +59,13 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.RecordBatch, l
         yield part, shingle_sets(split(part.column("text")), words)
 
 
+def _key():
+    """Names a text, so that texts of some nodes are found without making all sets again."""
+    return F.xxhash64("text").alias("key")
+
+
 def _profile(docs: DataFrame, p: JaccardJoin) -> DataFrame:
-    """(doc_id, n_shingles, node) per text, and beside them the rows of the sketch with doc_id null and chunk set."""
+    """(doc_id, n_shingles, node, key) per text, and beside them the rows of the sketch with doc_id null and chunk set."""
 
     def run(batches):
         counts = sketch.Counters(p.sketch_bits)
@@ -70,13 +75,13 @@ def _profile(docs: DataFrame, p: JaccardJoin) -> DataFrame:
                     counts.add(np.concatenate(sets))
                 nodes = pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64())
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), nodes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), nodes, part.column("key"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names)
         chunk, tables = counts.rows()
         n = len(chunk)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), chunk, tables], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, chunk, tables], names)
 
-    names = ["doc_id", "n_shingles", "node", "chunk", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, chunk int, counts array<int>")
+    names = ["doc_id", "n_shingles", "node", "key", "chunk", "counts"]
+    return docs.select("doc_id", "text", _key()).mapInArrow(run, "doc_id long, n_shingles long, node long, key long, chunk int, counts array<int>")
 
 
 def choose_matches(df_in_order: np.ndarray, n: int, p: JaccardJoin) -> int:
@@ -116,7 +121,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
     largest group.
     """
     noise = float(np.median(counts))
-    spread = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8))  # 2**sketch_bits bytes
+    spread = docs.sparkSession.sparkContext.broadcast(sketch.levels(counts))  # 2**sketch_bits bytes
     names = ["token", "many", "node", "n", "need", "place"]
     out = ["token", "node", "n", "need", "place", "size", "least"]
 
@@ -165,7 +170,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, buckets: int, p: JaccardJoin)
 
 def _filter(nodes: DataFrame, bits: int = 22):
     """A broadcast table of 2**bits flags that tells most other nodes from the given ones; what passes it still has to be joined."""
-    return nodes.sparkSession.sparkContext.broadcast(np.packbits(sketch.counting(nodes.select("node"), "node", bits) > 0)), bits
+    return nodes.sparkSession.sparkContext.broadcast(sketch.met(nodes, "node", bits)), bits
 
 
 def _passes(there, names: np.ndarray) -> np.ndarray:
@@ -174,33 +179,27 @@ def _passes(there, names: np.ndarray) -> np.ndarray:
     return (table.value[place >> 3] << (place & 7) & 128) > 0
 
 
-def _needed_sets(docs: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame:
-    """(node, members): the sets of the given nodes, one row per node. Each task sends a set once, however many texts have it."""
-    there = _filter(nodes)
+def _needed_sets(docs: DataFrame, keys: DataFrame, nodes: DataFrame, p: JaccardJoin) -> DataFrame:
+    """(node, members): the sets of the given nodes, one row per node. keys has a text's key for each node; only such texts are cut into sets."""
+    there = _filter(keys.join(nodes, "node", "left_semi").select(F.col("key").alias("node")))
 
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
-            for _, sets in _sets(batch, p.words):
+            for _, sets in _sets(batch.filter(pa.array(_passes(there, batch.column("key").to_numpy()))), p.words):
                 own = {_fingerprint(s): s for s in sets if len(s)}
-                names = np.array(list(own), dtype=np.int64)
-                names = [x for x in names[_passes(there, names)].tolist() if x not in sent]
+                names = [x for x in own if x not in sent]
                 sent.update(names)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([own[x].tobytes() for x in names], pa.binary())], ["node", "members"])
 
-    found = docs.select("text").mapInArrow(run, "node long, members binary")
+    found = docs.select("text", _key()).mapInArrow(run, "node long, members binary")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the similarity. Only the sets of these pairs are shuffled."""
+def _verified(pairs: DataFrame, docs: DataFrame, keys: DataFrame, p: JaccardJoin) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the similarity. Only the sets of these pairs are stored and shuffled."""
     pairs = save(pairs, "pairs")
-    there = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-
-    def wanted(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(_passes(there, b.column("node").to_numpy())))
+    sets = save(_needed_sets(docs, keys, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), p), "sets")
 
     def run(batches):
         for b in batches:
@@ -214,10 +213,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: JaccardJoin) -> DataFrame:
                 keep.append(100 * both >= p.percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = sets.mapInArrow(wanted, "node long, members binary")
-    with_b = pairs.join(own.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    both = with_b.join(own.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     out = save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    drop(sets)
     drop(pairs)
     return out
 
@@ -298,18 +297,18 @@ def similarity_classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataF
     empty table gives an empty result. Texts are used whole, at any length.
     """
     profile = save(_profile(docs, p), "profile")
-    rows = profile.where("chunk is null").select("doc_id", "n_shingles", "node")
+    rows = profile.where("chunk is null").select("doc_id", "n_shingles", "node", "key")
     counts = sketch.collect(profile.where("chunk is not null").select("chunk", "counts"), p.sketch_bits)
     buckets = max(16, int(counts.sum()) * (100 - p.percent) // 100 // 1_000_000)
     postings = save(_postings(docs, counts, buckets, p), "postings")
-    sets = save(_needed_sets(docs, postings.select("node").distinct(), p), "sets")
+    keys = save(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key")), "keys")
     links = parts = None
     for leaders, partners in zip(p.star_leaders, p.partners, strict=True):
-        found = _verified(_star_pairs(_with_parts(postings, parts), p, leaders, partners), sets, p)
+        found = _verified(_star_pairs(_with_parts(postings, parts), p, leaders, partners), docs, keys, p)
         links, parts = _joined(links, found, parts)
-    found = _verified(_cross_pairs(_with_parts(postings, parts), p), sets, p)
+    found = _verified(_cross_pairs(_with_parts(postings, parts), p), docs, keys, p)
     drop(postings)
-    drop(sets)
+    drop(keys)
     links, parts = _joined(links, found, parts)
     drop(links)
     own = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))

@@ -290,8 +290,7 @@ def _statistics(encoded: DataFrame, begins, p: Packing) -> Corpus:
     found = save(encoded.select("ids").mapInArrow(run, sketch.SCHEMA + ", words long, documents long"), "word-counts")
     total = found.agg(F.sum("words").alias("words"), F.sum("documents").alias("documents")).first()
     counts = sketch.collect(found.where("chunk is not null").select("chunk", "counts"), p.sketch_bits)
-    levels = np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
-    return Corpus(total.documents or 0, (total.words or 0) / max(1, total.documents or 0), float(np.median(counts)), levels)
+    return Corpus(total.documents or 0, (total.words or 0) / max(1, total.documents or 0), float(np.median(counts)), sketch.levels(counts))
 
 
 class Shard:

@@ -70,6 +70,43 @@ def test_prefix_tokens_keep_all_their_bits(spark):
     assert tokens and tokens <= made
 
 
+def test_only_sets_of_paired_texts_are_made(spark, monkeypatch):
+    """Texts that share rare shingles but can't reach the similarity meet in postings; their sets aren't stored."""
+    random.seed(21)
+    word = lambda: f"w{random.randint(0, 10**6)}"
+    texts = []
+    for _ in range(40):
+        shared = [word() for _ in range(6)]
+        texts += [" ".join([*shared, *(word() for _ in range(k))]) for k in (60, 200)]
+    twin = [word() for _ in range(80)]
+    texts += [" ".join(twin), " ".join([*twin, "end"])]
+    made = []
+    save = jaccard_join.save
+    monkeypatch.setattr(jaccard_join, "save", lambda df, name: made.append((name, save(df, name))) or made[-1][1])
+    monkeypatch.setattr(jaccard_join, "drop", lambda df: None)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_classes(spark.createDataFrame(rows(*texts), DOCS)).collect()}
+    assert got == {i: min(i, 80) for i in range(82)}
+    assert max(df.count() for name, df in made if name == "sets") == 2
+
+
+def test_a_sketch_is_collected_in_one_job(spark):
+    docs = spark.range(5000).select(jaccard_join.F.shiftleft("id", 45).alias("node"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sketch", "")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bits = np.unpackbits(jaccard_join.sketch.met(docs, "node", 22))
+        assert len(tracker.getJobIdsForGroup("sketch")) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = np.zeros(1 << 22, dtype=bool)
+    want[(np.arange(5000, dtype=np.uint64) << np.uint64(45)) >> np.uint64(42)] = True
+    assert np.array_equal(bits.astype(bool), want)
+
+
 def test_jaccard_of_nothing_and_of_null_ids(spark):
     assert jaccard_join.similarity_classes(spark.createDataFrame([], DOCS)).count() == 0
     out = jaccard_join.similarity_classes(spark.createDataFrame([(None, "a b", "", "", 1), (7, "a b", "", "", 1), (7, "a b", "", "", 1)], DOCS)).collect()
