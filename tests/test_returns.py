@@ -52,6 +52,12 @@ def test_drawdown(spark):
     assert low.max_drawdown == pytest.approx(-0.5) and low.date == DAY + dt.timedelta(2)
 
 
+def test_the_trough_is_the_first_of_days_level_but_for_rounding(spark):
+    rows = [(1, DAY + dt.timedelta(i), g) for i, g in enumerate((1.0, 0.5, 0.5 - 1e-15, 0.6))]
+    low = returns.max_drawdown(spark.createDataFrame(rows, "portfolio_id long, date date, growth double")).first()
+    assert low.date == DAY + dt.timedelta(1) and low.max_drawdown == pytest.approx(-0.5)
+
+
 def test_weekends_and_histogram(spark):
     growth = grown(spark, *[100 * 1.01**i for i in range(14)], d0=100)
     assert returns.weekday_returns(growth).count() == 9
