@@ -37,9 +37,9 @@ def daily_bars(quotes: DataFrame, lateness: str = "7 days", zone: str = "Europe/
 
 
 def age_class(ts: Column, now: Column) -> Column:
-    """fresh under 5 minutes, stale under 30, else old."""
-    seconds = now.cast("long") - ts.cast("long")
-    return F.when(seconds < 300, "fresh").when(seconds < 1800, "stale").otherwise("old")
+    """fresh under 5 minutes, stale under 30, else old; to the microsecond."""
+    age = F.unix_micros(now) - F.unix_micros(ts)
+    return F.when(age < 300_000_000, "fresh").when(age < 1_800_000_000, "stale").otherwise("old")
 
 
 class _Changes(StatefulProcessor):

@@ -8,6 +8,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import tables
 from tallyloom.streaming import quotes
@@ -98,3 +99,10 @@ def test_a_batch_that_failed_is_written_anew(spark, tmp_path, kind):
     table.upsert(bars(spark, n), n)
     got = {(r.symbol, r.date): r.close for r in table.read().collect()}
     assert all(got[r.symbol, r.date] == r.close for r in bars(spark, n).collect())
+
+
+def test_ages_are_told_to_the_microsecond(spark):
+    rows = [("11:55:00", "stale"), ("11:55:00.000001", "fresh"), ("11:30:00", "old"), ("11:30:00.5", "stale"), ("12:00:01", "fresh")]
+    out = spark.createDataFrame([(f"2001-11-04 {t}", c) for t, c in rows], "ts string, wanted string")
+    out = out.withColumn("age", quotes.age_class(F.col("ts").cast("timestamp"), F.lit("2001-11-04 12:00:00").cast("timestamp")))
+    assert out.where("age <> wanted").collect() == []
