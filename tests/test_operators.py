@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import allocation, fundamentals, holdings, performance, timeline
+from tallyloom.operators import allocation, fundamentals, holdings, performance, returns, timeline
 from tallyloom.sources import feeds, statements
 from tallyloom.streaming import quotes
 
@@ -153,3 +153,43 @@ def test_weekly_samples(spark, most, monkeypatch):
     values = spark.createDataFrame([(1, day(n), 3.0) for n in range(20)], "portfolio_id long, date date, cash_gbp double")
     out = allocation.weekly_allocation(book, units, values, F.lit("2020-01-20").cast("date")).collect()
     assert sorted((r.date.day, r.symbol, r.gbp) for r in out) == [(1, "CASH", 3), (8, "CASH", 3), (8, "X", 70), (15, "CASH", 3), (15, "X", 140), (20, "CASH", 3), (20, "X", 114)]
+
+
+def dealt_by_date(df):
+    """The shuffles of a plan that deal books' rows by a date as well."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "portfolio_id#" in line and "date#" in line]
+
+
+def test_days_stay_with_their_book(spark):
+    book = ledger(spark, *((f"2020-01-0{d}", "TRANSACTION", s, 2, -10) for d in (1, 3, 5) for s in "XY"), ("2020-01-02", "CONTRIBUTION", "GBP", 0, 100))
+    day = lambda n: F.lit(f"2020-01-{n:02}").cast("date")
+    units = spark.createDataFrame([(s, date(2020, 1, d), float(d)) for s in "XY" for d in range(1, 21)], "symbol string, date date, unit_gbp double")
+    fx = spark.createDataFrame([("USD", date(2020, 1, 1), 2.0)], "currency string, date date, rate double")
+    books = timeline.by_book(book, day(20))
+    growth = returns.chained(timeline.daily_values(books, units, fx, day(1), day(20)))
+    cash = timeline.daily_cash(books, fx, day(1), day(20))
+    weekly = allocation.weekly_allocation(books, units, cash, day(20))
+    made = [growth, returns.max_drawdown(growth), returns.annual_returns(growth), returns.risk_summary(growth), returns.rolling_vol(growth), performance.risk_ratios(growth, day(20)), performance.trailing_returns(growth, day(20)), performance.recovery_days(growth)]
+    made += [cash, timeline.daily_invested(books, units, day(1), day(20)), allocation.value_timeline(books, units, cash, day(1), day(20)), weekly, allocation.allocation_totals(weekly), allocation.allocation_top_n_other(weekly), allocation.allocation_on_date(weekly, day(9)), allocation.concentration_trend(weekly)]
+    for df in made:
+        df.collect()
+        assert dealt_by_date(df.where("portfolio_id >= 0")) == []
+    plain = {(r.date, r.value_gbp) for r in timeline.daily_values(book, units, fx, day(1), day(20)).collect()}
+    assert plain == {(r.date, r.value_gbp) for r in timeline.daily_values(books, units, fx, day(1), day(20)).collect()} and len(plain) == 20
+
+
+def test_positions_by_day(spark):
+    rows = [(1, "Y", date(2020, 1, 30), date(2020, 3, 1), 2.0), (1, "X", date(2020, 2, 29), date(2020, 2, 29), 1.0)]
+    intervals = spark.createDataFrame(rows, "portfolio_id long, symbol string, from_date date, to_date date, quantity double")
+    out = {r.date: r.held for r in timeline.positions_by_day(intervals, F.concat("symbol", F.lit("="), F.col("quantity").cast("int").cast("string"))).collect()}
+    assert out == {date(2020, 1, 30) + timedelta(n): "X=1,Y=2" if n == 30 else "Y=2" for n in range(32)}
+
+
+def test_common_universe(spark):
+    returns_ = [(s, date(2020, 1, 1) + timedelta(d), float(d)) for s, every in (("A", 1), ("B", 1), ("C", 4)) for d in range(0, 120, every)]
+    moves = spark.createDataFrame(returns_, "symbol string, date date, r double")
+    held = spark.createDataFrame([(1, "A"), (1, "B"), (1, "C"), (2, "C"), (3, "A")], "portfolio_id long, symbol string")
+    out = allocation.common_universe(held, moves, 20).collect()
+    got = {(b, s): sorted(r.r for r in out if (r.portfolio_id, r.symbol) == (b, s)) for b, s in {(r.portfolio_id, r.symbol) for r in out}}
+    late = [float(d) for d in range(100, 120)]
+    assert got == {(1, "A"): late, (1, "B"): late, (2, "C"): [float(d) for d in range(40, 120, 4)], (3, "A"): late}
