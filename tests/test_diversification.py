@@ -142,3 +142,13 @@ def test_cluster_order_by_book(spark):
         want = plain_order([[1 - rho[a, b] for b in own] for a in own])
         assert [r.symbol for r in sorted((r for r in out if r.portfolio_id == p), key=lambda r: r.pos)] == [own[i] for i in want]
     assert not [r for r in out if r.portfolio_id == 4]
+
+
+def test_days_of_dealt_books_are_not_dealt_again(spark):
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(n), float((n * k) % 5)) for s, k in (("A", 1), ("B", 3)) for n in range(40)]
+    moves = spark.createDataFrame(rows, "symbol string, date date, r double")
+    weights = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (2, "A", 1.0)], "portfolio_id long, symbol string, weight double").repartition(3, "portfolio_id")
+    out = diversification.rolling_vol_dr(weights, moves, 10)
+    assert out.count() > 0
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [line for line in plan if "Exchange" in line and "portfolio_id#" in line and "date#" in line] == []
